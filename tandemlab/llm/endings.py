@@ -17,7 +17,7 @@ SOFT_MARK = re.compile(
 HARD_MARK = re.compile(r"(?:�+|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|(?<!\\)\\|&(?:#\d{0,6}|#x[0-9a-f]{0,5}|[a-z]{1,8})?)$")
 TERMINAL = re.compile(r"[.!?。！？][\"'”’»)\]*_`]*$|[;:]?-?\)$")
 LIST_LINE = re.compile(r"^\s*(?:[-*•+]\s+|\(?(?:[A-Za-z]|\d{1,2})[).:]\s+|\|)")
-NO_CONTENT = re.compile(r"^(?:\s|[\W_]|\b(?:null|none|nan|nil|undefined|n/?a|json)\b)*$", re.I)
+NO_CONTENT = re.compile(r"^[\W_]*(?:\b(?:null|none|nan|nil|undefined|n/?a|json)\b[\W_]*)*$", re.I)
 TAGGED = re.compile(r"<(think|thinking|reasoning|scratchpad)>(.*?)</\1>", re.S | re.I)
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+")
 
@@ -118,13 +118,13 @@ def _opens_data(text: str, i: int) -> bool:
 
 def ending(text: str | None, wants_json: bool = False) -> Ending:
     """Reads the end of ``text``. ``wants_json``: the prompt asks for a closing JSON object."""
-    if text is None or NO_CONTENT.match(seen := bare(answer_part(text))) and not (set("{[`<") & set(seen) and _stack(text)) and not HARD_MARK.search(seen):
+    if text is None or NO_CONTENT.match(seen := bare(answer_part(text))) and not (set("{[`<") & set(seen) and _stack(text)) and not HARD_MARK.search(seen[-400:]):
         return Ending(EMPTY, "no content", "", False, False)
     loop = loops(seen)
-    if HARD_MARK.search(seen):
+    if HARD_MARK.search(seen[-400:]):
         return Ending(CUT, "broken character or escape", "", False, loop)
-    soft = SOFT_MARK.search(seen)
-    if soft and soft.start() > 0:
+    soft = SOFT_MARK.search(seen[-400:])  # a mark is short; what stands before it is parsed in whole
+    if soft and soft.start() + max(0, len(seen) - 400) > 0:
         return Ending(CUT, "mark of a cut", "", False, loop)
     if loop and not re.search(r"[}\]`]$", seen):
         return Ending(CUT, "repetition", "", False, True)

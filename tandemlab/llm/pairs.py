@@ -52,7 +52,6 @@ NEXT = re.compile(r"^\s*(?:proposed answer|vorschlag|réponse proposée|respuest
 FRAME = re.compile(r"^\s*(?:solve the item below\.|löse die folgende aufgabe\.|résous l'exercice suivant\.|resuelve el ejercicio siguiente\.|.*\bJSON\b.*)\s*$", re.I | re.M)
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 CODE = re.compile(r"```.*?(?:```|$)|`[^`\n]*`", re.S)
-DATA = re.compile(r"[\[{][^{}\[\]]*(?:[\[{][^{}\[\]]*(?:[\[{][^{}\[\]]*[}\]][^{}\[\]]*)*[}\]][^{}\[\]]*)*[}\]]")
 
 
 def question_of(prompt: str) -> str:
@@ -81,9 +80,29 @@ def language(text: str, least: int = 2) -> str | None:
     return ranked[0][0]
 
 
+def without_data(text: str, keep: str = "") -> str:
+    """``text`` with every balanced bracketed span replaced by a blank, but for spans that stand in ``keep``; one pass, whatever the nesting."""
+    stack: list[int] = []
+    spans: list[tuple[int, int]] = []
+    for i, c in enumerate(text):
+        if c in "{[":
+            stack.append(i)
+        elif c in "}]" and stack:
+            begin = stack.pop()
+            while spans and spans[-1][0] > begin:
+                spans.pop()
+            spans.append((begin, i + 1))
+    out, at = [], 0
+    for begin, end in spans:
+        if not (keep and text[begin:end] in keep):
+            out += [text[at:begin], " "]
+            at = end
+    return "".join([*out, text[at:]])
+
+
 def prose_of(text: str) -> str:
     """A response's text without reasoning tags, code and data."""
-    return DATA.sub(" ", CODE.sub(" ", endings.answer_part(text)))
+    return without_data(CODE.sub(" ", endings.answer_part(text)))
 
 
 def answer_values(text: str) -> list[object]:
@@ -131,7 +150,7 @@ def tile_cover(text: list[str], source: list[str], least: int = 4) -> tuple[int,
 def is_refusal(text: str) -> bool:
     """Whether ``text`` declines: a first-person refusal, and no answer of another kind beside it."""
     seen = endings.answer_part(text).replace("’", "'")
-    prose = DATA.sub(" ", CODE.sub(" ", seen))
+    prose = without_data(CODE.sub(" ", seen))
     values = [v for v in answer_values(seen) if not (isinstance(v, str) and REFUSAL.search(v))]
     in_value = any(isinstance(v, str) and REFUSAL.search(v) for v in answer_values(seen))
     if in_value and not values:
@@ -143,9 +162,11 @@ def is_copy(text: str, prompt: str, question: str, own: float = 0.85, stem: floa
     """Whether ``text`` only gives the prompt or its question back: tiles of it cover ``own`` of the text and ``stem`` of the question's frame."""
     seen = endings.answer_part(text)
     words = [w.lower() for w in WORD.findall(seen)]
-    if len(words) < 5 or answer_values(DATA.sub(lambda m: m[0] if m[0] not in prompt else " ", seen)):
-        return False
     whole = [w.lower() for w in WORD.findall(prompt)]
+    if len(words) < 5 or own * len(words) > len(whole):  # tiles do not overlap in the prompt, so a longer text cannot be covered
+        return False
+    if any(m[0] not in prompt and answer_values(m[0]) for m in re.finditer(r"\{[^{}]*\}", seen)):
+        return False
     covered, _ = tile_cover(words, whole, min(4, len(words)))
     if covered < own * len(words):
         return False

@@ -151,13 +151,13 @@ def read_passage(part: str) -> tuple[int, int, list[str]]:
             left, right = WORD.findall(masked[: m.start()].lower())[-2:], WORD.findall(masked[m.end() :].lower())[:2]
             feats.add(f"s:{kind}")
             feats |= {f"l:{w}" for w in left} | {f"r:{w}" for w in right} | {"l2:" + " ".join(left), "r2:" + " ".join(right)}
-            example |= bool(EXAMPLE.search(masked[: m.start()])) and not alone
+            example |= bool(EXAMPLE.search(masked[max(0, m.start() - 80) : m.start()])) and not alone
         if alone:
             feats.add("alone")
         words = WORD.findall(rest.lower())
         feats |= {f"w:{w}" for w in words if not w.isdigit()}
         feats |= {f"b:{a} {b}" for a, b in zip(words, words[1:], strict=False)}
-        label = -1 if not alone and (example and not explicit or SPEAKS.search(rest)) else 1 if alone or explicit else 0
+        label = -1 if not alone and (example and not explicit or SPEAKS.match(rest)) else 1 if alone or explicit else 0
         return 1, label, sorted(feats)
     words = [w if not w.isdigit() else "#" for w in WORD.findall(masked.lower())]
     feats = {f"w:{w}" for w in words} | {f"b:{a} {b}" for a, b in zip(["^", *words], [*words, "$"], strict=False)} | {f"n:{min(len(words), 40).bit_length()}"}
