@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The tail from the last brace: object, then what follows its closing brace.
-TAIL = r"(?s)^.*(\{[^{]*\})([^{}]*)$"
+#: From the last opening brace to the end, and there: an object without inner objects, strings read as such, then what follows it.
+SUFFIX = r"(?s)^.*(\{.*)$"
+OBJECT = r"(?s)^(\{(?:[^{}\"]++|\"(?:[^\"\\]++|\\.)*+\")*+\})(.*)$"
 
 
 def terminal_object(text: Column, fence: bool) -> Column:
     """The JSON text of the last object, or null where there is none or something follows it."""
-    obj, rest = F.regexp_extract(text, TAIL, 1), F.trim(F.regexp_replace(F.regexp_extract(text, TAIL, 2), r"\s+", " "))
+    suffix = F.regexp_extract(text, SUFFIX, 1)
+    obj, rest = F.regexp_extract(suffix, OBJECT, 1), F.trim(F.regexp_replace(F.regexp_extract(suffix, OBJECT, 2), r"\s+", " "))
     ok = (rest == "") | (F.lit(fence) & (rest == "```"))
     return F.when((obj != "") & ok, obj)
 
