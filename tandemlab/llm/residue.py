@@ -61,9 +61,9 @@ MESSAGES = re.compile(
     r"^\W*(?:(?:notice|sorry|oops|warning|attention|hinweis|error|fehler|erreur|status(?: code)?|http(?:/\d\.\d)?|code)\b\W*)*"
     r"(?:(?:[45]\d\d)\b\W*(?:$|(?:error|fehler|erreur|-|bad|not|internal|service|the|gateway|forbidden|unauthori[sz]ed|too|page|seite|log|access|request|página|la|le|der|die|das|el|this)\b.{0,70}$)"
     r"|(?:[45]\d\d)\s*[:,.!–-]\s*.{3,70}$"
-    r"|(?:page|file|item|record|document|resource|content|dataset card|question set|exercise|this \w+(?: \w+)?|the \w+(?: \w+)? you (?:asked|looked) for|seite|diese \w+|page|cette \w+|página|esta \w+|este \w+)\s+(?:is |was |ist |wurde |est |n'est |no (?:está|se) )?(?:not found|could not be (?:found|loaded|opened|shown)|cannot be (?:found|shown|reached|displayed|opened)|not available|no longer available|nicht gefunden|nicht (?:verfügbar|erreichbar)|introuvable|indisponible|no encontrad[ao]|no disponible|not here)\b.{0,60}$"
+    r"|(?:then )?(?:the )?(?:page|file|item|record|document|resource|content|answer sheet|dataset card|question set|exercise|this \w+(?: \w+)?|the \w+(?: \w+)? you (?:asked|looked) for|seite|diese \w+|page|cette \w+|página|esta \w+|este \w+)\s+(?:is |was |ist |wurde |est |n'est |no (?:está|se) )?(?:not found|failed to load|could not be (?:found|loaded|opened|shown)|cannot be (?:found|shown|reached|displayed|opened)|not available|no longer available|nicht gefunden|nicht (?:verfügbar|erreichbar)|introuvable|indisponible|no encontrad[ao]|no disponible|not here)\b.{0,60}$"
     r"|(?:access|zugriff|accès|acceso)\s+(?:was |is |to .{1,30} (?:was |is )?|wurde |est |a été )?(?:denied|refused|forbidden|verweigert|refusé|interdit|denegado|prohibido)\b(?! on day).{0,60}$"
-    r"|(?:you (?:have no|do not have|don't have|lack|are not|need) (?:the )?(?:permission|access|allowed|authori[sz]ed|rights?))\b.{0,60}$"
+    r"|(?:you (?:have no|do not have|don't have|lack|are not|need) (?:the )?(?:permission|access|allowed|authori[sz]ed|rights?))\b.{0,60}$|your \w+ (?:may not|cannot|can't|is not (?:allowed|permitted) to) (?:see|open|view|read|access|load)\b.{0,50}$"
     r"|(?:please )?(?:log|sign) ?in to (?:see|view|read|go|continue|open|access)\b.{0,50}$|(?:bitte (?:melden|loggen) sie sich|veuillez vous connecter|inicie sesión|conéctese)\b.{0,50}$"
     r"|(?:too many requests|zu viele anfragen|trop de (?:demandes|requêtes)|demasiad[ao]s (?:peticiones|solicitudes))\b(?! were).{0,60}$"
     r"|(?:we are having trouble|we could not (?:load|open|find|show)|something went wrong|an? (?:unexpected |internal )?error (?:has )?occurred|bad gateway|gateway time-?out|service (?:is )?(?:temporarily )?unavailable|internal (?:server )?error|connection (?:timed out|refused|reset|was)|request timed out|unexpected token|unhandled exception|forbidden|unauthori[sz]ed|session (?:has )?expired|maintenance|proxy error|server error|time-?out)\b.{0,70}$"
@@ -96,7 +96,7 @@ SLOT_SIGN = re.compile(r"[{}\[\]<>%_@~|$#(]|[Xx]{4}")
 MESSAGE_WORDS = frozenset(
     "javascript script scripts scripting skript skripte skripting js cookie cookies java found available denied refused forbidden access zugriff accès acceso permission allowed authorised authorized authorisation authorization unauthorised unauthorized rights right"
     " log login sign melden loggen connecter sesión conéctese requests anfragen demandes requêtes peticiones solicitudes trouble could went error errors fehler erreur gateway service dienst servicio server serveur servidor site sitio seite página page introuvable indisponible disponible"
-    " connection time timed timeout unexpected exception expired maintenance checking wait moment verifying verified warten patienter espere loading gefunden verfügbar erreichbar encontrado encontrada here cannot reached reachable unavailable".split()
+    " connection time timed timeout unexpected exception expired maintenance checking wait moment verifying verified warten patienter espere loading gefunden verfügbar erreichbar encontrado encontrada here cannot reached reachable unavailable may allowed permitted see open view read".split()
 )
 FILLER_WORDS = frozenset(
     "text content dummy sample example placeholder filler sentence paragraph test grade your coming block section replace replaced hier contenu contenido inhalt layout follow asdf qwerty foo bar baz blah bla xxx abc lalala jkl some more body beispieltext blindtext platzhaltertext fülltext mustertext texte texto faux future".split()
