@@ -142,10 +142,10 @@ def ending(text: str | None, wants_json: bool = False) -> Ending:
     word = found[-1] if found else ""
     if not found or re.fullmatch(r"[-+]?\d+(?:[.,]\d+)?\s*%?", last) or re.fullmatch(r"\(?[A-Za-z]\)?", last):
         return Ending(WHOLE if len(lines) == 1 else OPEN, "a value", word, len(lines) > 1 and bool(LIST_LINE.match(last)), loop)
+    dangling = re.search(r"[,;:(“«„]$|[^\W\d_]-$", last) or last[-1] == '"' and seen.count('"') % 2
     if LIST_LINE.match(last):
-        dangling = re.search(r"[,;:(“«„]$|[^\W\d_]-$", last) or last[-1] == '"' and seen.count('"') % 2
         return Ending(CUT if dangling else OPEN, "list entry", word, True, loop)
     sentence = re.split(r"(?<=[.!?:])\s+", last)[-1]
-    if len(WORD.findall(sentence)) >= 4 or sentence != last or len(lines) > 1 and not TERMINAL.search(lines[-2]) is None and len(found) > 2:
+    if dangling or len(WORD.findall(sentence)) >= 4 or sentence != last or len(lines) > 1 and not TERMINAL.search(lines[-2]) is None and len(found) > 2:
         return Ending(CUT, "inside a sentence", word, False, loop)
     return Ending(CUT if wants_json else OPEN, "a few words", word, False, loop)

@@ -1,6 +1,6 @@
 """Problem 6: broken prompt and response pairs.
 
-One defect a request, the first that holds: empty, truncated, refusal, copy, language. Defined results: a response delivered several times
+One defect a request, the first that holds: empty, truncated, copy, refusal, language. Defined results: a response delivered several times
 is read once; a response without a request, or with a null prompt, can only be empty, truncated or a refusal; prose too short to tell its
 language is no case; an empty table gives an empty result; other columns are never read. Whole texts are parsed.
 """
@@ -25,9 +25,10 @@ REFUSAL = re.compile(
     r"|\bI (?:must |have to |need to )?(?:decline|refuse|pass on)\b"
     r"|\b(?:inappropriate|unsafe|unethical|against my (?:rules|policy|policies|guidelines)|not appropriate) for me\b|\bfor me to (?:respond|answer|help)\b[^.!?\n]{0,20}\b(?:inappropriate|unsafe|wrong)\b"
     r"|\b(?:this|that|it|the request|your request|the question)\b[^.!?\n]{0,30}\b(?:outside|beyond|against|violates?|out of)\b[^.!?\n]{0,12}\bmy (?:rules|policy|policies|guidelines|scope|remit)\b|\bsomething I (?:do not|don't|can't|cannot|won't) (?:assist|help|do|answer)\b"
-    r"|\bje (?:ne |n')(?:\w+ ){0,3}?(?:peux|puis|pourrai|dois|souhaite|veux|suis|donne|réponds|participe|traite|fournis)\b[^.!?\n]{0,12}\b(?:pas|rien|aucune?)\b|\bje (?:préfère|préférerais) (?:ne |n')|\bje (?:dois )?(?:refuse|décline|refuser|décliner)\b|\b(?:demande|question|requête)\b[^.!?\n]{0,20}\b(?:sort|dépasse|contraire|hors)\b[^.!?\n]{0,12}\bmes (?:règles|consignes|principes|limites)\b|\bil (?:ne m'est pas|m'est im)possible\b|\bil m'est interdit\b"
-    r"|\bich (?:darf|kann|möchte|will|werde|könnte|soll|mag)\b[^.!?\n]{0,40}\b(?:nicht|nichts|keine?n?)\b|\b(?:kann|darf|möchte|will|werde|gebe|mache|beantworte) ich\b[^.!?\n]{0,30}\b(?:nicht|nichts|keine?n?)\b|\bich (?:lehne|muss|bin|gebe|beantworte|verzichte|nehme)\b[^.!?\n]{0,40}\b(?:ab|ablehnen|passen|nicht in der lage|außerstande|keine|nicht|darauf)\b|\b(?:anfrage|frage|bitte)\b[^.!?\n]{0,30}\b(?:außerhalb|gegen|verstößt)\b[^.!?\n]{0,12}\bmeine[rn]?\b"
-    r"|\b(?:no (?:puedo|debo|quiero|podré|podría|voy a|deseo|me es posible|me está permitido|me corresponde|estoy en condiciones|soy capaz|doy|respondo|participo))\b[^.!?\n]{0,40}|\b(?:prefiero|preferiría) no\b|\bme niego\b|\b(?:debo|tengo que) (?:rechazar|declinar|negarme)\b|\b(?:petición|pregunta|solicitud)\b[^.!?\n]{0,20}\b(?:queda|está|va)\b[^.!?\n]{0,16}\b(?:fuera|contra)\b[^.!?\n]{0,12}\bmis (?:normas|reglas|límites)\b",
+    r"|\b(?:break|breach|violate|infringe|contravene|contradict|conflict with|go against|run against|against|contrary to|not allowed by|forbidden by|prohibited by)(?:s|es)?\b[^.!?\n]{0,16}\bmy (?:rules|policy|policies|guidelines|instructions|principles|programming|terms|limits)\b|\bmy (?:rules|policy|policies|guidelines|instructions|principles|programming)\b[^.!?\n]{0,24}\b(?:forbid|prevent|prohibit|do not allow|don't allow|do not permit|rule out|keep me from)\b"
+    r"|\bje (?:ne |n')(?:\w+ ){0,3}?(?:peux|puis|pourrai|dois|souhaite|veux|suis|donne|réponds|participe|traite|fournis)\b[^.!?\n]{0,12}\b(?:pas|rien|aucune?)\b|\bje (?:préfère|préférerais) (?:ne |n')|\bje (?:dois )?(?:refuse|décline|refuser|décliner)\b|\b(?:demande|question|requête)\b[^.!?\n]{0,20}\b(?:sort|dépasse|contraire|hors)\b[^.!?\n]{0,12}\bmes (?:règles|consignes|principes|limites)\b|\b(?:enfrein\w*|viol\w*|contraire\w*|contrevien\w*|contre|interdi\w*)\b[^.!?\n]{0,16}\bmes (?:règles|consignes|principes|limites|directives)\b|\bmes (?:règles|consignes|principes|directives)\b[^.!?\n]{0,20}\b(?:interdisent|empêchent|ne permettent)\b|\bil (?:ne m'est pas|m'est im)possible\b|\bil m'est interdit\b"
+    r"|\bich (?:darf|kann|möchte|will|werde|könnte|soll|mag)\b[^.!?\n]{0,40}\b(?:nicht|nichts|keine?n?)\b|\b(?:kann|darf|möchte|will|werde|gebe|mache|beantworte) ich\b[^.!?\n]{0,30}\b(?:nicht|nichts|keine?n?)\b|\bich (?:lehne|muss|bin|gebe|beantworte|verzichte|nehme)\b[^.!?\n]{0,40}\b(?:ab|ablehnen|passen|nicht in der lage|außerstande|keine|nicht|darauf)\b|\b(?:anfrage|frage|bitte)\b[^.!?\n]{0,30}\b(?:außerhalb|gegen|verstößt)\b[^.!?\n]{0,12}\bmeine[rn]?\b|\b(?:gegen|widers\w+|verstö\w+|verletz\w+|außerhalb)\b[^.!?\n]{0,16}\bmeine[nr]? (?:regeln|richtlinien|vorgaben|grundsätze|grenzen)\b|\bmeine (?:regeln|richtlinien|vorgaben)\b[^.!?\n]{0,20}\b(?:verbieten|erlauben|lassen|untersagen)\b"
+    r"|\b(?:no (?:puedo|debo|quiero|podré|podría|voy a|deseo|me es posible|me está permitido|me corresponde|estoy en condiciones|soy capaz|doy|respondo|participo))\b[^.!?\n]{0,40}|\b(?:prefiero|preferiría) no\b|\bme niego\b|\b(?:debo|tengo que) (?:rechazar|declinar|negarme)\b|\b(?:petición|pregunta|solicitud)\b[^.!?\n]{0,20}\b(?:queda|está|va)\b[^.!?\n]{0,16}\b(?:fuera|contra)\b[^.!?\n]{0,12}\bmis (?:normas|reglas|límites)\b|\b(?:contra|incumpl\w+|viol\w+|infring\w+|contrari\w+|romper\w*|fuera de)\b[^.!?\n]{0,12}\bmis (?:normas|reglas|límites|principios|directrices)\b|\bmis (?:normas|reglas|directrices|principios)\b[^.!?\n]{0,16}\b(?:prohíben|impiden|no permiten|no me permiten)\b",
     re.I,
 )
 
@@ -147,15 +148,30 @@ def tile_cover(text: list[str], source: list[str], least: int = 4) -> tuple[int,
     return total, sum(used_s)
 
 
-def is_refusal(text: str) -> bool:
-    """Whether ``text`` declines: a first-person refusal, and no answer of another kind beside it."""
+# The first person, singular, of the four languages.
+FIRST = re.compile(r"\b(?:I|I'm|I'd|I'll|my|me|myself|ich|mir|mich|mein\w{0,2}|je|j'\w+|me|moi|mes|mon|ma|yo|mi|mis|mí)\b")
+LETTER_LAST = re.compile(r"\b[A-J]\b[\W_]*$")
+
+
+def is_refusal(text: str, prompt: str = "") -> bool:
+    """Whether ``text`` declines: a first-person refusal, and no answer of another kind beside it.
+
+    Where the prompt asks for JSON, prose in the first person that holds neither data, nor a letter at its end, nor an option declines too.
+    """
     seen = endings.answer_part(text).replace("’", "'")
     prose = without_data(CODE.sub(" ", seen))
     values = [v for v in answer_values(seen) if not (isinstance(v, str) and REFUSAL.search(v))]
     in_value = any(isinstance(v, str) and REFUSAL.search(v) for v in answer_values(seen))
     if in_value and not values:
         return True
-    return not values and REFUSAL.search(prose) is not None and len(CODE.findall(seen)) == 0
+    if values or CODE.search(seen):
+        return False
+    if REFUSAL.search(prose):
+        return True
+    if "JSON" not in prompt or not FIRST.search(prose) or LETTER_LAST.search(seen) or set("{[") & set(seen):
+        return False
+    options = [o.strip().lower() for o in re.findall(r"^\s*[A-J][).]\s*(.+)$", prompt, re.M)]
+    return not any(o and o in seen.lower() for o in options)
 
 
 def is_copy(text: str, prompt: str, question: str, own: float = 0.85, stem: float = 0.6) -> bool:
@@ -198,12 +214,12 @@ def defect(text: str | None, prompt: str | None, state: str, cut: bool) -> str |
     question = question_of(prompt) if prompt is not None else ""
     if cut:
         return "truncated"
-    if is_refusal(text):
+    if prompt is not None and is_copy(text, prompt, question):
+        return "copy"
+    if is_refusal(text, prompt or ""):
         return "refusal"
     if prompt is None:
         return None
-    if is_copy(text, prompt, question):
-        return "copy"
     return "language" if other_language(text, prompt, question) else None
 
 

@@ -58,8 +58,8 @@ LATIN = set("lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit
 _SCRIPT = r"(?:java ?scripts?|js|scripts?|scripting|script support|cookies?|skripte?|skripting)"
 # Messages that stand for content, each from its beginning; words of four languages.
 MESSAGES = re.compile(
-    r"^\W*(?:(?:notice|sorry|oops|warning|attention|hinweis|error|fehler|erreur|status(?: code)?|http(?:/\d\.\d)?|code)\b\W*)*"
-    r"(?:(?:[45]\d\d)\b\W*(?:$|(?:error|fehler|erreur|-|bad|not|internal|service|the|gateway|forbidden|unauthori[sz]ed|too|page|seite|log|access|request|página|la|le|der|die|das|el|this)\b.{0,70}$)"
+    r"^\W*(?:(?:notice|sorry|oops|whoops|ups|hoppla|warning|attention|hinweis|error|fehler|erreur|status(?: code)?|http(?:/\d\.\d)?|code)\b\W*)*"
+    r"(?:(?:not found|nicht gefunden|introuvable|no encontrad[ao])\W*$|(?:[45]\d\d)\b\W*(?:$|(?:error|fehler|erreur|-|bad|not|internal|service|the|gateway|forbidden|unauthori[sz]ed|too|page|seite|log|access|request|página|la|le|der|die|das|el|this)\b.{0,70}$)"
     r"|(?:[45]\d\d)\s*[:,.!–-]\s*.{3,70}$"
     r"|(?:then )?(?:the )?(?:page|file|item|record|document|resource|content|answer sheet|dataset card|question set|exercise|this \w+(?: \w+)?|the \w+(?: \w+)? you (?:asked|looked) for|seite|diese \w+|page|cette \w+|página|esta \w+|este \w+)\s+(?:is |was |ist |wurde |est |n'est |no (?:está|se) )?(?:not found|failed to load|could not be (?:found|loaded|opened|shown)|cannot be (?:found|shown|reached|displayed|opened)|not available|no longer available|nicht gefunden|nicht (?:verfügbar|erreichbar)|introuvable|indisponible|no encontrad[ao]|no disponible|not here)\b.{0,60}$"
     r"|(?:access|zugriff|accès|acceso)\s+(?:was |is |to .{1,30} (?:was |is )?|wurde |est |a été )?(?:denied|refused|forbidden|verweigert|refusé|interdit|denegado|prohibido)\b(?! on day).{0,60}$"
@@ -84,7 +84,7 @@ FILLER = re.compile(
     r"|(?:this is|here is|here goes|dies ist|ceci est|esto es)\b.{0,16}\b(?:dummy|placeholder|sample|filler|a sentence|a paragraph|a test|blindtext|ein test)\b.{0,40}$"
     r"|do not grade\W*$|(?:your|the|our) (?:content|text|title|item|answer|question)\b.{0,20}\b(?:goes here|will be (?:shown|added|placed)|will follow|here)\b.{0,40}$"
     r"|(?:type|enter|write|put|add|insert|paste) your \w+ (?:in this|here|in the)\b.{0,30}$|(?:content|text|page) (?:coming soon|to come|will follow|to be (?:added|replaced))\b.{0,30}$|coming soon\W*$"
-    r"|(?:body|title|text|name) of the (?:block|section|page|article|item)\W*$|(?:to be replaced|replace (?:this|me))\b.{0,40}$"
+    r"|(?:body|title|heading|text|name) of the (?:block|section|page|article|item)\W*$|(?:to be replaced|replace (?:this|me))\b.{0,40}$"
     r"|(?:beispieltext|blindtext|platzhaltertext|fülltext|mustertext)\b.{0,50}$|hier (?:steht|folgt|kommt)\b.{0,20}\b(?:inhalt|text)\b.{0,20}$"
     r"|(?:texte? (?:d'exemple|factice|provisoire|de remplacement|à remplacer|de prueba|de ejemplo|de relleno)|texto (?:de prueba|de ejemplo|de relleno|provisional)|faux texte)\b.{0,60}$|(?:contenu|contenido)\b.{0,12}\b(?:à venir|pendiente|llegará|próximamente|suivra)\b.{0,30}$"
     r"|.{0,40}\bfor layout only\b.{0,50}$|(?:.{0,20}\bthe (?:true|real|final) (?:item )?(?:text|content) will follow\b.{0,20})$|(?:content\W*){3,}$|(?:asdf|qwerty|foo|bar|baz|blah|bla|test|xxx|abc|lalala|jkl)(?:\W+(?:asdf|qwerty|foo|bar|baz|blah|bla|test|xxx|abc|lalala|jkl))+\W*$)",
@@ -99,7 +99,7 @@ MESSAGE_WORDS = frozenset(
     " connection time timed timeout unexpected exception expired maintenance checking wait moment verifying verified warten patienter espere loading gefunden verfügbar erreichbar encontrado encontrada here cannot reached reachable unavailable may allowed permitted see open view read".split()
 )
 FILLER_WORDS = frozenset(
-    "text content dummy sample example placeholder filler sentence paragraph test grade your coming block section replace replaced hier contenu contenido inhalt layout follow asdf qwerty foo bar baz blah bla xxx abc lalala jkl some more body beispieltext blindtext platzhaltertext fülltext mustertext texte texto faux future".split()
+    "text content dummy sample example placeholder filler sentence paragraph test grade your coming block section replace replaced hier contenu contenido inhalt layout follow asdf qwerty foo bar baz blah bla xxx abc lalala jkl some more body heading title beispieltext blindtext platzhaltertext fülltext mustertext texte texto faux future".split()
 )
 #: Frequent function words; prose that holds one is no keyboard mash.
 COMMON = frozenset("the of and to in is that with for on at by der die das und ist den mit von zu nicht la le les de des et est une un que el los y en por se con pas pour dans du sur".split())

@@ -39,19 +39,32 @@ def lengths(text: Column) -> dict[str, Column]:
     }
 
 
-def hidden_limits(texts: DataFrame, least: int = 6, times: float = 8.0, window: int = 12, share: float = 0.8) -> DataFrame:
+def hidden_limits(texts: DataFrame, least: int = 6, times: float = 8.0, window: int = 12, share: float = 0.8, rounds: int = 3) -> DataFrame:
     """(encoding, length, texts, open_ends, share_open): lengths at which a store seems to cut.
 
     ``texts``: (text, unfinished boolean). Lengths are recomputed under each encoding and grouped; a length is a limit if at least
     ``least`` unfinished texts have it, ``times`` as many as lengths within ``window`` of it have on average, and at least
-    ``share`` of its texts are unfinished.
+    ``share`` of its texts are unfinished. Encodings that agree on plain texts cast each other's shadow, so the encoding whose limits hold
+    most unfinished texts is taken first, and the others are asked again without those texts, at most ``rounds`` times in all.
     """
-    encoded = F.explode(F.create_map(*[x for k, v in lengths(F.col("text")).items() for x in (F.lit(k), v)]))
-    per = texts.select("unfinished", encoded.alias("encoding", "length")).groupBy("encoding", "length").agg(F.count("*").alias("texts"), F.sum(F.col("unfinished").cast("int")).alias("open_ends"))
-    near = Window.partitionBy("encoding").orderBy("length").rangeBetween(-window, window)
-    around = (F.sum("open_ends").over(near) - F.col("open_ends")) / (2.0 * window)
-    scored = per.withColumn("around", around).filter((F.col("open_ends") >= least) & (F.col("open_ends") >= F.lit(times) * F.col("around")) & (F.col("open_ends") >= F.lit(share) * F.col("texts")))
-    return scored.select("encoding", "length", "texts", "open_ends", F.round(F.col("open_ends") / F.col("texts"), 6).alias("share_open"))
+    rest = materialize(texts.select("unfinished", *[v.cast("bigint").alias(k) for k, v in lengths(F.col("text")).items()]))
+    kinds = [c for c in rest.columns if c != "unfinished"]
+    found = texts.sparkSession.createDataFrame([], "encoding string, length bigint, texts bigint, open_ends bigint, share_open double")
+    for _ in range(rounds):
+        encoded = F.explode(F.create_map(*[x for k in kinds for x in (F.lit(k), F.col(k))])).alias("encoding", "length")
+        per = rest.select("unfinished", encoded).groupBy("encoding", "length").agg(F.count("*").alias("texts"), F.sum(F.col("unfinished").cast("int")).alias("open_ends"))
+        near = Window.partitionBy("encoding").orderBy("length").rangeBetween(-window, window)
+        around = (F.sum("open_ends").over(near) - F.col("open_ends")) / (2.0 * window)
+        ok = (F.col("open_ends") >= least) & (F.col("open_ends") >= F.lit(times) * F.col("around")) & (F.col("open_ends") >= F.lit(share) * F.col("texts"))
+        now = materialize(per.withColumn("around", around).filter(ok).select("encoding", "length", "texts", "open_ends", F.round(F.col("open_ends") / F.col("texts"), 6).alias("share_open")))
+        held = {r["encoding"]: r["n"] for r in now.groupBy("encoding").agg(F.sum("open_ends").alias("n")).collect()}  # one row per encoding
+        if not held:
+            break
+        best = max(kinds, key=lambda k: (held.get(k, 0), -kinds.index(k)))
+        chosen = now.filter(F.col("encoding") == best)
+        found = found.unionByName(chosen)
+        rest = rest.join(chosen.select(F.col("length").alias(best)), best, "left_anti")
+    return found
 
 
 def one_each(rows: DataFrame, key: str, *columns: str, order: str | None = None) -> DataFrame:
@@ -108,7 +121,7 @@ def judged(responses: DataFrame, requests: DataFrame, diagnostic: DataFrame) ->
     diag = one_each(diagnostic, "request_id", "matrix", "budget", "terminal_json")
     joined = materialize(resp.join(req, "request_id", "left"))
     read = materialize(joined.join(read_endings(joined), "request_id"))
-    limits = hidden_limits(read.filter(F.col("text").isNotNull()).select("text", F.col("state").isin(endings.CUT, endings.OPEN).alias("unfinished")))
+    limits = hidden_limits(read.filter(F.col("state").isin(endings.CUT, endings.WHOLE)).select("text", (F.col("state") == endings.CUT).alias("unfinished")))
     undecided = read.filter(F.col("state") == endings.OPEN)
     corpus = read.select("text").filter(F.col("text").isNotNull()).unionByName(read.select(F.col("prompt").alias("text")).filter(F.col("text").isNotNull()))
     evidence = word_evidence(corpus, undecided)

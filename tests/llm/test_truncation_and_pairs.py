@@ -68,7 +68,8 @@ def test_truncated_finds_cuts_and_ignores_false_witnesses(spark):
 
 
 def test_list_entries_are_judged_by_the_corpus(spark):
-    full = [(f"a{i}", f"See below.\n- only the kiln near Marrotin\n- {i} frozen parts\n- no tied loom at all", "stop", 20) for i in range(30)]
+    entries = [["- only the kiln near Marrotin", f"- {i} frozen parts", "- no tied loom at all"] for i in range(30)]
+    full = [(f"a{i}", "\n".join(["See below.", *e[i % 3 :], *e[: i % 3]]), "stop", 20) for i, e in enumerate(entries)]
     cut = [("c1", "See below.\n- only the kiln near Marrotin\n- 7 froz", "stop", 20), ("c2", "See below.\n- 4 frozen parts\n- only the", "stop", 20)]
     r, q, d = frames(spark, full + cut, [(x[0], "answer", "List.") for x in full + cut])
     assert sorted(x["request_id"] for x in truncation.truncated(r, q, d).collect()) == ["c1", "c2"]
