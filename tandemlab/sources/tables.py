@@ -31,6 +31,15 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan on at least as many partitions as there are cores, for Python stages that cost far more than their bytes.
+
+    Only a scan of fewer files and splits than cores is shuffled; larger ones are left as they lie.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def drop_materialized(*frames: DataFrame) -> None:
     """Deletes tables made by ``materialize`` that no later plan reads."""
     for df in frames:
