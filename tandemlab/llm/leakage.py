@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandemlab.llm.text import words, words_at
+from tandemlab.sources.tables import spread
 
 RUN = 12
 
@@ -82,7 +83,7 @@ def leaks(documents: DataFrame, heldout: DataFrame, run: int = RUN, max_chars: i
     texts = heldout.filter(F.col("heldout_id").isNotNull()).select("heldout_id", F.explode(F.array("question", "solution")).alias("t")).filter(F.col("t").isNotNull()).distinct()
     total = texts.agg(F.sum(F.length("t"))).first()[0] or 0
     parts = -(-total // max_chars)
-    docs = documents.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    docs = spread(documents.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"))
     schema = "doc_id bigint, heldout_id bigint, n_words int, start int, end int"
     out = spark.createDataFrame([], schema)
     for p in range(parts):

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandemlab.llm import endings, truncation
+from tandemlab.sources.tables import materialize, spread
 
 # First-person refusals by language. A subject, an inability or unwillingness, and what is not done; or a plain formula.
 REFUSAL = re.compile(
@@ -232,7 +233,7 @@ def find_defects(rows: DataFrame) -> DataFrame:
             out = pd.DataFrame({"request_id": pdf["request_id"], "stage": pdf["stage"], "defect": pd.Series(kinds, index=pdf.index, dtype="object")})
             yield out[out["defect"].notna()]
 
-    return rows.select("request_id", "stage", "prompt", "text", "state", "cut").mapInPandas(run, "request_id string, stage string, defect string")
+    return spread(materialize(rows.select("request_id", "stage", "prompt", "text", "state", "cut"))).mapInPandas(run, "request_id string, stage string, defect string")
 
 
 def defect_witnesses(found: DataFrame, outcomes: DataFrame) -> DataFrame:

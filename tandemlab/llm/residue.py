@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandemlab.sources.tables import materialize
+from tandemlab.sources.tables import materialize, spread
 
 BITS = 18
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
@@ -203,7 +203,7 @@ def passage_features(documents: DataFrame) -> DataFrame:
                     out["ids"].append(_ids(model, feats))
             yield pd.DataFrame(out)
 
-    rows = documents.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    rows = spread(documents.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"))
     return rows.mapInPandas(run, "doc_id bigint, model int, label int, ids array<int>")
 
 

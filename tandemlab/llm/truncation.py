@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandemlab.llm import endings
-from tandemlab.sources.tables import materialize
+from tandemlab.sources.tables import materialize, spread
 
 #: A response is put as chars of text a token where the corpus has no finished response to learn it from.
 CHARS_A_TOKEN = 4.2
@@ -119,7 +119,7 @@ def judged(responses: DataFrame, requests: DataFrame, diagnostic: DataFrame) ->
     resp = one_each(responses, "request_id", "text", "finish_reason", "completion_tokens", order="received_at")
     req = one_each(requests, "request_id", "prompt", "stage", "run_id")
     diag = one_each(diagnostic, "request_id", "matrix", "budget", "terminal_json")
-    joined = materialize(resp.join(req, "request_id", "left"))
+    joined = spread(materialize(resp.join(req, "request_id", "left")))
     read = materialize(joined.join(read_endings(joined), "request_id"))
     limits = hidden_limits(read.filter(F.col("state").isin(endings.CUT, endings.WHOLE)).select("text", (F.col("state") == endings.CUT).alias("unfinished")))
     undecided = read.filter(F.col("state") == endings.OPEN)
