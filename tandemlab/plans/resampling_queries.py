@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tandemlab.functions.expressions import accepts
 from tandemlab.operators import endpoints as ep
-from tandemlab.operators import fits, inference, resample, variance
+from tandemlab.operators import fits, inference, metrics, resample, sampling, variance
 from tandemlab.operators import ranking_metrics as rm
 from tandemlab.operators import thresholds as th
 from tandemlab.plans.endpoint_queries import _STRENGTH, BY, CAND, FROZEN, HOT, NARROW, REFERENCE, TAU, W, cell, development, done
@@ -270,3 +270,50 @@ def n9(spark, folder):
 def k3(spark, folder):
     d = resample.endpoint_deltas(stats(spark, folder), ["run_id", "contrast"])
     return d.groupBy("contrast").agg(F.max_by("run_id", F.struct(F.round(F.abs("d_k"), 9), "run_id")).alias("run_id"), F.round(F.max(F.abs("d_k")), 8).alias("widest"))
+
+
+@query("m1_metric_registry", W + """SELECT run_id, cond, round(avg(CASE WHEN y THEN 1.0 ELSE 0.0 END), 8) AS accuracy, round(avg(CASE WHEN acc THEN 1.0 ELSE 0.0 END), 8) AS coverage, round(sum(CASE WHEN acc AND NOT y THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN acc THEN 1 ELSE 0 END), 0), 8) AS risk,
+round(avg(CASE WHEN c THEN 0.0 ELSE 1.0 END), 8) AS invalid_rate, round(avg(CASE WHEN c THEN conf END) + 1e-12, 8) AS mean_confidence, round(avg(CASE WHEN c THEN power(conf - CASE WHEN y THEN 1 ELSE 0 END, 2) END) + 1e-12, 8) AS brier FROM done GROUP BY ALL""")
+def m1(spark, folder):
+    got = metrics.evaluate(done(spark, folder), list(metrics.METRICS), BY, TAU)
+    return got.select(*BY, *[F.round(F.col(m) + (1e-12 if m in ("mean_confidence", "brier") else 0.0), 8).alias(m) for m in metrics.METRICS])
+
+
+@query("f9_confidence_diagnostics", W + """, b AS (SELECT run_id, cond, least(9, floor(conf * 10)) AS bin, count(*) AS k, abs(avg(conf) - avg(CASE WHEN y THEN 1.0 ELSE 0.0 END)) AS gap FROM done WHERE c GROUP BY ALL), e AS (SELECT run_id, cond, CAST(sum(k) AS BIGINT) AS n, round(sum(k * gap) / sum(k), 8) AS ece FROM b GROUP BY ALL),
+t AS (SELECT run_id, cond, round(avg(CASE WHEN a AND c THEN 1.0 ELSE 0.0 END), 8) AS max_valid_coverage FROM done GROUP BY ALL) SELECT e.run_id, e.cond, e.n, e.ece, t.max_valid_coverage FROM e JOIN t ON t.run_id = e.run_id AND t.cond = e.cond""")
+def f9(spark, folder):
+    rows = done(spark, folder)
+    top = rows.groupBy(*BY).agg(F.round(F.avg((F.col("a") & F.col("c")).cast("double")), 8).alias("max_valid_coverage"))
+    return ep.expected_calibration_error(rows, BY).join(top, BY)
+
+
+@query("h5_risk_delta_draws", W + f", {_STATS}, {_DRAWS} SELECT run_id, contrast, CAST(b AS BIGINT) AS b, round(d_r, 8) AS d_r FROM bo WHERE d_r IS NOT NULL")
+def h5(spark, folder):
+    draws = resample.endpoint_deltas(resample.bootstrap_draws(stats(spark, folder), REPLICATES, 17), ["run_id", "contrast", "b"])
+    return draws.filter("d_r is not null").select("run_id", "contrast", F.col("b").cast("bigint").alias("b"), F.round("d_r", 8).alias("d_r"))
+
+
+@query("h17_h21_main_table", W + f""", {_STATS}, {_DRAWS}, {_RAND}, {_HOLM}, {_CI}, {_CLASS}, d AS (SELECT run_id, contrast, {_DELTA} FROM st GROUP BY ALL)
+SELECT d.run_id, d.contrast, round(d.d_q, 8) AS d_q, round(d.d_k, 8) AS d_k, round(d.d_r, 8) AS d_r, c.ci_low, c.ci_high, h.p, h.adjusted, l.classification
+FROM d JOIN hm h ON h.run_id = d.run_id AND h.contrast = d.contrast JOIN cl l ON l.run_id = d.run_id AND l.contrast = d.contrast LEFT JOIN ci c ON c.run_id = d.run_id AND c.contrast = d.contrast""")
+def h21(spark, folder):
+    """The whole held-out analysis as one relation over (run, contrast) instead of a loop over pairs."""
+    d = resample.endpoint_deltas(stats(spark, folder), ["run_id", "contrast"]).select("run_id", "contrast", *[F.round(c, 8).alias(c) for c in ("d_q", "d_k", "d_r")])
+    return d.join(classified(spark, folder).select("run_id", "contrast", "ci_low", "ci_high", "p", "adjusted", "classification"), ["run_id", "contrast"])
+
+
+@query("h19_certification_by_bound")
+def h19(spark, folder):
+    """Certified share of the runs of each dataset, by exact bounds on certification rows."""
+    rows = done(spark, folder)
+    policy = th.frozen_endpoint(rows.filter((F.col("part") == "development") & (F.col("cond") == REFERENCE)), ["run_id", "dataset_id"], 0.25, 0.1, 0.5)
+    got = inference.certify(rows.filter((F.col("part") == "certification") & (F.col("cond") == REFERENCE)), policy, ["run_id", "dataset_id"], 0.5, 0.1)
+    return got.groupBy("dataset_id", "status").agg(F.count("*").alias("runs"))
+
+
+@query("b5_b8_role_filter", "WITH it AS (SELECT DISTINCT item_id FROM items WHERE item_id IS NOT NULL) SELECT item_id, c AS cond, CAST(s AS INTEGER) AS seed FROM it, unnest(['reference', 'high-temperature', 'low-top-p']) t(c), unnest([11, 23]) u(s)")
+def b5(spark, folder):
+    """The coupled cells of a design, by role, as the view that has one condition per observation."""
+    items = table(spark, folder, "items").filter("item_id is not null").select("item_id").distinct()
+    cells = sampling.expand_design(items, [REFERENCE, HOT, NARROW], [11, 23], REFERENCE)
+    return cells.filter(F.array_contains(F.split("roles", "[+]"), "coupled")).select("item_id", F.col("answer_condition").alias("cond"), "seed")
