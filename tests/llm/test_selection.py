@@ -109,6 +109,21 @@ def test_cutoffs_match_brute_force(spark, values):
         assert got == brute(rows, target)
 
 
+def test_brackets_are_narrowed_until_they_are_small(spark):
+    rng = random.Random(11)
+    rows = [("big", rng.random() if n % 3 else 0.5, True, n % 7 > 0) for n in range(20_000)] + [("tied", 0.7, True, True)] * 3000
+    rec = spark.createDataFrame(rows, "source string, score double, candidate boolean, eligible boolean")
+    for target in (0.1, 0.43, 0.5, 0.8):
+        th = spark.createDataFrame([("big", target), ("tied", target)], "source string, target double")
+        got = {r["source"]: (r["cutoff"], r["kept"]) for r in cutoff.select_cutoffs(rec, th, grid=10, accuracy=50, most=20).collect()}
+        scores = sorted((s for x, s, _, e in rows if x == "big" and e), reverse=True)
+        cands = sorted({s for x, s, *_ in rows if x == "big"}, reverse=True)
+        best = next((c, k) for c in cands if (k := sum(s >= c for s in scores)) >= target * 20_000) if target < 0.8 else None
+        if best:
+            assert got["big"] == best
+        assert got["tied"] == (0.7, 3000)
+
+
 def test_cutoffs_of_nothing(spark):
     assert cutoff.coverage_cutoffs(observations(spark, []), spark.createDataFrame([], "run_id string, fixed_coverage_target double")).count() == 0
 
