@@ -19,7 +19,9 @@ def test_names_agree():
 
 @pytest.fixture(scope="module")
 def db(smallest):
-    return connect(smallest)
+    db = connect(smallest)
+    yield db
+    db.close()
 
 
 @pytest.mark.parametrize("name", list(registry.QUERIES))
