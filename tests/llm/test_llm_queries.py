@@ -10,6 +10,8 @@ from tests.util import connect, rows
 def test_query(spark, smallest, name):
     got = queries.QUERIES[name](spark, smallest).toPandas()
     if name in queries.SQL:
-        want = connect(smallest).execute(queries.SQL[name]).df()
+        db = connect(smallest)
+        want = db.execute(queries.SQL[name]).df()
+        db.close()
         assert rows(got) == rows(want)
     assert len(got) == len(got.drop_duplicates())
