@@ -102,8 +102,8 @@ def word_evidence(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     lines = F.split("text", "\n")
     line_end = texts.select(F.explode(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line")).select(F.lower(F.regexp_extract("line", r"(\p{L}+)\s*$", 1)).alias("lw")).filter("lw != ''").groupBy("lw").agg(F.count("*").alias("line_ends"))
     names = counted.filter(F.col("w").rlike(r"^\p{Lu}\p{Ll}{3,}$")).groupBy(F.expr("right(w, 3)").alias("suffix")).agg(F.sum("n").alias("s"))
-    total = names.agg(F.sum("s").alias("all"))  # one row
-    share = names.crossJoin(F.broadcast(total)).select("suffix", (F.col("s") / F.col("all")).alias("suffix_share"))
+    total = F.lit(names.agg(F.sum("s")).first()[0]).cast("double")
+    share = names.select("suffix", (F.col("s") / total).alias("suffix_share"))
     asked = wanted.select("last_word").distinct().withColumn("lw", F.lower("last_word")).withColumn("suffix", F.expr("right(last_word, 3)"))
     out = asked.join(seen, "lw", "left").join(line_end, "lw", "left").join(share, "suffix", "left")
     return out.select("last_word", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("seen", "line_ends", "suffix_share")])
@@ -125,13 +125,13 @@ def judged(responses: DataFrame, requests: DataFrame, diagnostic: DataFrame) ->
     undecided = read.filter(F.col("state") == endings.OPEN)
     corpus = read.select("text").filter(F.col("text").isNotNull()).unionByName(read.select(F.col("prompt").alias("text")).filter(F.col("text").isNotNull()))
     evidence = word_evidence(corpus, undecided)
-    ratio = read.filter((F.col("state") == endings.WHOLE) & (F.col("completion_tokens") > 0)).agg(F.percentile_approx(F.length("text") / F.col("completion_tokens"), 0.5).alias("ratio"))  # one row
+    ratio = read.filter((F.col("state") == endings.WHOLE) & (F.col("completion_tokens") > 0)).agg(F.percentile_approx(F.length("text") / F.col("completion_tokens"), 0.5)).first()[0]
     at = F.explode(F.create_map(*[x for k, v in lengths(F.col("text")).items() for x in (F.lit(k), v)])).alias("encoding", "length")
     at_limit = undecided.select("request_id", at).join(limits.select("encoding", "length"), ["encoding", "length"], "left_semi").select("request_id").distinct().withColumn("at_limit", F.lit(True))
     w = F.col("last_word")
     known = F.col("seen") >= 3
     capital = w.rlike(r"^\p{Lu}")
-    spent = F.col("completion_tokens") * F.coalesce("ratio", F.lit(CHARS_A_TOKEN))
+    spent = F.col("completion_tokens") * F.lit(float(ratio or CHARS_A_TOKEN))
     cut = (
         F.coalesce("at_limit", F.lit(False))
         | ((w != "") & ~w.rlike(r"^\d+$") & ~known & ~(capital & (F.col("suffix_share") >= 0.002)))
@@ -140,7 +140,7 @@ def judged(responses: DataFrame, requests: DataFrame, diagnostic: DataFrame) ->
     )
     budgets = diagnostic.filter("budget > 0").select(F.col("budget").alias("completion_tokens")).distinct().withColumn("is_budget", F.lit(True))
     undecided = undecided.join(budgets, "completion_tokens", "left")
-    decided = undecided.join(evidence, "last_word", "left").join(at_limit, "request_id", "left").crossJoin(F.broadcast(ratio)).select("request_id", F.coalesce(cut, F.lit(False)).alias("open_cut"))
+    decided = undecided.join(evidence, "last_word", "left").join(at_limit, "request_id", "left").select("request_id", F.coalesce(cut, F.lit(False)).alias("open_cut"))
     out = read.join(decided, "request_id", "left").join(diag, "request_id", "left")
     is_cut = (F.col("state") == endings.CUT) | F.coalesce("open_cut", F.lit(False))
     return out.select("request_id", "prompt", "stage", "run_id", "matrix", "text", "state", "why", is_cut.alias("cut"), "finish_reason", "completion_tokens", "budget", "terminal_json")
