@@ -52,6 +52,18 @@ def test_cross_pairs_match_brute_force(spark):
     assert hot == want
 
 
+def test_one_word_in_eight_changed_at_even_distances_is_always_found(spark):
+    rng = random.Random(6)
+    rows = []
+    for n in range(250):
+        w = question(rng, 64).split()
+        rows.append((f"a{n:03d}", "development", " ".join(w)))
+        w[4::8] = [f"new{n}x{k}" for k in range(8)]
+        rows.append((f"b{n:03d}", "test", " ".join(w)))
+    got = {(r["item_id_a"], r["item_id_b"]) for r in overlap.cross_split_pairs(items(spark, rows)).collect()}
+    assert got == {(f"a{n:03d}", f"b{n:03d}") for n in range(250)}
+
+
 def test_copies_are_compared_once_and_all_reported(spark):
     rng = random.Random(3)
     q = question(rng)
