@@ -89,11 +89,11 @@ def read_endings(pairs: DataFrame) -> DataFrame:
 
 
 def word_evidence(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(last_word, seen, line_ends, suffix_share): what the corpus says of the ``wanted`` last words.
+    """(last_word, seen, longer, end_rate, suffix_share): what the corpus says of the ``wanted`` last words.
 
-    ``seen``: times the word stands inside a text, not at its end; ``line_ends``: times it ends a line that is not the last, without a
-    mark; ``suffix_share``: the share of its last three letters among capitalised words inside texts. All are counts over all texts,
-    added up before the shuffle; only the wanted words are joined.
+    ``seen``: times the word stands inside a text, not at its end; ``longer``: times a longer word that begins with it does (looked up for
+    beginnings of at most 64 letters); ``end_rate``: the share of its sightings that end a line that is not the last, without a mark, against that share of all words, smoothed by two sightings of the usual share; ``suffix_share``: the share of its last three letters
+    among capitalised words inside texts. All are counts over all texts, added up before the shuffle; only the wanted words are joined.
     """
     inner = F.regexp_replace("text", r"[\p{L}\p{N}'’]*[^\p{L}]*$", "")
     counted = texts.select(F.explode(F.regexp_extract_all(inner, F.lit(r"\p{L}+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
@@ -101,20 +101,26 @@ def word_evidence(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     seen = counted.groupBy(F.lower("w").alias("lw")).agg(F.sum("n").alias("seen"))
     lines = F.split("text", "\n")
     line_end = texts.select(F.explode(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line")).select(F.lower(F.regexp_extract("line", r"(\p{L}+)\s*$", 1)).alias("lw")).filter("lw != ''").groupBy("lw").agg(F.count("*").alias("line_ends"))
+    line_end = materialize(line_end)
     names = counted.filter(F.col("w").rlike(r"^\p{Lu}\p{Ll}{3,}$")).groupBy(F.expr("right(w, 3)").alias("suffix")).agg(F.sum("n").alias("s"))
     total = F.lit(names.agg(F.sum("s")).first()[0]).cast("double")
     share = names.select("suffix", (F.col("s") / total).alias("suffix_share"))
     asked = wanted.select("last_word").distinct().withColumn("lw", F.lower("last_word")).withColumn("suffix", F.expr("right(last_word, 3)"))
-    out = asked.join(seen, "lw", "left").join(line_end, "lw", "left").join(share, "suffix", "left")
-    return out.select("last_word", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("seen", "line_ends", "suffix_share")])
+    begins = seen.filter(F.length("lw") > 1).select(F.explode(F.expr("transform(sequence(1, least(length(lw) - 1, 64)), i -> left(lw, i))")).alias("lw"), "seen")
+    longer = begins.join(asked.select("lw").distinct(), "lw", "left_semi").groupBy("lw").agg(F.sum("seen").alias("longer"))
+    usual = (line_end.agg(F.sum("line_ends")).first()[0] or 0) / max(1, counted.agg(F.sum("n")).first()[0] or 0)
+    out = asked.join(seen, "lw", "left").join(longer, "lw", "left").join(line_end, "lw", "left").join(share, "suffix", "left").na.fill(0, ["seen", "longer", "line_ends", "suffix_share"])
+    end_rate = (F.col("line_ends") / usual + 2.0) / (F.col("seen") + 2.0) if usual else 2.0 / (F.col("seen") + 2.0)
+    return out.select("last_word", "seen", "longer", end_rate.alias("end_rate"), "suffix_share")
 
 
 def judged(responses: DataFrame, requests: DataFrame, diagnostic: DataFrame) -> DataFrame:
     """(request_id, prompt, stage, run_id, matrix, text, state, why, cut, finish_reason, completion_tokens, budget, terminal_json): one row per response.
 
     The parser decides most texts by themselves. Texts that end without a mark in a list entry or a few words are decided by the corpus:
-    cut if they stand at a hidden limit, if their last word is unknown and does not end like a name, if a known word never ends a line,
-    or if the tokens that were spent are far more than the text shows (a count that equals a budget is no evidence: it is often filled in).
+    cut if they stand at a hidden limit, if their last word is unknown (or a hundred times rarer than the longer words that begin with it)
+    and does not end like a name, if a known word ends lines less than a tenth as often as words do, or if the tokens that were spent are
+    far more than the text shows (a count that equals a budget is no evidence: it is often filled in). Rates do not move with the corpus.
     """
     resp = one_each(responses, "request_id", "text", "finish_reason", "completion_tokens", order="received_at")
     req = one_each(requests, "request_id", "prompt", "stage", "run_id")
@@ -129,13 +135,13 @@ def judged(responses: DataFrame, requests: DataFrame, diagnostic: DataFrame) ->
     at = F.explode(F.create_map(*[x for k, v in lengths(F.col("text")).items() for x in (F.lit(k), v)])).alias("encoding", "length")
     at_limit = undecided.select("request_id", at).join(limits.select("encoding", "length"), ["encoding", "length"], "left_semi").select("request_id").distinct().withColumn("at_limit", F.lit(True))
     w = F.col("last_word")
-    known = F.col("seen") >= 3
     capital = w.rlike(r"^\p{Lu}")
+    known = (F.col("seen") >= 3) & ((F.col("seen") * 100 >= F.col("longer")) | w.rlike(r"^\p{Lu}$"))
     spent = F.col("completion_tokens") * F.lit(float(ratio or CHARS_A_TOKEN))
     cut = (
         F.coalesce("at_limit", F.lit(False))
         | ((w != "") & ~w.rlike(r"^\d+$") & ~known & ~(capital & (F.col("suffix_share") >= 0.002)))
-        | (F.col("in_list") & known & ~capital & (F.col("seen") >= 20) & (F.col("line_ends") == 0))
+        | (F.col("in_list") & known & ~capital & (F.col("end_rate") < 0.1))
         | F.coalesce(F.col("is_budget").isNull() & (spent > F.length("text") * 1.5) & (spent - F.length("text") > 30), F.lit(False))
     )
     budgets = diagnostic.filter("budget > 0").select(F.col("budget").alias("completion_tokens")).distinct().withColumn("is_budget", F.lit(True))

@@ -75,6 +75,15 @@ def test_list_entries_are_judged_by_the_corpus(spark):
     assert sorted(x["request_id"] for x in truncation.truncated(r, q, d).collect()) == ["c1", "c2"]
 
 
+def test_list_entries_are_judged_by_rates(spark):
+    entries = [["- only the kiln near Marrotin", f"- {i} frozen parts", "- no tied loom at all"] for i in range(120)]
+    full = [(f"a{i}", "\n".join(["See the frozen, frozen, frozen list below.", *e[i % 3 :], *e[: i % 3]]), "stop", 30) for i, e in enumerate(entries)]
+    full += [("w", "So it is the\nkiln again.", "stop", 6), *[(f"f{i}", "It was 7 froz and no more.", "stop", 7) for i in range(3)]]
+    cut = [("c1", "See below.\n- only the kiln near Marrotin\n- 7 froz", "stop", 20), ("c2", "See below.\n- 4 frozen parts\n- only the", "stop", 20)]
+    r, q, d = frames(spark, full + cut, [(x[0], "answer", "List.") for x in full + cut])
+    assert sorted(x["request_id"] for x in truncation.truncated(r, q, d).collect()) == ["c1", "c2"]
+
+
 def test_hidden_limit_of_json_escaped_storage(spark):
     rng = random.Random(3)
     rows = []
