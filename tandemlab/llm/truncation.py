@@ -39,18 +39,18 @@ def lengths(text: Column) -> dict[str, Column]:
     }
 
 
-def hidden_limits(texts: DataFrame, least: int = 6, times: float = 8.0, window: int = 12, share: float = 0.8, rounds: int = 3) -> DataFrame:
+def hidden_limits(texts: DataFrame, least: int = 6, times: float = 8.0, window: int = 12, share: float = 0.8) -> DataFrame:
     """(encoding, length, texts, open_ends, share_open): lengths at which a store seems to cut.
 
     ``texts``: (text, unfinished boolean). Lengths are recomputed under each encoding and grouped; a length is a limit if at least
     ``least`` unfinished texts have it, ``times`` as many as lengths within ``window`` of it have on average, and at least
     ``share`` of its texts are unfinished. Encodings that agree on plain texts cast each other's shadow, so the encoding whose limits hold
-    most unfinished texts is taken first, and the others are asked again without those texts, at most ``rounds`` times in all.
+    most unfinished texts is taken first, and the others are asked again without those texts, until none has a limit left.
     """
     rest = materialize(texts.select("unfinished", *[v.cast("bigint").alias(k) for k, v in lengths(F.col("text")).items()]))
     kinds = [c for c in rest.columns if c != "unfinished"]
     found = texts.sparkSession.createDataFrame([], "encoding string, length bigint, texts bigint, open_ends bigint, share_open double")
-    for _ in range(rounds):
+    for _ in kinds:  # an encoding whose limits were taken has none left
         encoded = F.explode(F.create_map(*[x for k in kinds for x in (F.lit(k), F.col(k))])).alias("encoding", "length")
         per = rest.select("unfinished", encoded).groupBy("encoding", "length").agg(F.count("*").alias("texts"), F.sum(F.col("unfinished").cast("int")).alias("open_ends"))
         near = Window.partitionBy("encoding").orderBy("length").rangeBetween(-window, window)

@@ -101,6 +101,22 @@ def test_hidden_limit_of_json_escaped_storage(spark):
     assert (best["encoding"], best["length"]) == ("json", 200)
 
 
+def test_limits_of_four_stores_are_all_found(spark):
+    rng = random.Random(4)
+    size = {"chars": lambda c: 1, "utf8": lambda c: len(c.encode()), "json": lambda c: 1 + (c in '"\n'), "html": lambda c: {"&": 5, "<": 4, '"': 6}.get(c, 1)}
+    rows = []
+    for (_, count), limit in zip(size.items(), (150, 300, 450, 600), strict=True):
+        for _ in range(40):
+            odd, text, n = rng.uniform(0.02, 0.4), "", 0
+            while n < limit:
+                c = rng.choice('é"&<\n') if rng.random() < odd else rng.choice("abc ")
+                if n + count(c) <= limit:
+                    text, n = text + c, n + count(c)
+            rows.append((text, True))
+    found = truncation.hidden_limits(spark.createDataFrame(rows, "text string, unfinished boolean")).collect()
+    assert {(r["encoding"], r["length"]) for r in found} == set(zip(size, (150, 300, 450, 600), strict=True))
+
+
 def test_rates_and_empty_tables(spark):
     r, q, d = frames(spark, [], [])
     assert truncation.truncated(r, q, d).count() == 0 and truncation.truncation_rates(truncation.judged(r, q, d)).count() == 0
