@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,6 +108,46 @@ def greedy_partition(items: DataFrame, stratum: str, level: str, key: str, salt:
     return sample.groupBy(stratum).applyInPandas(place, f"{stratum} {types[stratum]}, {level} {types[level]}, {key} {types[key]}, split string")
 
 
+def exact_partition(rows: DataFrame, strata: list[str], key: str, salt: str, fractions: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:
+    """(strata, key, split): every key has a split, with exact capacities over all rows and each stratum near ``fractions``.
+
+    Strata take turns in hash order, their keys by salted hash; a key goes to the open split that deviates least from its share of the
+    stratum, then of all rows so far, then by hash. Each choice depends on all before it, so one task reads the sorted rows as a stream; it
+    holds the counts of the strata only, and ranks and order are made before it on many tasks. A null in a stratum counts as empty.
+    """
+
+    def digest(*parts: str) -> bytes:
+        return hashlib.sha256("\0".join(parts).encode()).digest()
+
+    ids = rows.filter(F.col(key).isNotNull()).select(*strata, key).distinct()
+    n = ids.count()
+    caps = [int(n * f) for f in fractions[:2]]
+    caps.append(n - sum(caps))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, done, held = [0, 0, 0], 0, {}
+        for pdf in batches:
+            splits = []
+            for k, stratum in zip(pdf["__id"], pdf["__s"], strict=True):
+                mine = held.setdefault(stratum, [0, 0, 0])
+                turn = sum(mine) + 1
+                i = min(
+                    (i for i in range(3) if total[i] < caps[i]),
+                    key=lambda i: (abs(mine[i] + 1 - turn * fractions[i]), abs(total[i] + 1 - (done + 1) * fractions[i]), digest(salt, "partition-tie", k, SPLITS[i])),
+                )
+                mine[i] += 1
+                total[i] += 1
+                done += 1
+                splits.append(SPLITS[i])
+            yield pdf[[*strata, key]].assign(split=splits)
+
+    types = dict(ids.dtypes)
+    parts = F.concat_ws("\0", *[F.coalesce(F.col(s).cast("string"), F.lit("")) for s in strata])
+    named = ids.withColumn("__s", F.sha2(F.concat(F.lit(salt + "\0stratum\0"), parts), 256)).withColumn("__id", F.col(key).cast("string"))
+    order = ranked(named, ["__s"], "__id", salt + "\0row").repartition(1).sortWithinPartitions("rank", "__s", "__id")
+    return order.mapInPandas(place, ", ".join(f"{c} {types[c]}" for c in [*strata, key]) + ", split string")
+
+
 def expand_design(items: DataFrame, conditions: list[str], seeds: list[int], reference: str, report_only: list[str] = (), coupled_only: bool = False) -> DataFrame:
     """``items`` x conditions x seeds x readouts with their roles; the plan side is literals, so no join is planned.
 

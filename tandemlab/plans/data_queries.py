@@ -91,7 +91,8 @@ def d7(spark, folder):
 @query("d8_d9_greedy_partition")
 def d8(spark, folder):
     part = table(spark, folder, "part").select(F.col("p_brand").alias("stratum"), F.col("p_size").alias("level"), F.col("p_partkey").cast("string").alias("k"))
-    return sampling.greedy_partition(part, "stratum", "level", "k", SALT, (4, 3, 3))
+    sampled = sampling.greedy_partition(part, "stratum", "level", "k", SALT, (4, 3, 3)).select("k", F.col("split").alias("sample_split"))
+    return sampling.exact_partition(part, ["stratum", "level"], "k", SALT).join(sampled, "k", "left").select("stratum", "level", "k", "split", "sample_split")
 
 
 @query("d10_group_contract", "SELECT dataset_id, group_id, count(DISTINCT item_id) AS variants FROM items WHERE group_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT item_id) <> 10")
