@@ -65,17 +65,23 @@ def expected_calibration_error(obs: DataFrame, by: list[str], bins: int = 10) ->
     return per.groupBy(*by).agg(F.sum("k").alias("n"), F.round(F.sum(F.col("k") * F.col("gap")) / F.sum("k"), 8).alias("ece"))
 
 
+def identical(valid: Column, answer: Column, valid0: Column, answer0: Column) -> Column:
+    """Whether two answers are the same answer: both valid and equal as parsed. A missing answer equals nothing."""
+    return valid & valid0 & F.coalesce(answer == answer0, F.lit(False))
+
+
 def same_answer(cells: DataFrame, reference: str, shifted: str) -> DataFrame:
-    """By run: of paired (item, seed), the share with the same answer correctness state and both answers valid, and what changes among them."""
+    """By run: of paired (item, seed), the share with one and the same answer under both conditions, and what changes among them."""
     pair = cells.filter(F.col("cond").isin(reference, shifted)).groupBy("run_id", "item", "seed").agg(
-        *[F.max(F.when(F.col("cond") == c, F.struct("a", "c", "conf", "y"))).alias(n) for n, c in (("r", reference), ("s", shifted))]
+        *[F.max(F.when(F.col("cond") == c, F.struct("a", "c", "conf", "ans", "y"))).alias(n) for n, c in (("r", reference), ("s", shifted))]
     )
     both = pair.filter(F.col("r").isNotNull() & F.col("s").isNotNull())
-    same = (F.col("r.a") == F.col("s.a")) & (F.col("r.y") == F.col("s.y"))
+    same = identical(F.col("s.a"), F.col("s.ans"), F.col("r.a"), F.col("r.ans"))
     valid = same & F.col("r.c") & F.col("s.c")
     return both.groupBy("run_id").agg(
         F.count("*").alias("pairs"), F.count_if(same).alias("same"), F.round(share(F.count_if(same), F.count("*")), 8).alias("same_rate"),
         F.round(F.avg(F.when(same, F.col("r.y").cast("double"))), 8).alias("accuracy_on_same"),
+        F.round(F.avg(F.when(same, F.col("s.y").cast("double"))), 8).alias("shifted_accuracy_on_same"),
         F.count_if(valid).alias("valid_pairs"), F.round(F.avg(F.when(valid, F.col("s.conf") - F.col("r.conf"))), 8).alias("mean_confidence_delta"),
     )
 
@@ -90,16 +96,19 @@ def accuracy_matched(obs: DataFrame, reference: str, tolerance: float) -> DataFr
 
 
 def intervention_strength(cells: DataFrame, reference: str) -> DataFrame:
-    """By run and shifted condition: how often the answer state and the confidence change, the latter also given an identical answer state."""
+    """By run and shifted condition: how often the answer and the confidence change, the latter also given an identical answer.
+
+    realisation is the larger of the two changes.
+    """
     ref = F.col("cond") == reference
     key = ["run_id", "item", "seed"]
-    base = cells.filter(ref).select(*key, F.col("y").alias("y0"), F.col("a").alias("a0"), F.when(F.col("c"), F.col("conf")).alias("c0"))
+    base = cells.filter(ref).select(*key, F.col("ans").alias("ans0"), F.col("a").alias("a0"), F.when(F.col("c"), F.col("conf")).alias("c0"))
     joined = cells.filter(~ref).join(base, key)
-    answer = ~((F.col("y") == F.col("y0")) & (F.col("a") == F.col("a0")))
+    answer = ~identical(F.col("a"), F.col("ans"), F.col("a0"), F.col("ans0"))
     conf = ~F.when(F.col("c"), F.col("conf")).eqNullSafe(F.col("c0"))
     mean = lambda x: F.avg(x.cast("double"))
     out = joined.groupBy("run_id", "cond").agg(F.count("*").alias("pairs"), mean(answer).alias("answer_changed"), mean(conf).alias("confidence_changed"), mean(F.when(~answer, conf)).alias("confidence_changed_same_answer"))
-    return out.select("run_id", "cond", "pairs", *[F.round(c, 8).alias(c) for c in ("answer_changed", "confidence_changed", "confidence_changed_same_answer")], F.round(F.greatest("answer_changed", "confidence_changed_same_answer"), 8).alias("realisation"))
+    return out.select("run_id", "cond", "pairs", *[F.round(c, 8).alias(c) for c in ("answer_changed", "confidence_changed", "confidence_changed_same_answer")], F.round(F.greatest("answer_changed", "confidence_changed"), 8).alias("realisation"))
 
 
 def item_deltas(cells: DataFrame, reference: str, shifted: str, tau: float) -> DataFrame:

@@ -11,13 +11,19 @@ COLUMNS = {
     "cluster": "coalesce(cluster_id, dataset_item_id)", "part": "dataset_partition", "cond": "condition_id", "seed": "seed",
     "a": "coalesce(answer_parse_status = 'valid', false)",
     "c": "coalesce(confidence_parse_status = 'valid' and confidence is not null and not isnan(confidence), false)",
-    "conf": "confidence", "y": "correct",
+    "conf": "confidence", "ans": "parsed_answer", "y": "correct",
 }
 
 
 def observations(delivered: DataFrame) -> DataFrame:
-    """Delivered observations once each (records ingested twice are alike): a answer valid, c confidence valid, y correct or null while pending."""
-    return delivered.filter(F.col("record_id").isNotNull()).dropDuplicates(["record_id"]).selectExpr(*[f"{e} as {n}" for n, e in COLUMNS.items()])
+    """Delivered observations once each: a answer valid, c confidence valid, ans the parsed answer, y correct or null while pending.
+
+    Of the copies of a record the one ingested first counts, the least by its other columns where several are; the same on every run.
+    """
+    rows = delivered.filter(F.col("record_id").isNotNull()).selectExpr("ingested_at", *[f"{e} as {n}" for n, e in COLUMNS.items()])
+    kept = [n for n in COLUMNS if n != "record_id"]
+    first = F.min_by(F.struct(*kept), F.struct(F.coalesce("ingested_at", F.timestamp_seconds(F.lit(1e11))), *kept))
+    return rows.groupBy("record_id").agg(first.alias("x")).select("record_id", *[F.col(f"x.{n}") for n in kept])
 
 
 def scored(obs: DataFrame) -> DataFrame:

@@ -251,10 +251,27 @@ def e4(spark, folder):
     return agg.filter("r != s").select("run_id", "cluster")
 
 
-@query("e5_e6_pivot", W + f"SELECT run_id, item, seed, {', '.join(f'''max(CASE WHEN cond = '{c}' THEN CASE WHEN y THEN 1 ELSE 0 END ELSE -1 END) AS {n}''' for n, c in (('r', 'reference'), ('h', 'high-temperature'), ('n', 'low-top-p')))} FROM cell GROUP BY ALL")
+_AT = {"r": REFERENCE, "h": HOT, "n": NARROW}
+_E6 = ", ".join(f"max(CASE WHEN cond = '{c}' THEN {e} END) AS {n}_{k}" for n, c in _AT.items() for k, e in (("ans", "CASE WHEN a THEN ans END"), ("conf", "CASE WHEN c THEN conf END")))
+
+
+@query("e5_e6_pivot", W + f"""SELECT run_id, item, seed, {', '.join(f"max(CASE WHEN cond = '{c}' THEN CASE WHEN y THEN 1 ELSE 0 END ELSE -1 END) AS {n}" for n, c in _AT.items())} FROM cell GROUP BY ALL""")
 def e5(spark, folder):
     at = lambda c: F.max(F.when(F.col("cond") == c, F.col("y").cast("int")).otherwise(-1))
-    return cell(spark, folder).groupBy("run_id", "item", "seed").agg(at(REFERENCE).alias("r"), at(HOT).alias("h"), at(NARROW).alias("n"))
+    return cell(spark, folder).groupBy("run_id", "item", "seed").agg(*[at(c).alias(n) for n, c in _AT.items()])
+
+
+@query("e6_changed_given_identical", W + f""", p AS (SELECT run_id, item, seed, {_E6} FROM cell GROUP BY ALL) SELECT run_id, {SUM("r_ans = h_ans")} AS identical_hot, {SUM("r_ans = h_ans AND r_conf IS DISTINCT FROM h_conf")} AS changed_hot,
+{SUM("r_ans = n_ans")} AS identical_narrow, {SUM("r_ans = n_ans AND r_conf IS DISTINCT FROM n_conf")} AS changed_narrow FROM p GROUP BY run_id""")
+def e6(spark, folder):
+    """Per run: (item, seed) cells whose valid answer is the same as under the reference, and those of them whose confidence is another."""
+    at = lambda c, v, ok: F.max(F.when((F.col("cond") == c) & F.col(ok), F.col(v)))
+    wide = cell(spark, folder).groupBy("run_id", "item", "seed").agg(*[x for n, c in _AT.items() for x in (at(c, "ans", "a").alias(f"{n}_ans"), at(c, "conf", "c").alias(f"{n}_conf"))])
+    out = []
+    for n, label in (("h", "hot"), ("n", "narrow")):
+        same = F.col("r_ans") == F.col(f"{n}_ans")
+        out += [F.count_if(same).alias(f"identical_{label}"), F.count_if(same & ~F.col("r_conf").eqNullSafe(F.col(f"{n}_conf"))).alias(f"changed_{label}")]
+    return wide.groupBy("run_id").agg(*out)
 
 
 @query("e7_thresholds_by_run", W + "SELECT t.run_id, t.model_id, t.dataset_id, count(o.record_id) AS records FROM calibration_thresholds t LEFT JOIN obs o ON o.run_id = t.run_id GROUP BY ALL")
@@ -367,10 +384,10 @@ def j5(spark, folder):
     return plan.subtract(o.select("run_id", "cond", "seed"))
 
 
-@query("k1_k2_ranked_picks", W + "SELECT run_id, arg_max(item, CAST(conf AS VARCHAR) || item) AS item FROM (SELECT run_id, item, round(conf, 4) AS conf FROM done WHERE c AND item IS NOT NULL AND conf < 1 AND conf >= 0.1) GROUP BY 1")
+@query("k1_k2_ranked_picks", W + "SELECT run_id, item FROM (SELECT run_id, item, row_number() OVER (PARTITION BY run_id ORDER BY conf DESC, item DESC) AS k FROM done WHERE c AND item IS NOT NULL) WHERE k = 1")
 def k2(spark, folder):
-    rows = done(spark, folder).filter("c and item is not null and conf < 1 and conf >= 0.1")
-    return rows.groupBy("run_id").agg(F.max_by("item", F.concat(F.round("conf", 4).cast("string"), "item")).alias("item"))
+    """The item of the highest confidence of each run, the last by name on a tie: one partial aggregate instead of a sort."""
+    return done(spark, folder).filter("c and item is not null").groupBy("run_id").agg(F.max_by("item", F.struct("conf", "item")).alias("item"))
 
 
 @query("k4_stable_order", f"WITH {_ITEMS} SELECT dataset_id, item_id, row_number() OVER (PARTITION BY dataset_id ORDER BY item_id) AS position FROM it")

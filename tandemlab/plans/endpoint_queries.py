@@ -35,7 +35,7 @@ def development(spark: SparkSession, folder: str) -> DataFrame:
 
 OBS = """obs AS (
   SELECT DISTINCT record_id, run_id, dataset_id, dataset_item_id AS item, coalesce(cluster_id, dataset_item_id) AS cluster, dataset_partition AS part, condition_id AS cond, seed,
-         coalesce(answer_parse_status = 'valid', false) AS a, coalesce(confidence_parse_status = 'valid' AND confidence IS NOT NULL, false) AS c, confidence AS conf, correct AS y
+         coalesce(answer_parse_status = 'valid', false) AS a, coalesce(confidence_parse_status = 'valid' AND confidence IS NOT NULL, false) AS c, confidence AS conf, parsed_answer AS ans, correct AS y
   FROM observations WHERE record_id IS NOT NULL),
 done AS (SELECT *, a AND c AND coalesce(conf >= 0.8, false) AS acc FROM obs WHERE y IS NOT NULL),
 cell AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, item, cond, seed ORDER BY record_id) AS k FROM done) WHERE k = 1),
@@ -135,9 +135,12 @@ def f8(spark, folder):
     return done(spark, folder).filter("c").groupBy("run_id", "dataset_id", "cond").agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("conf") - F.col("y").cast("double"), 2)) + 1e-12, 8).alias("brier"), F.round(F.avg("conf"), 8).alias("mean_confidence"))
 
 
-@query("f10_same_answer", W + f"""SELECT r.run_id, count(*) AS pairs, {SUM('r.a = s.a AND r.y = s.y')} AS same, round(sum(CASE WHEN r.a = s.a AND r.y = s.y THEN 1 ELSE 0 END) / count(*), 8) AS same_rate,
-  round(avg(CASE WHEN r.a = s.a AND r.y = s.y THEN CASE WHEN r.y THEN 1.0 ELSE 0.0 END END), 8) AS accuracy_on_same, {SUM('r.a = s.a AND r.y = s.y AND r.c AND s.c')} AS valid_pairs,
-  round(avg(CASE WHEN r.a = s.a AND r.y = s.y AND r.c AND s.c THEN s.conf - r.conf END), 8) AS mean_confidence_delta
+_SAME = "(r.a AND s.a AND coalesce(r.ans = s.ans, false))"
+
+
+@query("f10_same_answer", W + f"""SELECT r.run_id, count(*) AS pairs, {SUM(_SAME)} AS same, round(sum(CASE WHEN {_SAME} THEN 1 ELSE 0 END) / count(*), 8) AS same_rate,
+  round(avg(CASE WHEN {_SAME} THEN CASE WHEN r.y THEN 1.0 ELSE 0.0 END END), 8) AS accuracy_on_same, round(avg(CASE WHEN {_SAME} THEN CASE WHEN s.y THEN 1.0 ELSE 0.0 END END), 8) AS shifted_accuracy_on_same,
+  {SUM(_SAME + ' AND r.c AND s.c')} AS valid_pairs, round(avg(CASE WHEN {_SAME} AND r.c AND s.c THEN s.conf - r.conf END), 8) AS mean_confidence_delta
   FROM cell r JOIN cell s ON r.run_id = s.run_id AND r.item = s.item AND r.seed = s.seed WHERE r.cond = 'reference' AND s.cond = 'high-temperature' GROUP BY r.run_id""")
 def f10(spark, folder):
     paired = cell(spark, folder).filter(F.col("run_id").isNotNull() & F.col("item").isNotNull() & F.col("seed").isNotNull())
@@ -149,12 +152,12 @@ def f11(spark, folder):
     return ep.accuracy_matched(done(spark, folder), REFERENCE, 0.05)
 
 
-_STRENGTH = """pair AS (SELECT s.run_id, s.cond, NOT (s.y = r.y AND s.a = r.a) AS ch, (CASE WHEN s.c THEN s.conf END) IS DISTINCT FROM (CASE WHEN r.c THEN r.conf END) AS cc
+_STRENGTH = f"""pair AS (SELECT s.run_id, s.cond, NOT {_SAME} AS ch, (CASE WHEN s.c THEN s.conf END) IS DISTINCT FROM (CASE WHEN r.c THEN r.conf END) AS cc
   FROM cell s JOIN cell r ON r.run_id = s.run_id AND r.item = s.item AND r.seed = s.seed AND r.cond = 'reference' WHERE s.cond <> 'reference'),
 strength AS (SELECT run_id, cond, count(*) AS pairs, round(avg(CASE WHEN ch THEN 1.0 ELSE 0.0 END), 8) AS answer_changed, round(avg(CASE WHEN cc THEN 1.0 ELSE 0.0 END), 8) AS confidence_changed, round(avg(CASE WHEN NOT ch THEN CASE WHEN cc THEN 1.0 ELSE 0.0 END END), 8) AS confidence_changed_same_answer FROM pair GROUP BY ALL)"""
 
 
-@query("f12_intervention_strength", W + f", {_STRENGTH} SELECT *, round(greatest(answer_changed, confidence_changed_same_answer), 8) AS realisation FROM strength")
+@query("f12_intervention_strength", W + f", {_STRENGTH} SELECT *, round(greatest(answer_changed, confidence_changed), 8) AS realisation FROM strength")
 def f12(spark, folder):
     return ep.intervention_strength(cell(spark, folder), REFERENCE)
 

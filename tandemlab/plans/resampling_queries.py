@@ -129,7 +129,7 @@ def h14(spark, folder):
     return classified(spark, folder).select("run_id", "contrast", "equivalent", "classification", "overlap")
 
 
-@query("f26_separation", W + f""", {_STATS}, {_DRAWS}, {_RAND}, {_HOLM}, {_CI}, {_CLASS}, {_STRENGTH}, rl AS (SELECT *, round(greatest(answer_changed, confidence_changed_same_answer), 8) AS realisation FROM strength),
+@query("f26_separation", W + f""", {_STATS}, {_DRAWS}, {_RAND}, {_HOLM}, {_CI}, {_CLASS}, {_STRENGTH}, rl AS (SELECT *, round(greatest(answer_changed, confidence_changed), 8) AS realisation FROM strength),
 j AS (SELECT coalesce(c.equivalent, false) AS eq, r.realisation FROM cl c JOIN rl r ON r.run_id = c.run_id AND r.cond = c.contrast WHERE r.realisation IS NOT NULL)
 SELECT max(CASE WHEN eq THEN realisation END) AS max_equivalent, min(CASE WHEN NOT eq THEN realisation END) AS min_other, CAST(sum(CASE WHEN eq THEN 1 ELSE 0 END) AS BIGINT) AS equivalent_contrasts, max(CASE WHEN eq THEN realisation END) < min(CASE WHEN NOT eq THEN realisation END) AS separated FROM j""")
 def f26(spark, folder):

@@ -1,5 +1,6 @@
 """Operators against identities, brute force and known values."""
 
+import datetime as dt
 import math
 import random
 
@@ -12,14 +13,15 @@ from pyspark.sql import functions as F
 from tandemlab.functions.expressions import OUTCOMES
 from tandemlab.operators import audit, endpoints, fits, inference, ranking_metrics, resample, sampling, thresholds, variance
 from tandemlab.operators.graph import components
+from tandemlab.operators.observations import observations
 from tandemlab.operators.ranking import bucketed_rank
 
-OBS = "record_id string, run_id string, dataset_id string, item string, cluster string, part string, cond string, seed bigint, a boolean, c boolean, conf double, y boolean"
+OBS = "record_id string, run_id string, dataset_id string, item string, cluster string, part string, cond string, seed bigint, a boolean, c boolean, conf double, ans string, y boolean"
 
 
 def obs(spark, rows):
-    """rows: (item, cond, conf or None, y, a)"""
-    return spark.createDataFrame([(f"r{i}", "run", "d", it, it, "test", cond, 1, a, conf is not None, conf, y) for i, (it, cond, conf, y, a) in enumerate(rows)], OBS)
+    """rows: (item, cond, conf or None, y, a, ans); the answer may be left out"""
+    return spark.createDataFrame([(f"r{i}", "run", "d", it, it, "test", cond, 1, a, conf is not None, conf, (*ans, "A")[0], y) for i, (it, cond, conf, y, a, *ans) in enumerate(rows)], OBS)
 
 
 def test_five_outcomes_sum_to_one(spark):
@@ -40,6 +42,26 @@ def test_same_risk_other_coverage(spark):
     assert got["a"]["risk"] == got["b"]["risk"] and (got["a"]["coverage"], got["b"]["coverage"]) == (1.0, 0.2)
 
 
+def test_the_same_answer_is_not_the_same_correctness(spark):
+    rows = [
+        ("1", "ref", 0.9, False, True, "A"), ("1", "new", 0.8, False, True, "B"), ("2", "ref", 0.9, True, True, "C"), ("2", "new", 0.7, False, True, "C"), ("3", "ref", 0.5, False, False, None), ("3", "new", 0.5, False, False, None),
+        ("4", "ref", None, True, True, "D"), ("4", "new", 0.9, True, True, "D"), ("5", "ref", 0.9, True, True, "A"),
+    ]
+    cells = obs(spark, rows)
+    got = endpoints.same_answer(cells, "ref", "new").first()
+    assert (got["pairs"], got["same"], got["accuracy_on_same"], got["shifted_accuracy_on_same"], got["valid_pairs"]) == (4, 2, 1.0, 0.5, 1)
+    assert got["mean_confidence_delta"] == pytest.approx(-0.2)
+    strength = endpoints.intervention_strength(cells, "ref").first()
+    assert (strength["answer_changed"], strength["confidence_changed"], strength["confidence_changed_same_answer"], strength["realisation"]) == (0.5, 0.75, 1.0, 0.75)
+
+
+def test_of_the_copies_of_a_record_the_first_ingested_counts(spark):
+    schema = "record_id string, run_id string, dataset_id string, dataset_item_id string, cluster_id string, dataset_partition string, condition_id string, seed bigint, answer_parse_status string, confidence_parse_status string, confidence double, parsed_answer string, correct boolean, ingested_at timestamp"
+    row = lambda i, ans, day: (i, "r", "d", "x", None, "test", "ref", 1, "valid", "valid", 0.5, ans, True, None if day is None else dt.datetime(2026, 1, day))
+    df = spark.createDataFrame([row("a", "B", 2), row("a", "A", 3), row("a", "C", None), row("b", "Z", None), row("b", "Y", None), row(None, "A", 1)], schema)
+    assert {r["record_id"]: r["ans"] for r in observations(df.repartition(3)).collect()} == {"a": "B", "b": "Y"}
+
+
 def arms(spark, change):
     ref = [(f"i{n:02d}", "ref", 0.9, n % 3 == 0, True) for n in range(40)]
     return resample.cluster_stats(obs(spark, ref + [change(*r) for r in ref]), 0.8, "ref", ["new"])
