@@ -1,29 +1,50 @@
 """Problem 9: template residue, filler, error pages, access messages and script notices in the place of content.
 
-A positive-unlabelled naive Bayes model is fitted by expectation-maximization from passages that trusted patterns mark, over all passages
-of all documents, and every passage is scored. Defined results: null and blank texts are no case; repeated doc_ids are scored together;
-an empty table gives an empty result; without any trusted passage nothing is found; other columns are never read. Whole texts are read.
+A positive-unlabelled naive Bayes model is fitted by expectation-maximization from trusted error and placeholder records, over all passages
+of a bounded sample of documents, and every passage of every document is scored in one pass; a record is residue if one of its passages is.
+Defined results: null and blank texts are no case; repeated doc_ids are scored together; an empty table gives an empty result; other
+columns are never read. Whole texts are read, and no passage is too long to be scored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandemlab.sources.tables import materialize, spread
+from tandemlab.sources.tables import spread
+
+# Trusted records, one each; what pages show in the place of content, in four languages. The model learns the rest from them.
+TRUSTED = (
+    "404 Not Found", "Error 404: page not found", "403 Forbidden", "401 Unauthorized", "500 Internal Server Error", "502 Bad Gateway", "503 Service Unavailable", "504 Gateway Timeout", "429 Too Many Requests",
+    "The page you requested could not be found", "This page does not exist", "This page is no longer available", "Sorry, something went wrong", "An error occurred while loading the page",
+    "An unexpected error occurred, please try again later", "Access denied", "You do not have permission to view this page", "Your account may not view this document", "Please log in to continue", "Please sign in to view this content", "Your session has expired, please sign in again",
+    "Too many requests, please try again later", "The server is not responding", "The service is temporarily unavailable", "Connection timed out", "Connection refused", "Rate limit exceeded", "Unexpected token in JSON at position 0",
+    "Checking your browser before you continue", "Verify that you are human", "Just a moment, please wait", "Please enable JavaScript to continue", "JavaScript is disabled in your browser", "This site requires JavaScript and cookies",
+    "This page does not work without JavaScript", "You need to allow cookies and scripts to view this page", "Loading, please wait",
+    "Lorem ipsum dolor sit amet", "Sample text", "Dummy text", "Placeholder text", "This is a placeholder sentence", "This is a dummy paragraph", "Your text here", "Enter your text here", "Content goes here", "Content coming soon",
+    "To be added", "Some text", "test test test test test test", "asdf jklq wrtzp qxkj fghjk",
+    "Fehler 404: Seite nicht gefunden", "Diese Seite ist nicht verfügbar", "Zugriff verweigert, bitte melden Sie sich an", "Zu viele Anfragen, bitte versuchen Sie es später erneut", "Der Dienst ist zurzeit nicht verfügbar",
+    "Bitte aktivieren Sie JavaScript, um fortzufahren", "Diese Seite benötigt JavaScript und Cookies", "Beispieltext", "Platzhaltertext, bitte ersetzen", "Hier steht der Text",
+    "Erreur 404 : page introuvable", "Cette page n'est pas disponible", "Accès refusé, veuillez vous connecter", "Trop de demandes, veuillez réessayer plus tard", "Le service est temporairement indisponible",
+    "Veuillez activer JavaScript pour continuer", "Cette page nécessite JavaScript et des cookies", "Texte d'exemple", "Texte d'exemple, à remplacer", "Contenu à venir",
+    "Error 404: página no encontrada", "Esta página no está disponible", "Acceso denegado, inicie sesión", "Demasiadas solicitudes, inténtelo más tarde", "El servicio no está disponible",
+    "Active JavaScript para continuar", "Esta página necesita JavaScript y cookies", "Texto de ejemplo", "Texto de prueba", "Contenido pendiente",
+)
 
-BITS = 18
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
 FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 TICKS = re.compile(r"`[^`\n]+`")
 JSON_LINE = re.compile(r'^\s*[\[{]\s*(?:[{"\]}]|$)')
+STACK = re.compile(r"at \S+$|at \S*[.(:]")
+QUOTED = re.compile(r"^\s*(?:>\s?)+")
 TAGS = re.compile(r"</?(?:h[1-6]|p|br|hr|div|b|i|u|em|strong|span|a|ul|ol|li|table|tr|td|th|title|body|html|head|small|center|think|answer|code|pre)\b[^<>\n]{0,120}>", re.I)
 
 _ID = r"[^\W\d][\w.]{0,30}"
@@ -35,82 +56,45 @@ SLOTS = {
     "dunder": r"__[^\W\d_](?:[^\W_]|_(?!_)){1,40}__", "ats": rf"@@\s*{_ID}\s*@@", "curly": rf"(?<![#${{]){{\s*{_ID}\s*}}(?!}})", "pipe": rf"(?<![|\w])\|{_ID}\|(?![|\w])",
     "tilde": rf"(?<![~\w])~{_ID}~(?!~)", "percents": rf"(?<![%\w])%{_ID}%(?![\w])", "dollars": rf"(?<![$\w])\${_ID}\$(?![\w])", "hashes": rf"(?<![#\w])#{_ID}#(?![\w])",
     "upper": r"\[[A-ZÀ-Þ][A-ZÀ-Þ0-9_]{2,40}\]",
-    "insert": r"[\[(<{][^\[\](){}<>\n]{0,40}\b(?:insert|inserted|insérer|insérez|insertar|inserte|einfügen|einsetzen|goes here|go here|missing|placeholder|platzhalter|tbd|todo|to do|fixme|fill in|your [\w.]+ here|votre [\w.]+ ici|su [\w.]+ aquí|ihr[e]? [\w.]+ hier|à compléter|por completar|auszufüllen)\b[^\[\](){}<>\n]{0,50}[\])>}]",
+    "insert": r"[\[(<{][^\[\](){}<>\n]{0,40}\b(?:insert|inserted|enter|insérer|insérez|insertar|inserte|einfügen|einsetzen|goes here|go here|missing|placeholder|platzhalter|tbd|todo|to do|fixme|fill in|your [\w.]+ here|votre [\w.]+ ici|su [\w.]+ aquí|ihr[e]? [\w.]+ hier|à compléter|à remplir|por completar|rellenar|auszufüllen|zu ergänzen)\b[^\[\](){}<>\n]{0,50}[\])>}]",
     "tagged": rf"<\s*(?!/)(?:{_ID})\s*>", "xs": r"\bX{4,}\b", "blank": r"_{4,}|\[_+\]",
 }
 SLOT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SLOTS.items()), re.I)
 UPPER = re.compile(SLOTS["upper"])
 EXPLICIT = re.compile(SLOTS["insert"], re.I)
 # What introduces an example of a slot.
-EXAMPLE = re.compile(r"(?:\bsuch as|\blike|\bfor example|\be\.g\.|\bthe form|\bnamed|\bcalled|\bwie|\bz\. ?b\.|\bbeispielsweise|\bcomme|\bpar exemple|\bcomo|\bpor ejemplo|\bform|[\"'“„«`(])\s*(?:\S+\s*(?:or|oder|ou|o|,)\s*)?$", re.I)
-
-# What a sentence says that speaks of slots: a noun for the thing and a verb for its filling, in this order or the other.
-SPEAKS = re.compile(
-    r"(?=.*\b(?:template|slot|placeholders?|strings?|config|variable|marker|backticks|gabarit|chaîne|vorlage|platzhalter wird|plantilla|cadena)\b)"
-    r"(?=.*\b(?:filled|scanned|expanded|replaced|swaps?|swapped|substituted|allowed|written|writes|remplacée?|rempli|ersetzt|ausgefüllt|gefüllt|cambia|sustituye|rellena|reemplaza)\b)"
-    r"(?=.*\b(?:once|never|run time|launcher|manual|code|einmal|seule fois|sola vez|only|when|at)\b)",
-    re.I,
-)
+EXAMPLE = re.compile(r"(?:\b(?:slot|string|placeholder|variable)|\bsuch as|\blike|\bfor example|\be\.g\.|\bthe form|\bnamed|\bcalled|\bwie|\bz\. ?b\.|\bbeispielsweise|\bcomme|\bpar exemple|\bcomo|\bpor ejemplo|\bform|[\"'“„«`(])\s*(?:\S+\s*(?:or|oder|ou|o|,)\s*)?$", re.I)
 
 # Frequent words of filler Latin.
-LATIN = set("lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum vitae dapibus vestibulum curabitur pellentesque mauris donec vivamus".split())
-
-_SCRIPT = r"(?:java ?scripts?|js|scripts?|scripting|script support|cookies?|skripte?|skripting)"
-# Messages that stand for content, each from its beginning; words of four languages.
-MESSAGES = re.compile(
-    r"^\W*(?:(?:notice|sorry|oops|whoops|ups|hoppla|warning|attention|hinweis|error|fehler|erreur|status(?: code)?|http(?:/\d\.\d)?|code)\b\W*)*"
-    r"(?:(?:not found|nicht gefunden|introuvable|no encontrad[ao])\W*$|(?:[45]\d\d)\b\W*(?:$|(?:error|fehler|erreur|-|bad|not|internal|service|the|gateway|forbidden|unauthori[sz]ed|too|page|seite|log|access|request|página|la|le|der|die|das|el|this)\b.{0,70}$)"
-    r"|(?:[45]\d\d)\s*[:,.!–-]\s*.{3,70}$"
-    r"|(?:then )?(?:the )?(?:page|file|item|record|document|resource|content|answer sheet|dataset card|question set|exercise|this \w+(?: \w+)?|the \w+(?: \w+)? you (?:asked|looked) for|seite|diese \w+|page|cette \w+|página|esta \w+|este \w+)\s+(?:is |was |ist |wurde |est |n'est |no (?:está|se) )?(?:not found|failed to load|could not be (?:found|loaded|opened|shown)|cannot be (?:found|shown|reached|displayed|opened)|not available|no longer available|nicht gefunden|nicht (?:verfügbar|erreichbar)|introuvable|indisponible|no encontrad[ao]|no disponible|not here)\b.{0,60}$"
-    r"|(?:access|zugriff|accès|acceso)\s+(?:was |is |to .{1,30} (?:was |is )?|wurde |est |a été )?(?:denied|refused|forbidden|verweigert|refusé|interdit|denegado|prohibido)\b(?! on day).{0,60}$"
-    r"|(?:you (?:have no|do not have|don't have|lack|are not|need) (?:the )?(?:permission|access|allowed|authori[sz]ed|rights?))\b.{0,60}$|your \w+ (?:may not|cannot|can't|is not (?:allowed|permitted) to) (?:see|open|view|read|access|load)\b.{0,50}$"
-    r"|(?:please )?(?:log|sign) ?in to (?:see|view|read|go|continue|open|access)\b.{0,50}$|(?:bitte (?:melden|loggen) sie sich|veuillez vous connecter|inicie sesión|conéctese)\b.{0,50}$"
-    r"|(?:too many requests|zu viele anfragen|trop de (?:demandes|requêtes)|demasiad[ao]s (?:peticiones|solicitudes))\b(?! were).{0,60}$"
-    r"|(?:we are having trouble|we could not (?:load|open|find|show)|something went wrong|an? (?:unexpected |internal )?error (?:has )?occurred|bad gateway|gateway time-?out|service (?:is )?(?:temporarily )?unavailable|internal (?:server )?error|connection (?:timed out|refused|reset|was)|request timed out|unexpected token|unhandled exception|forbidden|unauthori[sz]ed|session (?:has )?expired|maintenance|proxy error|server error|time-?out)\b.{0,70}$"
-    r"|(?:the (?:service|server|site|page)|der (?:dienst|server)|die seite|le (?:service|serveur|site)|el (?:servicio|servidor|sitio))\s+.{0,25}(?:cannot be reached|unavailable|not (?:available|reachable)|nicht erreichbar|nicht verfügbar|momentanément indisponible|indisponible|no está disponible|down for)\b.{0,40}$"
-    r"|(?:checking (?:your|that)|please wait while|(?:one|just a) moment\b.{0,20}(?:checking|verif)|verifying|bitte warten|veuillez patienter|espere)\b.{0,70}$"
-    rf"|(?:please |to go on,? |bitte |veuillez |por favor )?(?:enable|activate|allow|switch on|turn on|unblock|aktivieren(?: sie)?|erlauben(?: sie)?|schalten(?: sie)?|activez|activer|autorisez|active|activar|habilite|permita)\b.{{0,20}}\b{_SCRIPT}\b.{{0,70}}$"
-    rf"|(?:this|the|your|you|it|our|we|these|that|diese[rs]?|ihr|die|der|das|cette|ce|votre|le|la|esta|este|su|el)\b.{{0,50}}(?:needs?|requires?|works? (?:only )?with|without|blocks?|blocked|switched off|turned off|disabled|drawn by|could not detect|does not (?:run|work|support)|need to (?:allow|enable|activate)|must be on|braucht|benötigt|erfordert|ausgeschaltet|deaktiviert|besoin|nécessite|désactivé|necesita|requiere|desactivad)\b.{{0,30}}\b{_SCRIPT}\b.{{0,60}}$"
-    rf"|(?:your|ihr|votre|su)\b.{{0,24}}\b{_SCRIPT}\b.{{0,16}}(?:switched off|turned off|disabled|blocked|ausgeschaltet|deaktiviert|désactivé|desactivad).{{0,40}}$"
-    rf"|{_SCRIPT}(?: and {_SCRIPT})?\s+(?:must|have to|has to|need to|is|are)\s+(?:be )?(?:on|enabled|allowed|required|disabled|switched off|turned off|blocked)\b(?! or not).{{0,60}}$"
-    rf"|no {_SCRIPT}\b\W*(?:then|\?).{{0,60}}$|(?:we )?could not detect {_SCRIPT}.{{0,60}}$|loading\W*(?:$|if nothing|please).{{0,70}}$"
-    rf"|{_SCRIPT}\W*(?:disabled|required|erforderlich|requis|requerido|necesario|nécessaire)\b.{{0,40}}$"
-    r")",
-    re.I,
-)
-# Sentences that stand for content to come.
-FILLER = re.compile(
-    r"^\W*(?:(?:sample|dummy|example|placeholder|filler|test|some|more) (?:text|content|answer|question|option|paragraph|title|sentence|item|passage)\b(?: (?:one|two|three|four|\d+|here|goes here|only|for layout\b.{0,60}))?\W*$"
-    r"|(?:this is|here is|here goes|dies ist|ceci est|esto es)\b.{0,16}\b(?:dummy|placeholder|sample|filler|a sentence|a paragraph|a test|blindtext|ein test)\b.{0,40}$"
-    r"|do not grade\W*$|(?:your|the|our) (?:content|text|title|item|answer|question)\b.{0,20}\b(?:goes here|will be (?:shown|added|placed)|will follow|here)\b.{0,40}$"
-    r"|(?:type|enter|write|put|add|insert|paste) your \w+ (?:in this|here|in the)\b.{0,30}$|(?:content|text|page) (?:coming soon|to come|will follow|to be (?:added|replaced))\b.{0,30}$|coming soon\W*$"
-    r"|(?:body|title|heading|text|name) of the (?:block|section|page|article|item)\W*$|(?:to be replaced|replace (?:this|me))\b.{0,40}$"
-    r"|(?:beispieltext|blindtext|platzhaltertext|fülltext|mustertext)\b.{0,50}$|hier (?:steht|folgt|kommt)\b.{0,20}\b(?:inhalt|text)\b.{0,20}$"
-    r"|(?:texte? (?:d'exemple|factice|provisoire|de remplacement|à remplacer|de prueba|de ejemplo|de relleno)|texto (?:de prueba|de ejemplo|de relleno|provisional)|faux texte)\b.{0,60}$|(?:contenu|contenido)\b.{0,12}\b(?:à venir|pendiente|llegará|próximamente|suivra)\b.{0,30}$"
-    r"|.{0,40}\bfor layout only\b.{0,50}$|(?:.{0,20}\bthe (?:true|real|final) (?:item )?(?:text|content) will follow\b.{0,20})$|(?:content\W*){3,}$|(?:asdf|qwerty|foo|bar|baz|blah|bla|test|xxx|abc|lalala|jkl)(?:\W+(?:asdf|qwerty|foo|bar|baz|blah|bla|test|xxx|abc|lalala|jkl))+\W*$)",
-    re.I,
-)
-
-# Cheap tests that come before the patterns above: a passage that fails one cannot match.
+LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum vitae dapibus vestibulum curabitur pellentesque mauris donec vivamus".split())
+
+#: A pair says again what its words say, so it counts this much of its log odds.
+PAIR = 0.5
+#: A passage without any of these holds no slot.
 SLOT_SIGN = re.compile(r"[{}\[\]<>%_@~|$#(]|[Xx]{4}")
-MESSAGE_WORDS = frozenset(
-    "javascript script scripts scripting skript skripte skripting js cookie cookies java found available denied refused forbidden access zugriff accès acceso permission allowed authorised authorized authorisation authorization unauthorised unauthorized rights right"
-    " log login sign melden loggen connecter sesión conéctese requests anfragen demandes requêtes peticiones solicitudes trouble could went error errors fehler erreur gateway service dienst servicio server serveur servidor site sitio seite página page introuvable indisponible disponible"
-    " connection time timed timeout unexpected exception expired maintenance checking wait moment verifying verified warten patienter espere loading gefunden verfügbar erreichbar encontrado encontrada here cannot reached reachable unavailable may allowed permitted see open view read".split()
-)
-FILLER_WORDS = frozenset(
-    "text content dummy sample example placeholder filler sentence paragraph test grade your coming block section replace replaced hier contenu contenido inhalt layout follow asdf qwerty foo bar baz blah bla xxx abc lalala jkl some more body heading title beispieltext blindtext platzhaltertext fülltext mustertext texte texto faux future".split()
-)
 #: Frequent function words; prose that holds one is no keyboard mash.
 COMMON = frozenset("the of and to in is that with for on at by der die das und ist den mit von zu nicht la le les de des et est une un que el los y en por se con pas pour dans du sur".split())
 
 
+def unwrapped(text: str) -> list[str]:
+    """The lines of ``text`` without quote marks; a line that goes on in lower case where the one before it has no end is joined to it."""
+    out: list[str] = []
+    last = ""
+    for raw in re.split(r"[\n\r]", text):
+        line = QUOTED.sub("", raw).strip()
+        if line and last and line[0].islower() and not STACK.match(line) and last[-1] not in ".!?:;|`}>)]\"'”’»":
+            out[-1] += " " + line
+        elif line:
+            out.append(line)
+        last = line
+    return out
+
+
 def passages(text: str) -> list[str]:
     """The lines of prose of ``text``, cut into sentences; code, data rows and table rows are left out."""
     out = []
-    for line in re.split(r"[\n\r]+", FENCE.sub("\n", text)):
-        line = line.strip()
-        if not line or JSON_LINE.match(line) and '"' in line and not SLOT.fullmatch(line) or line.startswith("|") and line.count("|") >= 3 and not SLOT.search(line):
+    for line in unwrapped(FENCE.sub("\n", text)):
+        if JSON_LINE.match(line) and '"' in line and not SLOT.fullmatch(line) or line.startswith("|") and line.count("|") >= 3 and not SLOT.search(line):
             continue
         line = TAGS.sub(" ", line)
         for part in re.split(r"(?<=[.!?])\s+|\s+\|\s+", line):
@@ -135,174 +119,236 @@ def mashed(words: list[str]) -> bool:
     return odd >= 0.4 * len(words)
 
 
-def read_passage(part: str) -> tuple[int, int, list[str]]:
-    """(model, label, features) of a passage. Model 1: it holds a slot, 0: it holds none. Label 1: trusted, -1: trusted not, 0: unlabelled."""
-    masked = TICKS.sub(" `code` ", part)
-    slots = [m for m in (SLOT.finditer(masked) if SLOT_SIGN.search(masked) else ()) if m.lastgroup not in ("upper", "xs") or (UPPER.fullmatch(m[0]) if m.lastgroup == "upper" else m[0].isupper())]
-    slots = [m for m in slots if not (m.lastgroup == "tagged" and m[0].lower() in ("<answer>", "<text>", "<think>"))]
-    if slots:
-        feats = set()
-        rest = SLOT.sub(" ", masked)
-        alone = not re.search(r"\w", rest)
-        explicit = bool(EXPLICIT.search(masked))
-        example = False
-        for m in slots:
-            kind = m.lastgroup or ""
-            left, right = WORD.findall(masked[: m.start()].lower())[-2:], WORD.findall(masked[m.end() :].lower())[:2]
-            feats.add(f"s:{kind}")
-            feats |= {f"l:{w}" for w in left} | {f"r:{w}" for w in right} | {"l2:" + " ".join(left), "r2:" + " ".join(right)}
-            example |= bool(EXAMPLE.search(masked[max(0, m.start() - 80) : m.start()])) and not alone
-        if alone:
-            feats.add("alone")
-        words = WORD.findall(rest.lower())
-        feats |= {f"w:{w}" for w in words if not w.isdigit()}
-        feats |= {f"b:{a} {b}" for a, b in zip(words, words[1:], strict=False)}
-        label = -1 if not alone and (example and not explicit or SPEAKS.match(rest)) else 1 if alone or explicit else 0
-        return 1, label, sorted(feats)
-    words = [w if not w.isdigit() else "#" for w in WORD.findall(masked.lower())]
-    feats = {f"w:{w}" for w in words} | {f"b:{a} {b}" for a, b in zip(["^", *words], [*words, "$"], strict=False)} | {f"n:{min(len(words), 40).bit_length()}"}
-    latin = sum(w in LATIN for w in words)
-    label = 0
-    if latin >= 4 and latin >= 0.6 * len(words):
-        feats.add("latin")
-        label = 1
-    elif repeats(words):
-        feats.add("repeats")
-        label = 1
-    elif mashed(words):
-        feats.add("mash")
-        label = 1
-    elif len(words) > 24:
-        label = -1
-    elif (not MESSAGE_WORDS.isdisjoint(words) or re.search(r"[45]\d\d", part)) and MESSAGES.match(part) or not FILLER_WORDS.isdisjoint(words) and FILLER.match(part):
-        label = 1
-    return 0, label, sorted(feats)
-
-
-def _ids(model: int, feats: list[str]) -> list[int]:
-    """Hashed features; the upper half of the table belongs to model 1."""
-    half = 1 << (BITS - 1)
-    return [model * half + (xxhash.xxh32_intdigest(f) & (half - 1)) for f in feats]
-
-
-def passage_features(documents: DataFrame) -> DataFrame:
-    """(doc_id, model, label, ids): one row per passage of every document."""
+def tokens(part: str) -> list[str]:
+    """The words of a passage in lower case; a number is '#', or, of three digits from 400 to 599, '#4' or '#5'."""
+    return [w if not w[0].isdigit() else f"#{w[0]}" if len(w) == 3 and w[0] in "45" else "#" for w in WORD.findall(part.lower())]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out: dict[str, list] = {"doc_id": [], "model": [], "label": [], "ids": []}
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                parts = passages(text)
-                for k, part in enumerate(parts):
-                    model, label, feats = read_passage(part)
-                    if model == 0 and label == 0 and k and 2 <= len(WORD.findall(part)) <= 4 and [w.lower() for w in WORD.findall(part)] == [w.lower() for w in WORD.findall(parts[k - 1])]:
-                        label = 1  # the same few words twice in a row
-                    out["doc_id"].append(doc_id)
-                    out["model"].append(model)
-                    out["label"].append(label)
-                    out["ids"].append(_ids(model, feats))
-            yield pd.DataFrame(out)
 
-    rows = spread(documents.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"))
-    return rows.mapInPandas(run, "doc_id bigint, model int, label int, ids array<int>")
+def shape(words: list[str], before: list[str] | None = None) -> str | None:
+    """What a passage without meaning is: filler Latin, a repetition (within itself or of the few words before it) or keyboard mash."""
+    if 4 <= sum(w in LATIN for w in words) >= 0.6 * len(words):
+        return "=latin"
+    if repeats(words) or before == words and 2 <= len(words) <= 4 and not all(w[0] == "#" for w in words):
+        return "=repeat"
+    return "=mash" if mashed(words) else None
 
 
-def _log_odds(pdf: pd.DataFrame, weights: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Log odds of being residue, by row."""
-    if not len(pdf):
-        return np.zeros(0)
-    sizes = np.fromiter((len(x) for x in pdf["ids"]), dtype=np.int64, count=len(pdf))
-    flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["ids"]]) if sizes.sum() else np.zeros(0, dtype=np.int64)
-    owner = np.repeat(np.arange(len(pdf)), sizes)
-    return np.bincount(owner, weights=weights[flat], minlength=len(pdf)) + prior[pdf["model"].to_numpy()]
+def features(words: list[str], kind: str | None) -> set[str]:
+    """The features of a passage without slots: its words and pairs with both edges, or only its shape; the edges of one word count together."""
+    if kind:
+        return {kind}
+    if len(words) == 1:
+        return {words[0], f"^ {words[0]} $"}
+    return {*words, *(f"{a} {b}" for a, b in zip(["^", *words], [*words, "$"], strict=True))}
 
 
-def fit(feats: DataFrame, rounds: int = 4, beta: float = 10.0, clip: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
-    """(weights by feature, prior by model) of the naive Bayes model.
+def slots_of(part: str) -> tuple[list[str], int] | None:
+    """(words beside the slots, label) of a passage that holds a slot, else None.
 
-    Round 0 takes trusted passages as residue and all others as not, or, of passages with slots, where speaking of a slot is a trusted
-    mark of the contrary, leaves the unlabelled out; each later round gives an unlabelled passage the share that the last model gives it. Rates are smoothed with ``beta`` passages of the background of their own model, so a feature that no residue has
-    speaks against it, however rare it is; passages with slots take the words of all passages for their background, ten times as
-    strongly for residue, and a feature counts at most ``clip``. A round is one pass that adds up masses by hashed feature; 2^18 sums at most, whatever the
-    corpus, meet the driver.
+    Label 1: a slot that stands alone or asks to be filled is trusted residue; -1: one that is introduced as an example is trusted to be none.
     """
-    spark = feats.sparkSession
-    size, half = 1 << BITS, 1 << (BITS - 1)
-    weights, prior = np.zeros(size), np.array([-math.inf, -math.inf])
-    for r in range(rounds):
-        shared = spark.sparkContext.broadcast((weights, prior))
-
-        def masses(batches: Iterator[pd.DataFrame], shared=shared, first=r == 0) -> Iterator[pd.DataFrame]:
-            w, p0 = shared.value
-            pos, neg, heads = np.zeros(size), np.zeros(size), np.zeros((2, 2))
-            for pdf in batches:
-                label, model = pdf["label"].to_numpy(), pdf["model"].to_numpy()
-                share = 1 / (1 + np.exp(-np.clip(_log_odds(pdf, w, p0), -50, 50)))
-                share = np.where(label == 1, 1.0, np.where(label == -1, 0.0, share))
-                counts = np.where((model == 1) & (label == 0) & first, 0.0, 1.0)
-                sizes = np.fromiter((len(x) for x in pdf["ids"]), dtype=np.int64, count=len(pdf))
-                if sizes.sum():
-                    flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["ids"]])
-                    pos += np.bincount(flat, weights=np.repeat(share * counts, sizes), minlength=size)
-                    neg += np.bincount(flat, weights=np.repeat((1 - share) * counts, sizes), minlength=size)
-                for m in (0, 1):
-                    heads[m] += (share * counts)[model == m].sum(), ((1 - share) * counts)[model == m].sum()
-            at = np.flatnonzero((pos > 0) | (neg > 0))
-            yield pd.DataFrame({"f": np.concatenate([at, [-1, -2]]), "pos": np.concatenate([pos[at], heads[:, 0]]), "neg": np.concatenate([neg[at], heads[:, 1]])})
-
-        got = feats.select("model", "label", "ids").mapInPandas(masses, "f int, pos double, neg double").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()
-        shared.unpersist()
-        if not len(got):
+    if not SLOT_SIGN.search(part):
+        return None
+    masked = TICKS.sub(" `code` ", part)
+    slots = [m for m in SLOT.finditer(masked) if m.lastgroup not in ("upper", "xs") or (UPPER.fullmatch(m[0]) if m.lastgroup == "upper" else m[0].isupper())]
+    slots = [m for m in slots if not (m.lastgroup == "tagged" and m[0].lower() in ("<answer>", "<text>", "<think>"))]
+    if not slots:
+        return None
+    rest = SLOT.sub(" ", masked)
+    words = tokens(rest)
+    if not words or EXPLICIT.search(masked):
+        return words, 1
+    return words, -1 if any(EXAMPLE.search(masked[max(0, m.start() - 80) : m.start()]) for m in slots) else 0
+
+
+def slot_features(words: list[str]) -> set[str]:
+    return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
+
+
+@dataclass
+class Model:
+    """Log odds by feature. ``pairs`` holds pairs of words by their first; what residue never showed counts ``absent``, a slot's ``rare``."""
+
+    words: dict[str, float] = field(default_factory=dict)
+    pairs: dict[str, dict[str, float]] = field(default_factory=dict)
+    prior: float = -math.inf
+    absent: float = 0.0
+    slots: dict[str, float] = field(default_factory=dict)
+    rare: float = 0.0
+
+    def message(self, words: list[str], kind: str | None) -> float:
+        if kind:
+            return self.prior + self.words.get(kind, self.absent)
+        if not words:
+            return -math.inf
+        own = set(words)
+        get, absent = self.words.get, self.absent
+        total = self.prior + sum([get(w, absent) for w in own])
+        if len(words) == 1:
+            return total + get(f"^ {words[0]} $", 0.0)
+        if len(own) < len(words):
+            return total + sum(self.pairs.get(a, {}).get(b, 0.0) for a, b in set(zip(["^", *words], [*words, "$"], strict=True)))
+        for a, b in zip(["^", *words], [*words, "$"], strict=True):
+            if (by := self.pairs.get(a)) is not None:
+                total += by.get(b, 0.0)
+        return total
+
+    def slot(self, words: list[str], label: int) -> float:
+        return 50.0 * label if label else sum(self.slots.get(f, self.rare) for f in slot_features(words))
+
+
+def _index(rows: Iterable[set[str]]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """(number by feature, features of all rows, row of each)."""
+    ids: dict[str, int] = {}
+    flat: list[int] = []
+    sizes: list[int] = []
+    for fs in rows:
+        flat += [ids.setdefault(f, len(ids)) for f in sorted(fs)]
+        sizes.append(len(fs))
+    return ids, np.array(flat, dtype=np.int64), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _fit_messages(model: Model, words: list[list[str]], kinds: list[str | None], record: list[int], rounds: int, beta: float) -> None:
+    """Classification EM over the passages without slots; the trusted records are rows of it, and so are passages that equal one of them or have a shape.
+
+    A round takes the passages that the last model holds for residue as residue and all others as not; a passage beside residue in its own
+    record has the prior of such passages. ``beta`` is the share of the background in residue, so a word that residue never showed counts
+    log(beta / (1 + beta)) whatever the size of the sample; a pair of words that it never showed counts nothing.
+    """
+    own = {tuple(tokens(t)) for t in TRUSTED}
+    for j, t in enumerate(TRUSTED):
+        words.append(tokens(t))
+        kinds.append(shape(words[-1]))
+        record.append(-1 - j)
+    fixed = np.array([k is not None or tuple(w) in own for w, k in zip(words, kinds, strict=True)])
+    ids, flat, owner = _index(features(w, k) for w, k in zip(words, kinds, strict=True))
+    n, rows = len(ids), len(words)
+    pair = np.array([" " in f for f in ids])
+    doc = np.unique(np.array(record), return_inverse=True)[1]
+    total = np.bincount(flat, minlength=n)
+    share, seen = fixed.astype(float), -1
+    for _ in range(rounds):
+        p = share.sum()
+        q = rows - p
+        pos = np.bincount(flat, weights=share[owner], minlength=n)
+        ground = total / rows
+        weight = np.log((pos / p + beta * ground) / (1 + beta)) - np.log((total - pos + 1e-3 * max(q, 1.0) * ground) / (max(q, 1.0) * 1.001))
+        weight[pair] *= np.where(pos[pair] < 1, 0.0, PAIR)
+        score = np.bincount(owner, weights=weight[flat], minlength=rows)
+        beside = np.bincount(doc, weights=share)[doc] - share > 0.5
+        hit = share[beside].sum()
+        near = min(0.0, math.log((hit + 1) / (beside.sum() - hit + 1)))
+        far = math.log((p - hit + 1) / (max(0.0, (~beside).sum() - (p - hit)) + 1))
+        share = np.where(fixed, 1.0, (score + np.where(beside, near, far) > 0).astype(float))
+        if share.sum() == seen:
             break
-        table = got.set_index("f")
-        pos, neg = np.zeros(size), np.zeros(size)
-        body = table[table.index >= 0]
-        pos[body.index], neg[body.index] = body["pos"], body["neg"]
-        for m in (0, 1):
-            p, n = float(table["pos"].get(-1 - m, 0.0)), float(table["neg"].get(-1 - m, 0.0))
-            at = slice(m * half, (m + 1) * half)
-            if p == 0:
-                weights[at], prior[m] = 0.0, -math.inf
+        seen = share.sum()
+    for f, k in ids.items():
+        if pos[k] > 0 and not (pair[k] and pos[k] < 1):
+            a, _, b = f.partition(" ")
+            if b and " " not in b:
+                model.pairs.setdefault(a, {})[b] = float(weight[k])
+            else:
+                model.words[f] = float(weight[k])
+    model.prior, model.absent = math.log(p / max(q, 1.0)), math.log(beta / (1 + beta))
+
+
+def _fit_slots(model: Model, rows: list[list[str]], labels: list[int], words: list[list[str]], rounds: int, beta: float = 10.0, clip: float = 3.0, support: int = 3) -> None:
+    """EM over sentences with slots. An unfilled slot stands in any sentence, so the words beside it are those of all passages; the other
+    class, which speaks of slots, is learned. Features seen in fewer than ``support`` sentences count together, as one that is rarer there.
+    """
+    count: Counter[str] = Counter()
+    for w in words:
+        count.update(slot_features(w))
+    ids, flat, owner = _index(slot_features(w) for w in rows)
+    n, size = len(ids), np.bincount(owner, minlength=len(rows)).astype(float)
+    if not n:
+        return
+    label = np.array(labels)
+    ground = np.array([(count[f] + 0.5) / (len(words) + 1) for f in ids])
+    known = np.bincount(flat, minlength=n) >= support
+    rare = np.bincount(owner, weights=(~known[flat]).astype(float), minlength=len(rows))
+    share = np.where(label == 1, 1.0, np.where(label == -1, 0.0, 0.5))
+    for _ in range(rounds):
+        other = np.bincount(flat, weights=(1 - share)[owner], minlength=n)
+        weight = np.clip(np.log(ground) - np.log((other + beta * ground) / ((1 - share).sum() + beta)), -clip, clip)
+        often = ((share * rare).sum() + 1) / ((share * size).sum() + 2), (((1 - share) * rare).sum() + 1) / (((1 - share) * size).sum() + 2)
+        model.rare = min(clip / 2, max(0.0, math.log(often[0] / often[1])))
+        weight[~known] = model.rare
+        odds = np.bincount(owner, weights=weight[flat], minlength=len(rows))
+        share = np.where(label == 1, 1.0, np.where(label == -1, 0.0, 1 / (1 + np.exp(-np.clip(odds, -50, 50)))))
+    model.slots = {f: float(weight[k]) for f, k in ids.items() if known[k]}
+
+
+def fit(texts: Iterable[tuple[int, str]], rounds: int = 12, beta: float = 0.02) -> Model:
+    """The model of a bounded sample of (doc_id, text), in the order of its rows."""
+    model = Model()
+    words, kinds, record = [], [], []
+    slot_rows, slot_labels = [], []
+    for i, (_, text) in enumerate(texts):
+        before = None
+        for part in passages(text):
+            if (slot := slots_of(part)) is not None:
+                slot_rows.append(slot[0])
+                slot_labels.append(slot[1])
+                before = None
                 continue
-            background = (pos[at] + neg[at]) / (p + n)
-            if m == 1:  # an unfilled slot stands in any sentence: the words around it are those of all passages
-                ordinary = (pos[:half] + neg[:half]) / max(1.0, float(table["pos"].get(-1, 0.0) + table["neg"].get(-1, 0.0)))
-                background = np.where(ordinary > 0, ordinary, background)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                odds = np.log((pos[at] + beta * (1 + 9 * m) * background) / (p + beta * (1 + 9 * m))) - np.log((neg[at] + beta * background) / (n + beta))
-            weights[at] = np.where((background > 0) & (pos[at] + neg[at] + (pos[:half] + neg[:half]) * m > 0), odds, 0.0)
-            if m == 1:
-                weights[at] = np.clip(weights[at], -clip, clip)
-            prior[m] = math.log((p + 1) / (n + 1))
-    return weights, prior
-
-
-def score(feats: DataFrame, weights: np.ndarray, prior: np.ndarray, least: float = 35.0) -> DataFrame:
-    """(doc_id, passages, residue, trusted, log_odds): the passages of each document, those that are residue, and the highest log odds.
-
-    A passage is residue if it is trusted or its log odds are above 0; without a slot they must be above ``least``, since words speak
-    together and two or three of them alone are no message.
+            w = tokens(part)
+            words.append(w)
+            kinds.append(shape(w, before))
+            record.append(i)
+            before = w
+    _fit_slots(model, slot_rows, slot_labels, words, rounds)
+    _fit_messages(model, words, kinds, record, rounds, beta)
+    return model
+
+
+def score_text(text: str, model: Model) -> tuple[int, int, float]:
+    """(passages, passages that are residue, highest log odds) of a text."""
+    n = hits = 0
+    best, before = -math.inf, None
+    for part in passages(text):
+        n += 1
+        if (slot := slots_of(part)) is not None:
+            odds, before = model.slot(*slot), None
+        else:
+            w = tokens(part)
+            odds = model.message(w, shape(w, before))
+            before = w
+        hits += odds > 0
+        best = max(best, odds)
+    return n, hits, best
+
+
+def sample_of(documents: DataFrame, fit_documents: int, fit_chars: int) -> list[tuple[int, str]]:
+    """About ``fit_documents`` documents of ``fit_chars`` characters at most, chosen by the hash of their ids; all where there are fewer.
+
+    Documents longer than a tenth of ``fit_chars`` are left out of the sample, so that it stays bounded.
+    """
+    rows = documents.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= fit_chars // 10)).select("doc_id", "text")
+    n, chars = rows.agg(F.count("*"), F.sum(F.length("text"))).first()
+    parts = max(1, -(-n // fit_documents), -(-(chars or 0) // fit_chars))
+    return sorted((int(r[0]), r[1]) for r in rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(parts)) == 0).collect())
+
+
+def residue_scores(documents: DataFrame, fit_documents: int = 12_000, fit_chars: int = 12_000_000) -> DataFrame:
+    """(doc_id, passages, residue, log_odds) of every document with a passage; residue > 0 is the record's decision.
+
+    The model is fitted on the driver from a sample that ``fit_documents`` and ``fit_chars`` bound, and its table is broadcast: it holds what
+    residue shows, which does not grow with the corpus. All documents are scored, in one pass without a shuffle but for repeated ids.
     """
-    shared = feats.sparkSession.sparkContext.broadcast((weights, prior))
+    model = fit(sample_of(documents, fit_documents, fit_chars))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            odds = _log_odds(pdf, *shared.value)
-            label = pdf["label"].to_numpy()
-            odds = np.where(label == -1, -50.0, odds)
-            odds = odds - np.where(pdf["model"].to_numpy() == 0, least, 0.0)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": label, "odds": np.clip(odds, -50.0, 50.0)})
-
-    rows = feats.mapInPandas(run, "doc_id bigint, label int, odds double")
-    hit = (F.col("odds") > 0) | (F.col("label") == 1)
-    return rows.groupBy("doc_id").agg(F.count("*").alias("passages"), F.count_if(hit).alias("residue"), F.count_if(F.col("label") == 1).alias("trusted"), F.max("odds").alias("log_odds"))
-
-
-def residue_scores(documents: DataFrame) -> DataFrame:
-    """(doc_id, passages, residue, trusted, log_odds) of every document with a passage; residue > 0 is the record's decision."""
-    feats = materialize(passage_features(documents))
-    weights, prior = fit(feats)
-    return score(feats, weights, prior)
+            scores = [(i, *score_text(t, shared.value)) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True)]
+            out = pd.DataFrame(scores, columns=["doc_id", "passages", "residue", "log_odds"])
+            yield out[out["passages"] > 0]
+
+    rows = spread(documents.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"))
+    per = rows.mapInPandas(run, "doc_id bigint, passages bigint, residue bigint, log_odds double")
+    return per.groupBy("doc_id").agg(F.sum("passages").alias("passages"), F.sum("residue").alias("residue"), F.max("log_odds").alias("log_odds"))
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:

@@ -159,5 +159,35 @@ def test_residue_of_nothing(spark):
 
 @pytest.mark.parametrize("text", ["word " * 200_000, "{" * 50_000, "|" * 50_000 + "x", "[" * 30_000 + "]" * 30_000, "a" * 500_000, ("such as " * 20_000) + "{x}"])
 def test_very_long_documents(text):
-    for part in residue.passages(text):
-        residue.read_passage(part)
+    model = residue.fit([(1, text)])
+    assert residue.score_text(text, model)[0] == len(residue.passages(text))
+
+
+def test_long_messages_are_scored_like_short_ones(spark):
+    rng = random.Random(8)
+    prose = lambda: f"The {rng.choice(WORDS)} of Zar{rng.choice(['lan', 'mik', 'tor'])} quietly {rng.choice(WORDS)} the {rng.choice(WORDS)} in {rng.randrange(300)} runs."
+    sound = [(i, " ".join(prose() for _ in range(5))) for i in range(400)]
+    long = "Access denied, please log in to continue, or sign in to view this page, or try again later, because you do not have permission to view this page and your session has expired, so please sign in again"
+    model = residue.fit(sound)
+    assert len(residue.tokens(long)) > 30 and residue.score_text(long, model)[1] == 1
+    assert not any(residue.score_text(t, model)[1] for _, t in sound)
+
+
+def test_the_model_finds_messages_that_are_no_trusted_records():
+    rng = random.Random(9)
+    prose = lambda: f"The {rng.choice(WORDS)} of Zar{rng.choice(['lan', 'mik', 'tor'])} quietly {rng.choice(WORDS)} the {rng.choice(WORDS)} in {rng.randrange(300)} runs."
+    rows = [(i, " ".join(prose() for _ in range(5))) for i in range(600)]
+    # words that only stand in messages are learned from them
+    rows += [(1000 + i, f"Error {rng.choice([403, 404, 500])}: page not found, return to the kiosk") for i in range(12)]
+    model = residue.fit(rows)
+    assert residue.score_text("Return to the kiosk", model)[1] == 1 and residue.score_text("Zarlan met the kiosk of w5.", model)[1] == 0
+
+
+def test_wrapped_lines_are_one_passage():
+    assert residue.passages("> 4. Leave out\n> commas while it rains.\nAccess denied\nRetry") == ["4. Leave out commas while it rains.", "Access denied", "Retry"]
+
+
+def test_the_sample_of_the_fit_is_bounded(spark):
+    docs = documents(spark, [(i, "A sound sentence stands here.") for i in range(500)] + [(900, None), (901, "x" * 4000)])
+    assert len(residue.sample_of(docs, 10_000, 10_000_000)) == 501
+    assert 20 < len(residue.sample_of(docs, 50, 10_000)) < 90
