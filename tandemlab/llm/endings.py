@@ -59,46 +59,50 @@ def loops(text: str, least: int = 3) -> bool:
     return False
 
 
+#: All that can open or close something.
+TOKEN = re.compile(r"```|</?(?:think|thinking|reasoning|scratchpad)>|[{}\[\]()\"\\]", re.I)
+BLANK = re.compile(r"\s*")
+
+
 def _stack(text: str) -> list[str]:
     """What stands open at the end: fence, tag, or the brackets and strings of JSON and code. Brackets of prose do not count."""
     stack: list[str] = []
-    i, n, fence_at = 0, len(text), -1
-    while i < n:
-        if text.startswith("```", i):
+    code = False  # within a fence that holds code or data
+    skip = -1
+    for m in TOKEN.finditer(text):
+        i, c = m.start(), m[0]
+        if i < skip:
+            continue
+        top = stack[-1] if stack else ""
+        if c == "```" and (top != '"' or "fence" in stack):
             if "fence" in stack:
                 del stack[stack.index("fence") :]
+                code = False
             else:
                 stack = [s for s in stack if s == "tag"] + ["fence"]
-                fence_at = i
-            i += 3
-            continue
-        c = text[i]
-        top = stack[-1] if stack else ""
-        if top in ('"', "'"):
+                code = not _prose_fence(text, i)
+        elif top == '"':
             if c == "\\":
-                i += 2
-                continue
-            if c == top:
+                skip = i + 2
+            elif c == top:
                 stack.pop()
-            elif c == "\n" and top == "'":
-                stack.pop()
-        elif c == "<" and (m := re.match(r"</?(think|thinking|reasoning|scratchpad)>", text[i : i + 16], re.I)):
-            if m[0][1] == "/":
+        elif c[0] == "<":
+            if c[1] == "/":
                 while stack and stack.pop() != "tag":
                     pass
             else:
                 stack.append("tag")
-            i += len(m[0])
-            continue
-        elif c in "{[" and (stack and top not in ("tag", "fence") or _opens_data(text, i) or "fence" in stack and fence_at >= 0 and not _prose_fence(text, fence_at)):
-            stack.append("}" if c == "{" else "]")
-        elif c in "}])" and top == c:
-            stack.pop()
-        elif c == "(" and "fence" in stack and not _prose_fence(text, fence_at):
-            stack.append(")")
-        elif c == '"' and (top in ("}", "]", ")") or "fence" in stack and not _prose_fence(text, fence_at)):
+        elif c in "{[":
+            if stack and top not in ("tag", "fence") or code or _opens_data(text, i):
+                stack.append("}" if c == "{" else "]")
+        elif c in "}])":
+            if top == c:
+                stack.pop()
+        elif c == "(":
+            if code:
+                stack.append(")")
+        elif c == '"' and (top in ("}", "]", ")") or code):
             stack.append('"')
-        i += 1
     return stack
 
 
@@ -108,23 +112,36 @@ def _prose_fence(text: str, at: int) -> bool:
 
 def _opens_data(text: str, i: int) -> bool:
     """Whether a bracket outside of data begins JSON: an object with a quoted key, or an array of objects or strings, or the text ends there."""
-    rest = text[i + 1 : i + 200].lstrip()
-    if not rest:
+    j = BLANK.match(text, i + 1).end()
+    after = text[j : j + 1]
+    if not after:
         return True
     if text[i] == "{":
-        return rest[0] == '"' or rest[0] == "}"
-    return rest[0] in '{["' and (rest[0] != "[" or len(rest) > 1)
+        return after in '"}'
+    return after in '{"' or after == "[" and BLANK.match(text, j + 1).end() < len(text)
+
+
+def _mark_at_end(pattern: re.Pattern[str], text: str) -> int:
+    """Where the marks at the very end of ``text`` begin, or -1; they are sought in a tail that grows while they fill it."""
+    size = 400
+    while True:
+        tail = text[-size:]
+        m = pattern.search(tail)
+        if m is None:
+            return -1
+        if m.start() > 0 or size >= len(text):
+            return len(text) - len(tail) + m.start()
+        size *= 4
 
 
 def ending(text: str | None, wants_json: bool = False) -> Ending:
     """Reads the end of ``text``. ``wants_json``: the prompt asks for a closing JSON object."""
-    if text is None or NO_CONTENT.match(seen := bare(answer_part(text))) and not (set("{[`<") & set(seen) and _stack(text)) and not HARD_MARK.search(seen[-400:]):
+    if text is None or NO_CONTENT.match(seen := bare(answer_part(text))) and not (set("{[`<") & set(seen) and _stack(text)) and _mark_at_end(HARD_MARK, seen) < 0:
         return Ending(EMPTY, "no content", "", False, False)
     loop = loops(seen)
-    if HARD_MARK.search(seen[-400:]):
+    if _mark_at_end(HARD_MARK, seen) >= 0:
         return Ending(CUT, "broken character or escape", "", False, loop)
-    soft = SOFT_MARK.search(seen[-400:])  # a mark is short; what stands before it is parsed in whole
-    if soft and soft.start() + max(0, len(seen) - 400) > 0:
+    if _mark_at_end(SOFT_MARK, seen) > 0:
         return Ending(CUT, "mark of a cut", "", False, loop)
     if loop and not re.search(r"[}\]`]$", seen):
         return Ending(CUT, "repetition", "", False, True)

@@ -24,7 +24,7 @@ def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_limits(spark: SparkSession, folder: str) -> DataFrame:
-    return truncation.response_limits(_judged(spark, folder))
+    return truncation.read_pairs(table(spark, folder, "inference_responses"), table(spark, folder, "inference_requests"))[1]
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

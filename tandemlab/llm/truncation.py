@@ -7,14 +7,18 @@ never read. Whole texts are parsed.
 
 from __future__ import annotations
 
+import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandemlab.llm import endings
-from tandemlab.sources.tables import materialize, spread
+from tandemlab.sources.tables import drop_materialized, materialize, spread
 
 #: A response is put as chars of text a token where the corpus has no finished response to learn it from.
 CHARS_A_TOKEN = 4.2
@@ -23,18 +27,18 @@ CHARS_A_TOKEN = 4.2
 def lengths(text: Column) -> dict[str, Column]:
     """The length of a text as a store may have counted it, by encoding."""
     n = F.length(text)
-    hits = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
-    quotes, lines = n - hits(r'["\\\n\r\t]'), n - hits("\n")
-    wide = n - hits(r"[^\x00-\x7f]")
-    entity = (n - hits("&")) * 4 + (n - hits("[<>]")) * 3 + (n - hits('"')) * 5 + (n - hits("'")) * 4
+    count = lambda marks: n - F.length(F.translate(text, marks, ""))
+    quotes = count('"\\\n\r\t')
+    wide = n - F.length(F.regexp_replace(text, r"[^\x00-\x7f]", ""))
+    entity = count("&") * 4 + count("<>") * 3 + count('"') * 5 + count("'") * 4
     return {
         "chars": n,
         "utf8": F.octet_length(text),
-        "utf16": n + (n - hits(r"[\x{10000}-\x{10ffff}]")),
+        "utf16": n + (n - F.length(F.regexp_replace(text, r"[\x{10000}-\x{10ffff}]", ""))),
         "json": n + quotes,
         "json_ascii": n + quotes + wide * 5,
         "html": n + entity,
-        "crlf": n + lines,
+        "crlf": n + count("\n"),
         "json_utf8": F.octet_length(text) + quotes,
     }
 
@@ -42,29 +46,34 @@ def lengths(text: Column) -> dict[str, Column]:
 def hidden_limits(texts: DataFrame, least: int = 6, times: float = 8.0, window: int = 12, share: float = 0.8) -> DataFrame:
     """(encoding, length, texts, open_ends, share_open): lengths at which a store seems to cut.
 
-    ``texts``: (text, unfinished boolean). Lengths are recomputed under each encoding and grouped; a length is a limit if at least
-    ``least`` unfinished texts have it, ``times`` as many as lengths within ``window`` of it have on average, and at least
-    ``share`` of its texts are unfinished. Encodings that agree on plain texts cast each other's shadow, so the encoding whose limits hold
-    most unfinished texts is taken first, and the others are asked again without those texts, until none has a limit left.
+    ``texts``: (text, unfinished boolean, null where the text itself does not tell). Lengths of all texts are recomputed under each encoding
+    and grouped; a length is a limit if ``times`` as many texts have it as lengths within ``window`` of it have on average, and if, of those
+    that tell, ``least`` and a ``share`` are unfinished. Encodings that agree on plain texts cast each other's shadow, so the encoding whose limits hold most texts is taken
+    first, and the others are asked again without those texts, until none has a limit left.
     """
-    rest = materialize(texts.select("unfinished", *[v.cast("bigint").alias(k) for k, v in lengths(F.col("text")).items()]))
+    spark = texts.sparkSession
+    sized = materialize(texts.select("unfinished", *[v.cast("bigint").alias(k) for k, v in lengths(F.col("text")).items()]))
+    rest = sized
     kinds = [c for c in rest.columns if c != "unfinished"]
-    found = texts.sparkSession.createDataFrame([], "encoding string, length bigint, texts bigint, open_ends bigint, share_open double")
+    limits: list[tuple] = []  # one row per limit of a store: few
     for _ in kinds:  # an encoding whose limits were taken has none left
         encoded = F.explode(F.create_map(*[x for k in kinds for x in (F.lit(k), F.col(k))])).alias("encoding", "length")
-        per = rest.select("unfinished", encoded).groupBy("encoding", "length").agg(F.count("*").alias("texts"), F.sum(F.col("unfinished").cast("int")).alias("open_ends"))
+        per = rest.select("unfinished", encoded).groupBy("encoding", "length").agg(F.count("*").alias("texts"), F.count("unfinished").alias("told"), F.count_if("unfinished").alias("open_ends"))
         near = Window.partitionBy("encoding").orderBy("length").rangeBetween(-window, window)
-        around = (F.sum("open_ends").over(near) - F.col("open_ends")) / (2.0 * window)
-        ok = (F.col("open_ends") >= least) & (F.col("open_ends") >= F.lit(times) * F.col("around")) & (F.col("open_ends") >= F.lit(share) * F.col("texts"))
-        now = materialize(per.withColumn("around", around).filter(ok).select("encoding", "length", "texts", "open_ends", F.round(F.col("open_ends") / F.col("texts"), 6).alias("share_open")))
-        held = {r["encoding"]: r["n"] for r in now.groupBy("encoding").agg(F.sum("open_ends").alias("n")).collect()}  # one row per encoding
+        around = (F.sum("texts").over(near) - F.col("texts")) / (2.0 * window)
+        spike = (F.col("open_ends") >= least) & (F.col("texts") >= F.lit(times) * F.col("around"))
+        kept = per.withColumn("around", around).filter(spike & (F.col("open_ends") >= F.lit(share) * F.col("told"))).drop("around").collect()
+        held: dict[str, int] = defaultdict(int)
+        for r in kept:
+            held[r["encoding"]] += r["texts"]
         if not held:
             break
         best = max(kinds, key=lambda k: (held.get(k, 0), -kinds.index(k)))
-        chosen = now.filter(F.col("encoding") == best)
-        found = found.unionByName(chosen)
-        rest = rest.join(chosen.select(F.col("length").alias(best)), best, "left_anti")
-    return found
+        chosen = sorted((best, r["length"], r["texts"], r["open_ends"], round(r["open_ends"] / r["told"], 6)) for r in kept if r["encoding"] == best)
+        limits += chosen
+        rest = rest.filter(~F.col(best).isin([x[1] for x in chosen]))
+    drop_materialized(sized)
+    return spark.createDataFrame(limits, "encoding string, length bigint, texts bigint, open_ends bigint, share_open double")
 
 
 def one_each(rows: DataFrame, key: str, *columns: str, order: str | None = None) -> DataFrame:
@@ -76,80 +85,146 @@ def one_each(rows: DataFrame, key: str, *columns: str, order: str | None = None)
     return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
 
 
+def delivered(responses: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, text, finish_reason, completion_tokens, prompt, stage, run_id): each response once with its request."""
+    resp = one_each(responses, "request_id", "text", "finish_reason", "completion_tokens", order="received_at")
+    return resp.join(one_each(requests, "request_id", "prompt", "stage", "run_id"), "request_id", "left")
+
+
 def read_endings(pairs: DataFrame) -> DataFrame:
-    """(request_id, text, prompt, ...) with state, why, last_word, in_list: how each text ends, by the pushdown parser."""
-    schema = "request_id string, state string, why string, last_word string, in_list boolean, loop boolean"
+    """``pairs`` (with text and prompt) and state, why, last_word, in_list: how each text ends, by the pushdown parser."""
+    added = [("state", "string"), ("why", "string"), ("last_word", "string"), ("in_list", "boolean")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, *endings.ending(t, bool(j))) for i, t, j in zip(pdf["request_id"], pdf["text"], pdf["wants_json"], strict=True)]
-            yield pd.DataFrame(rows, columns=["request_id", "state", "why", "last_word", "in_list", "loop"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"string": pa.string(), "boolean": pa.bool_()}
+        for batch in batches:
+            texts, prompts = batch.column("text").to_pylist(), batch.column("prompt").to_pylist()
+            rows = [endings.ending(t, p is not None and "JSON" in p)[:4] for t, p in zip(texts, prompts, strict=True)]
+            columns = [pa.array([r[i] for r in rows], types[kind]) for i, (_, kind) in enumerate(added)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *[n for n, _ in added]])
+
+    return pairs.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema), *(f"{n} {k}" for n, k in added)]))
+
+
+LETTERS = re.compile(r"[^\W\d_]+")
+LAST_LETTERS = re.compile(r"[^\W\d_]+\Z")
+
+
+def line_ends(text: str) -> list[str]:
+    """The words that end a line, but for the last line, without a mark."""
+    out = []
+    for line in text.split("\n")[:-1]:
+        last = line.rsplit(None, 1)[-1:]
+        if last and last[0].isalpha():
+            out.append(last[0])
+        elif last and (m := LAST_LETTERS.search(last[0])):
+            out.append(m[0])
+    return out
+
+
+def word_counts(texts: DataFrame, flush: int = 400_000) -> DataFrame:
+    """(w, n, e) over all columns of ``texts``: how often each word stands inside a text, and how often it ends a line that is not the last.
 
-    return pairs.select("request_id", "text", F.coalesce(F.col("prompt").contains("JSON"), F.lit(False)).alias("wants_json")).mapInPandas(run, schema)
+    Counts are added up in each task before they are moved; a task holds at most about ``flush`` words at a time and passes on what it has.
+    """
+    columns = texts.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        inner: Counter[str] = Counter()
+        ends: Counter[str] = Counter()
+
+        def take() -> Iterator[pd.DataFrame]:
+            ws = list(inner.keys() | ends.keys())
+            for i in range(0, len(ws), 20_000):
+                part = ws[i : i + 20_000]
+                yield pd.DataFrame({"w": part, "n": [inner[w] for w in part], "e": [ends[w] for w in part]})
+            inner.clear()
+            ends.clear()
+
+        for batch in batches:
+            for c in columns:
+                for t in batch[c]:
+                    if t is not None:
+                        inner.update(LETTERS.findall(t)[:-1])
+                        ends.update(line_ends(t))
+                        if len(inner) > flush:
+                            yield from take()
+        yield from take()
+
+    return texts.mapInPandas(run, "w string, n bigint, e bigint").groupBy("w").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
 
 
 def word_evidence(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(last_word, seen, longer, end_rate, suffix_share): what the corpus says of the ``wanted`` last words.
 
     ``seen``: times the word stands inside a text, not at its end; ``longer``: times a longer word that begins with it does (looked up for
-    beginnings of at most 64 letters); ``end_rate``: the share of its sightings that end a line that is not the last, without a mark, against that share of all words, smoothed by two sightings of the usual share; ``suffix_share``: the share of its last three letters
-    among capitalised words inside texts. All are counts over all texts, added up before the shuffle; only the wanted words are joined.
+    beginnings of at most 64 letters); ``end_rate``: the share of its sightings that end a line that is not the last, without a mark,
+    against that share of all words, smoothed by two sightings of the usual share; ``suffix_share``: the share of its last three letters
+    among capitalised words inside texts. All are counts over all texts; only the wanted words are joined.
     """
-    inner = F.regexp_replace("text", r"[\p{L}\p{N}'’]*[^\p{L}]*$", "")
-    counted = texts.select(F.explode(F.regexp_extract_all(inner, F.lit(r"\p{L}+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    counted = materialize(counted)
-    seen = counted.groupBy(F.lower("w").alias("lw")).agg(F.sum("n").alias("seen"))
-    lines = F.split("text", "\n")
-    line_end = texts.select(F.explode(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line")).select(F.lower(F.regexp_extract("line", r"(\p{L}+)\s*$", 1)).alias("lw")).filter("lw != ''").groupBy("lw").agg(F.count("*").alias("line_ends"))
-    line_end = materialize(line_end)
+    counted = materialize(word_counts(texts))
+    known = counted.groupBy(F.lower("w").alias("lw")).agg(F.sum("n").alias("seen"), F.sum("e").alias("line_ends"))
     names = counted.filter(F.col("w").rlike(r"^\p{Lu}\p{Ll}{3,}$")).groupBy(F.expr("right(w, 3)").alias("suffix")).agg(F.sum("n").alias("s"))
     total = F.lit(names.agg(F.sum("s")).first()[0]).cast("double")
     share = names.select("suffix", (F.col("s") / total).alias("suffix_share"))
     asked = wanted.select("last_word").distinct().withColumn("lw", F.lower("last_word")).withColumn("suffix", F.expr("right(last_word, 3)"))
-    begins = seen.filter(F.length("lw") > 1).select(F.explode(F.expr("transform(sequence(1, least(length(lw) - 1, 64)), i -> left(lw, i))")).alias("lw"), "seen")
+    begins = known.filter(F.length("lw") > 1).select(F.explode(F.expr("transform(sequence(1, least(length(lw) - 1, 64)), i -> left(lw, i))")).alias("lw"), "seen")
     longer = begins.join(asked.select("lw").distinct(), "lw", "left_semi").groupBy("lw").agg(F.sum("seen").alias("longer"))
-    usual = (line_end.agg(F.sum("line_ends")).first()[0] or 0) / max(1, counted.agg(F.sum("n")).first()[0] or 0)
-    out = asked.join(seen, "lw", "left").join(longer, "lw", "left").join(line_end, "lw", "left").join(share, "suffix", "left").na.fill(0, ["seen", "longer", "line_ends", "suffix_share"])
+    sums = counted.agg(F.sum("e"), F.sum("n")).first()
+    usual = (sums[0] or 0) / max(1, sums[1] or 0)
+    out = asked.join(known, "lw", "left").join(longer, "lw", "left").join(share, "suffix", "left").na.fill(0, ["seen", "longer", "line_ends", "suffix_share"])
     end_rate = (F.col("line_ends") / usual + 2.0) / (F.col("seen") + 2.0) if usual else 2.0 / (F.col("seen") + 2.0)
     return out.select("last_word", "seen", "longer", end_rate.alias("end_rate"), "suffix_share")
 
 
+def at_limit(text: Column, limits: list[tuple[str, int]]) -> Column:
+    """Whether a text stands at one of the limits (encoding, length); stores have few."""
+    by: dict[str, list[int]] = defaultdict(list)
+    for encoding, length in limits:
+        by[encoding].append(length)
+    hits = [lengths(text)[k].isin(sorted(v)) for k, v in sorted(by.items())]
+    return F.coalesce(reduce(lambda a, b: a | b, hits), F.lit(False)) if hits else F.lit(False)
+
+
+def read_pairs(responses: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs with their endings, hidden limits over all their texts)."""
+    read = materialize(read_endings(spread(delivered(responses, requests))))
+    rows = read.filter(F.col("text").isNotNull() & (F.col("state") != endings.EMPTY)).select("text", F.when(F.col("state") != endings.OPEN, F.col("state") == endings.CUT).alias("unfinished"))
+    return read, hidden_limits(rows)
+
+
 def judged(responses: DataFrame, requests: DataFrame, diagnostic: DataFrame) -> DataFrame:
-    """(request_id, prompt, stage, run_id, matrix, text, state, why, cut, finish_reason, completion_tokens, budget, terminal_json): one row per response.
+    """(request_id, prompt, stage, run_id, matrix, text, state, why, cut, evidence, finish_reason, completion_tokens, budget, terminal_json): one row per response.
 
-    The parser decides most texts by themselves. Texts that end without a mark in a list entry or a few words are decided by the corpus:
-    cut if they stand at a hidden limit, if their last word is unknown (or a hundred times rarer than the longer words that begin with it)
-    and does not end like a name, if a known word ends lines less than a tenth as often as words do, or if the tokens that were spent are
-    far more than the text shows (a count that equals a budget is no evidence: it is often filled in). Rates do not move with the corpus.
+    Lengths come first: a text that stands at a hidden limit is cut unless it proves whole (evidence 'limit'). Off the limits the pushdown
+    parser decides most texts ('ending'). What ends there without a mark in a list entry or a few words is decided by the corpus ('corpus'):
+    cut if its last word is unknown (or a hundred times rarer than the longer words that begin with it) and does not end like a name, if a
+    known word ends lines less than a tenth as often as words do, or if the tokens that were spent are far more than the text shows (a count
+    that equals a budget is no evidence: it is often filled in). Rates do not move with the corpus.
     """
-    resp = one_each(responses, "request_id", "text", "finish_reason", "completion_tokens", order="received_at")
-    req = one_each(requests, "request_id", "prompt", "stage", "run_id")
     diag = one_each(diagnostic, "request_id", "matrix", "budget", "terminal_json")
-    joined = spread(materialize(resp.join(req, "request_id", "left")))
-    read = materialize(joined.join(read_endings(joined), "request_id"))
-    limits = hidden_limits(read.filter(F.col("state").isin(endings.CUT, endings.WHOLE)).select("text", (F.col("state") == endings.CUT).alias("unfinished")))
-    undecided = read.filter(F.col("state") == endings.OPEN)
-    corpus = read.select("text").filter(F.col("text").isNotNull()).unionByName(read.select(F.col("prompt").alias("text")).filter(F.col("text").isNotNull()))
-    evidence = word_evidence(corpus, undecided)
+    read, limits = read_pairs(responses, requests)
+    at = at_limit(F.col("text"), [(r["encoding"], r["length"]) for r in limits.collect()])
+    placed = read.withColumn("at_limit", at & F.col("state").isin(endings.CUT, endings.OPEN))
+    undecided = placed.filter((F.col("state") == endings.OPEN) & ~F.col("at_limit"))
+    evidence = word_evidence(read.select("text", "prompt"), undecided)
     ratio = read.filter((F.col("state") == endings.WHOLE) & (F.col("completion_tokens") > 0)).agg(F.percentile_approx(F.length("text") / F.col("completion_tokens"), 0.5)).first()[0]
-    at = F.explode(F.create_map(*[x for k, v in lengths(F.col("text")).items() for x in (F.lit(k), v)])).alias("encoding", "length")
-    at_limit = undecided.select("request_id", at).join(limits.select("encoding", "length"), ["encoding", "length"], "left_semi").select("request_id").distinct().withColumn("at_limit", F.lit(True))
     w = F.col("last_word")
     capital = w.rlike(r"^\p{Lu}")
     known = (F.col("seen") >= 3) & ((F.col("seen") * 100 >= F.col("longer")) | w.rlike(r"^\p{Lu}$"))
     spent = F.col("completion_tokens") * F.lit(float(ratio or CHARS_A_TOKEN))
     cut = (
-        F.coalesce("at_limit", F.lit(False))
-        | ((w != "") & ~w.rlike(r"^\d+$") & ~known & ~(capital & (F.col("suffix_share") >= 0.002)))
+        ((w != "") & ~w.rlike(r"^\d+$") & ~known & ~(capital & (F.col("suffix_share") >= 0.002)))
         | (F.col("in_list") & known & ~capital & (F.col("end_rate") < 0.1))
         | F.coalesce(F.col("is_budget").isNull() & (spent > F.length("text") * 1.5) & (spent - F.length("text") > 30), F.lit(False))
     )
     budgets = diagnostic.filter("budget > 0").select(F.col("budget").alias("completion_tokens")).distinct().withColumn("is_budget", F.lit(True))
-    undecided = undecided.join(budgets, "completion_tokens", "left")
-    decided = undecided.join(evidence, "last_word", "left").join(at_limit, "request_id", "left").select("request_id", F.coalesce(cut, F.lit(False)).alias("open_cut"))
-    out = read.join(decided, "request_id", "left").join(diag, "request_id", "left")
-    is_cut = (F.col("state") == endings.CUT) | F.coalesce("open_cut", F.lit(False))
-    return out.select("request_id", "prompt", "stage", "run_id", "matrix", "text", "state", "why", is_cut.alias("cut"), "finish_reason", "completion_tokens", "budget", "terminal_json")
+    decided = undecided.join(budgets, "completion_tokens", "left").join(evidence, "last_word", "left").select("request_id", F.coalesce(cut, F.lit(False)).alias("open_cut"))
+    out = placed.join(decided, "request_id", "left").join(diag, "request_id", "left")
+    evidence_of = F.when(F.col("at_limit"), "limit").when(F.col("state") == endings.CUT, "ending").when(F.col("open_cut"), "corpus")
+    return out.withColumn("evidence", evidence_of).select(
+        "request_id", "prompt", "stage", "run_id", "matrix", "text", "state", "why", F.col("evidence").isNotNull().alias("cut"), "evidence", "finish_reason", "completion_tokens", "budget", "terminal_json"
+    )
 
 
 def truncated(responses: DataFrame, requests: DataFrame, diagnostic: DataFrame) -> DataFrame:
@@ -158,15 +233,10 @@ def truncated(responses: DataFrame, requests: DataFrame, diagnostic: DataFrame)
 
 
 def truncation_rates(rows: DataFrame) -> DataFrame:
-    """(source, stage, responses, cut, rate, says_length, at_budget, not_terminal): per matrix (run_id where it is missing) and stage."""
+    """(source, stage, responses, cut, rate, by_limit, says_length, at_budget, not_terminal): per matrix (run_id where it is missing) and stage."""
     source = F.coalesce("matrix", "run_id", F.lit("(none)"))
     return rows.groupBy(source.alias("source"), F.coalesce("stage", F.lit("(none)")).alias("stage")).agg(
-        F.count("*").alias("responses"), F.count_if("cut").alias("cut"), F.round(F.count_if("cut") / F.count("*"), 6).alias("rate"),
+        F.count("*").alias("responses"), F.count_if("cut").alias("cut"), F.round(F.count_if("cut") / F.count("*"), 6).alias("rate"), F.count_if(F.col("evidence") == "limit").alias("by_limit"),
         F.count_if(F.col("finish_reason") == "length").alias("says_length"), F.count_if(F.col("completion_tokens") >= F.col("budget")).alias("at_budget"),
         F.count_if(~F.col("terminal_json")).alias("not_terminal"),
     )
-
-
-def response_limits(rows: DataFrame) -> DataFrame:
-    """The hidden limits of the judged responses."""
-    return hidden_limits(rows.filter(F.col("text").isNotNull()).select("text", F.col("cut").alias("unfinished")))
