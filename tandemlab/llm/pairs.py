@@ -2,7 +2,8 @@
 
 One defect a request, the first that holds: empty, truncated, copy, refusal, language. Defined results: a response delivered several times
 is read once; a response without a request, or with a null prompt, can only be empty, truncated or a refusal; prose too short to tell its
-language is no case; an empty table gives an empty result; other columns are never read. Whole texts are parsed.
+language (fewer than three words that do not begin with a capital, or a small lead of one language) is no case; an empty table gives an
+empty result; other columns are never read. Whole texts are parsed.
 """
 
 from __future__ import annotations
@@ -10,86 +11,178 @@ from __future__ import annotations
 import json
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandemlab.llm import endings, truncation
+from tandemlab.llm import endings, languages, truncation
 from tandemlab.sources.tables import materialize, spread
 
-# First-person refusals by language. A subject, an inability or unwillingness, and what is not done; or a plain formula.
-REFUSAL = re.compile(
-    r"\bI(?:'m| am|'ve| have|'d| would|'ll| will)?\b[^.!?\n]{0,24}?\b(?:can(?:no|')t|can not|won't|will not|may not|must not|could not|couldn't|not able|unable|not (?:allowed|permitted|willing|comfortable|going)|do not|don't|rather not|prefer not|decline|refuse|have to (?:pass|decline|refuse)|must (?:pass|decline|refuse)|need to decline)\b[^.!?\n]{0,40}?"
-    r"\b(?:help|assist|answer|respond|reply|comply|provide|discuss|take part|participate|pick|choose|share|solve|complete|engage|support|continue|do (?:that|this|so)|offer|give|say|pass on|request|question|item|exam|this)\b"
-    r"|\bI (?:must |have to |need to )?(?:decline|refuse|pass on)\b"
-    r"|\b(?:inappropriate|unsafe|unethical|against my (?:rules|policy|policies|guidelines)|not appropriate) for me\b|\bfor me to (?:respond|answer|help)\b[^.!?\n]{0,20}\b(?:inappropriate|unsafe|wrong)\b"
-    r"|\b(?:this|that|it|the request|your request|the question)\b[^.!?\n]{0,30}\b(?:outside|beyond|against|violates?|out of)\b[^.!?\n]{0,12}\bmy (?:rules|policy|policies|guidelines|scope|remit)\b|\bsomething I (?:do not|don't|can't|cannot|won't) (?:assist|help|do|answer)\b"
-    r"|\b(?:break|breach|violate|infringe|contravene|contradict|conflict with|go against|run against|against|contrary to|not allowed by|forbidden by|prohibited by)(?:s|es)?\b[^.!?\n]{0,16}\bmy (?:rules|policy|policies|guidelines|instructions|principles|programming|terms|limits)\b|\bmy (?:rules|policy|policies|guidelines|instructions|principles|programming)\b[^.!?\n]{0,24}\b(?:forbid|prevent|prohibit|do not allow|don't allow|do not permit|rule out|keep me from)\b"
-    r"|\bje (?:ne |n')(?:\w+ ){0,3}?(?:peux|puis|pourrai|dois|souhaite|veux|suis|donne|réponds|participe|traite|fournis)\b[^.!?\n]{0,12}\b(?:pas|rien|aucune?)\b|\bje (?:préfère|préférerais) (?:ne |n')|\bje (?:dois )?(?:refuse|décline|refuser|décliner)\b|\b(?:demande|question|requête)\b[^.!?\n]{0,20}\b(?:sort|dépasse|contraire|hors)\b[^.!?\n]{0,12}\bmes (?:règles|consignes|principes|limites)\b|\b(?:enfrein\w*|viol\w*|contraire\w*|contrevien\w*|contre|interdi\w*)\b[^.!?\n]{0,16}\bmes (?:règles|consignes|principes|limites|directives)\b|\bmes (?:règles|consignes|principes|directives)\b[^.!?\n]{0,20}\b(?:interdisent|empêchent|ne permettent)\b|\bil (?:ne m'est pas|m'est im)possible\b|\bil m'est interdit\b"
-    r"|\bich (?:darf|kann|möchte|will|werde|könnte|soll|mag)\b[^.!?\n]{0,40}\b(?:nicht|nichts|keine?n?)\b|\b(?:kann|darf|möchte|will|werde|gebe|mache|beantworte) ich\b[^.!?\n]{0,30}\b(?:nicht|nichts|keine?n?)\b|\bich (?:lehne|muss|bin|gebe|beantworte|verzichte|nehme)\b[^.!?\n]{0,40}\b(?:ab|ablehnen|passen|nicht in der lage|außerstande|keine|nicht|darauf)\b|\b(?:anfrage|frage|bitte)\b[^.!?\n]{0,30}\b(?:außerhalb|gegen|verstößt)\b[^.!?\n]{0,12}\bmeine[rn]?\b|\b(?:gegen|widers\w+|verstö\w+|verletz\w+|außerhalb)\b[^.!?\n]{0,16}\bmeine[nr]? (?:regeln|richtlinien|vorgaben|grundsätze|grenzen)\b|\bmeine (?:regeln|richtlinien|vorgaben)\b[^.!?\n]{0,20}\b(?:verbieten|erlauben|lassen|untersagen)\b"
-    r"|\b(?:no (?:puedo|debo|quiero|podré|podría|voy a|deseo|me es posible|me está permitido|me corresponde|estoy en condiciones|soy capaz|doy|respondo|participo))\b[^.!?\n]{0,40}|\b(?:prefiero|preferiría) no\b|\bme niego\b|\b(?:debo|tengo que) (?:rechazar|declinar|negarme)\b|\b(?:petición|pregunta|solicitud)\b[^.!?\n]{0,20}\b(?:queda|está|va)\b[^.!?\n]{0,16}\b(?:fuera|contra)\b[^.!?\n]{0,12}\bmis (?:normas|reglas|límites)\b|\b(?:contra|incumpl\w+|viol\w+|infring\w+|contrari\w+|romper\w*|fuera de)\b[^.!?\n]{0,12}\bmis (?:normas|reglas|límites|principios|directrices)\b|\bmis (?:normas|reglas|directrices|principios)\b[^.!?\n]{0,16}\b(?:prohíben|impiden|no permiten|no me permiten)\b",
-    re.I,
-)
-
-# Frequent words by language that the other three do not have.
-STOPWORDS = {
+# The phrases of refusals by language. speaker: who speaks; unable: inability or unwillingness; act: what is not done;
+# decline: speaker and refusal in one; unfit, beyond, conflict: why; own: the speaker's rules; forbid: what rules do.
+PHRASES = {
+    "en": {
+        "speaker": ["I", "I'm", "I am", "I've", "I have", "I'd", "I would", "I'll", "I will"],
+        "unable": [
+            "can't", "cannot", "can not", "won't", "will not", "may not", "must not", "could not", "couldn't", "not able", "unable", "not allowed", "not permitted", "not willing", "not comfortable", "not going",
+            "do not", "don't", "rather not", "prefer not", "decline", "refuse", "have to pass", "have to decline", "have to refuse", "must pass", "must decline", "must refuse", "need to decline",
+        ],
+        "act": [
+            "help", "assist", "answer", "respond", "reply", "comply", "provide", "discuss", "take part", "participate", "pick", "choose", "share", "solve", "complete", "engage", "support", "continue", "do that", "do this", "do so",
+            "offer", "give", "say", "pass on", "request", "question", "item", "exam", "this",
+        ],
+        "decline": ["I decline", "I refuse", "I pass on", "I must decline", "I must refuse", "I must pass on", "I have to decline", "I have to refuse", "I have to pass on", "I need to decline", "I need to refuse", "I need to pass on"],
+        "unfit": ["inappropriate for me", "unsafe for me", "unethical for me", "not appropriate for me", "against my rules for me", "against my policy for me", "against my policies for me", "against my guidelines for me"],
+        "for me": ["for me to respond", "for me to answer", "for me to help"],
+        "wrong": ["inappropriate", "unsafe", "wrong"],
+        "thing": ["this", "that", "it", "the request", "your request", "the question"],
+        "beyond": ["outside", "beyond", "against", "violate", "violates", "out of"],
+        "own": ["my rules", "my policy", "my policies", "my guidelines", "my scope", "my remit", "my instructions", "my principles", "my programming", "my terms", "my limits"],
+        "not mine": [f"something I {m} {v}" for m in ("do not", "don't", "can't", "cannot", "won't") for v in ("assist", "help", "do", "answer")],
+        "conflict": [
+            "break", "breaks", "breach", "breaches", "violate", "violates", "infringe", "infringes", "contravene", "contravenes", "contradict", "contradicts", "conflict with", "conflicts with", "go against", "goes against", "run against",
+            "runs against", "against", "contrary to", "not allowed by", "forbidden by", "prohibited by",
+        ],
+        "forbid": ["forbid", "prevent", "prohibit", "do not allow", "don't allow", "do not permit", "rule out", "keep me from"],
+    },
+    "fr": {
+        "speaker": ["je ne", "je n'"],
+        "unable": [r"(?:\w+ ){0,3}?(?:peux|puis|pourrai|dois|souhaite|veux|suis|donne|réponds|participe|traite|fournis)"],
+        "nothing": ["pas", "rien", "aucun", "aucune"],
+        "decline": ["je préfère ne", "je préfère n'", "je préférerais ne", "je préférerais n'", "je refuse", "je décline", "je dois refuser", "je dois décliner", "il ne m'est pas possible", "il m'est impossible", "il m'est interdit"],
+        "thing": ["demande", "question", "requête"],
+        "beyond": ["sort", "dépasse", "contraire", "hors"],
+        "own": ["mes règles", "mes consignes", "mes principes", "mes limites", "mes directives"],
+        "conflict": [r"enfrein\w*", r"viol\w*", r"contraire\w*", r"contrevien\w*", "contre", r"interdi\w*"],
+        "forbid": ["interdisent", "empêchent", "ne permettent"],
+    },
+    "de": {
+        "speaker": ["ich darf", "ich kann", "ich möchte", "ich will", "ich werde", "ich könnte", "ich soll", "ich mag"],
+        "turned": ["kann ich", "darf ich", "möchte ich", "will ich", "werde ich", "gebe ich", "mache ich", "beantworte ich"],
+        "nothing": ["nicht", "nichts", r"keine?n?"],
+        "opens": ["ich lehne", "ich muss", "ich bin", "ich gebe", "ich beantworte", "ich verzichte", "ich nehme"],
+        "closes": ["ab", "ablehnen", "passen", "nicht in der lage", "außerstande", "keine", "nicht", "darauf"],
+        "thing": ["anfrage", "frage", "bitte"],
+        "beyond": ["außerhalb", "gegen", "verstößt"],
+        "mine": [r"meine[rn]?"],
+        "own": [r"meine[nr]? regeln", r"meine[nr]? richtlinien", r"meine[nr]? vorgaben", r"meine[nr]? grundsätze", r"meine[nr]? grenzen"],
+        "conflict": ["gegen", r"widers\w+", r"verstö\w+", r"verletz\w+", "außerhalb"],
+        "forbid": ["verbieten", "erlauben", "lassen", "untersagen"],
+    },
+    "es": {
+        "decline": [
+            "no puedo", "no debo", "no quiero", "no podré", "no podría", "no voy a", "no deseo", "no me es posible", "no me está permitido", "no me corresponde", "no estoy en condiciones", "no soy capaz", "no doy", "no respondo", "no participo",
+            "prefiero no", "preferiría no", "me niego", "debo rechazar", "debo declinar", "debo negarme", "tengo que rechazar", "tengo que declinar", "tengo que negarme",
+        ],
+        "thing": ["petición", "pregunta", "solicitud"],
+        "lies": ["queda", "está", "va"],
+        "beyond": ["fuera", "contra"],
+        "own": ["mis normas", "mis reglas", "mis límites", "mis principios", "mis directrices"],
+        "conflict": ["contra", r"incumpl\w+", r"viol\w+", r"infring\w+", r"contrari\w+", r"romper\w*", "fuera de"],
+        "forbid": ["prohíben", "impiden", "no permiten", "no me permiten"],
+    },
+}
+#: The grammar: a refusal is one of these sequences within a sentence; a number is the most characters that may stand between two parts.
+PRODUCTIONS = {
+    "en": [("speaker", 24, "unable", 40, "act"), ("decline",), ("unfit",), ("for me", 20, "wrong"), ("thing", 30, "beyond", 12, "own"), ("not mine",), ("conflict", 16, "own"), ("own", 24, "forbid")],
+    "fr": [("speaker", 1, "unable", 12, "nothing"), ("decline",), ("thing", 20, "beyond", 12, "own"), ("conflict", 16, "own"), ("own", 20, "forbid")],
+    "de": [("speaker", 40, "nothing"), ("turned", 30, "nothing"), ("opens", 40, "closes"), ("thing", 30, "beyond", 12, "mine"), ("conflict", 16, "own"), ("own", 20, "forbid")],
+    "es": [("decline",), ("thing", 20, "lies", 16, "beyond", 12, "own"), ("conflict", 12, "own"), ("own", 16, "forbid")],
+}
+
+
+def _production(lang: str, parts: tuple[str | int, ...]) -> str:
+    word = lambda name: r"\b(?:" + "|".join(p + ("" if p.endswith("'") else r"\b") for p in PHRASES[lang][name]) + ")"
+    return "".join(rf"[^.!?\n]{{0,{p}}}?" if isinstance(p, int) else word(p) for p in parts)
+
+
+REFUSAL = re.compile("|".join(_production(lang, parts) for lang, rules in PRODUCTIONS.items() for parts in rules), re.I)
+#: Without one of these words no production holds.
+CUE = re.compile(r"\b(?:I|my|me|je|mes|il|ich|meine[nr]?|no|mis|prefiero|preferiría|debo|tengo)\b", re.I)
+
+# Frequent words by language; what profiles know where no labelled row is at hand.
+FREQUENT = {
     "en": "the of and that which with but than from this whenever because although before after unless is are was were be it its they them those only near each every no not as at in on by for how what why while once until since when would could should their there you your my we our has have had an if then so".split(),
     "de": "der die das und ist nicht ein eine einen einem einer den dem des mit von zu auf für im bei nach wird bleibt sich auch nur jene denen ohne sie wie warum weil während nachdem sobald obwohl bevor wenn dann dabei laut genau weder noch ich daher lautet also damit zuerst danach es er wir ihr sind war haben hat kann aus am zum zur über oder aber wurde werden dies diese dieser".split(),
     "fr": "le la les des du et est un une dans pour que qui ne pas sur avec mais sans chez puis alors tandis dès reste après avant selon pendant même car ni seulement ceux où sont je il elle nous vous ce cette ces au aux par plus combien pourquoi comment parce puisque quand entre leur donc ainsi devient semble jamais toujours d'abord l'on".split(),
     "es": "el los las y es un una en por que no se con pero sin del al lo como más su sus tras según hasta pues cuando aunque mientras porque ya entonces sigue queda parece solo solamente aquellos donde luego primero cuánto cuántas por qué siempre nunca veces ellas ellos yo este esta esto ese muy entre así elijo hay son está ni".split(),
 }
-_OWN = {lang: {w for w in ws if sum(w in other for other in STOPWORDS.values()) == 1} for lang, ws in STOPWORDS.items()}
-LANG_OF = {w: lang for lang, ws in _OWN.items() for w in ws}
 #: Names of the languages in the four languages (fixed values).
 NAMES = {
     "en": "english|englisch|englischer|anglais|inglés|ingles", "de": "german|deutsch|deutscher|allemand|alemán|aleman",
     "fr": "french|französisch|französischer|français|francais|francés|frances", "es": "spanish|spanisch|spanischer|espagnol|español|espanol",
 }
 ASKED = {lang: re.compile(rf"\b(?:{names})\b", re.I) for lang, names in NAMES.items()}
-# What frames a question within a prompt, line by line.
-HEAD = re.compile(r"^\s*(?:question|frage|pregunta)\s*:\s*$", re.I | re.M)
-NEXT = re.compile(r"^\s*(?:proposed answer|vorschlag|réponse proposée|respuesta propuesta|criterion|kriterium|critère|criterio)\s*:\s*$", re.I | re.M)
-FRAME = re.compile(r"^\s*(?:solve the item below\.|löse die folgende aufgabe\.|résous l'exercice suivant\.|resuelve el ejercicio siguiente\.|.*\bJSON\b.*)\s*$", re.I | re.M)
+# Lines that frame a question within a prompt; others are learned.
+FRAMES = frozenset(f"{w}{gap}:" for w in ("question", "frage", "pregunta", "proposed answer", "vorschlag", "réponse proposée", "respuesta propuesta", "criterion", "kriterium", "critère", "criterio") for gap in ("", " "))
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 CODE = re.compile(r"```.*?(?:```|$)|`[^`\n]*`", re.S)
+BRACKET = re.compile(r"[{}\[\]]")
+LOWER = re.compile(r"(?<![^\W\d_])[a-zà-öø-ÿ][^\W\d_]*")
 
 
-def question_of(prompt: str) -> str:
-    """The question within a prompt, without its frame and the request for JSON."""
-    text = prompt
-    if (m := HEAD.search(text)) is not None:
-        text = text[m.end() :]
-        if (e := NEXT.search(text)) is not None:
-            text = text[: e.start()]
-    return FRAME.sub("", text).strip()
-
-
-def language(text: str, least: int = 2) -> str | None:
-    """The language of prose by frequent words of one language only; None where fewer than ``least`` speak for it or a second comes near."""
-    votes: dict[str, int] = defaultdict(int)
-    for w in WORD.findall(text.lower().replace("’", "'")):
-        if (lang := LANG_OF.get(w)) is not None:
-            votes[lang] += 1
-        elif "'" in w and w.split("'")[0] in ("l", "d", "qu", "n", "s", "j", "c"):
-            votes["fr"] += 1
-    if not votes:
-        return None
-    ranked = sorted(votes.items(), key=lambda x: -x[1])
-    if ranked[0][1] < least or len(ranked) > 1 and ranked[0][1] < 2 * ranked[1][1]:
-        return None
-    return ranked[0][0]
+def learn_frames(requests: DataFrame, share: float = 0.002, items: int = 60, max_chars: int = 200) -> frozenset[str]:
+    """Lines that frame questions: in lower case, those of at most ``max_chars`` that stand in at least ``share`` of all prompts and with many items.
+
+    Items are counted by the hash buckets (64) they fall into, of which ``items`` must be hit, so one item with many requests makes no frame.
+    Every prompt counts; at most lines a prompt / ``share`` lines meet the driver.
+    """
+    schema = "line string, n bigint, buckets bigint"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: dict[str, int] = defaultdict(int)
+        buckets: dict[str, int] = defaultdict(int)
+
+        def take() -> Iterator[pd.DataFrame]:
+            keys = list(n)
+            for i in range(0, len(keys), 20_000):
+                part = keys[i : i + 20_000]
+                yield pd.DataFrame({"line": part, "n": [n[k] for k in part], "buckets": [buckets[k] - (1 << 64) if buckets[k] >> 63 else buckets[k] for k in part]})
+            n.clear()
+            buckets.clear()
+
+        for pdf in batches:
+            for prompt, bucket in zip(pdf["prompt"], pdf["bucket"], strict=True):
+                for line in {x.strip().lower() for x in prompt.split("\n") if len(x) <= max_chars}:
+                    if line:
+                        n[line] += 1
+                        buckets[line] |= 1 << bucket
+                if len(n) > 200_000:
+                    yield from take()
+        yield from take()
+
+    rows = requests.filter(F.col("prompt").isNotNull())
+    total = rows.count()
+    spread_rows = spread(rows.select("prompt", F.pmod(F.xxhash64("dataset_item_id"), F.lit(64)).cast("int").alias("bucket")))
+    per = spread_rows.mapInPandas(run, schema).groupBy("line").agg(F.sum("n").alias("n"), F.bit_or("buckets").alias("b"))
+    got = per.filter((F.col("n") >= share * total) & (F.bit_count("b") >= items)).select("line").collect()
+    return FRAMES | {r[0] for r in got}
+
+
+def question_of(prompt: str, frames: frozenset[str] = FRAMES) -> str:
+    """The question within a prompt: its first lines that are no frame, up to the next frame."""
+    out: list[str] = []
+    for line in prompt.split("\n"):
+        if line.strip().lower() in frames or "JSON" in line:
+            if any(x.strip() for x in out):
+                break
+            out = []
+        else:
+            out.append(line)
+    return "\n".join(out).strip()
 
 
 def without_data(text: str, keep: str = "") -> str:
     """``text`` with every balanced bracketed span replaced by a blank, but for spans that stand in ``keep``; one pass, whatever the nesting."""
     stack: list[int] = []
     spans: list[tuple[int, int]] = []
-    for i, c in enumerate(text):
+    for m in BRACKET.finditer(text):
+        i, c = m.start(), m[0]
         if c in "{[":
             stack.append(i)
-        elif c in "}]" and stack:
+        elif stack:
             begin = stack.pop()
             while spans and spans[-1][0] > begin:
                 spans.pop()
@@ -118,35 +211,83 @@ def answer_values(text: str) -> list[object]:
     return out
 
 
+class SuffixAutomaton:
+    """The suffix automaton of a sequence: the longest match that ends at each place of another, in time linear in both."""
+
+    def __init__(self, source: list[str]) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length, self.end = [-1], [0], [-1]
+        last = 0
+        for i, w in enumerate(source):
+            new = self._state(self.length[last] + 1, i, {})
+            p = last
+            while p >= 0 and w not in self.next[p]:
+                self.next[p][w] = new
+                p = self.link[p]
+            if p < 0:
+                self.link[new] = 0
+            elif self.length[q := self.next[p][w]] == self.length[p] + 1:
+                self.link[new] = q
+            else:
+                twin = self._state(self.length[p] + 1, self.end[q], dict(self.next[q]))
+                self.link[twin] = self.link[q]
+                while p >= 0 and self.next[p].get(w) == q:
+                    self.next[p][w] = twin
+                    p = self.link[p]
+                self.link[q] = self.link[new] = twin
+            last = new
+
+    def _state(self, length: int, end: int, following: dict[str, int]) -> int:
+        self.next.append(following)
+        self.link.append(-1)
+        self.length.append(length)
+        self.end.append(end)
+        return len(self.link) - 1
+
+    def matches(self, text: list[str], least: int) -> list[tuple[int, int, int]]:
+        """(words, where in text, where in the source) of the matches of ``least`` words or more that cannot be carried on to the right."""
+        out, state, n = [], 0, 0
+        for i, w in enumerate([*text, None]):
+            if w not in self.next[state] and n >= least:
+                out.append((n, i - n, self.end[state] - n + 1))
+            while state and w not in self.next[state]:
+                state = self.link[state]
+                n = self.length[state]
+            if w in self.next[state]:
+                state, n = self.next[state][w], n + 1
+            else:
+                n = 0
+        return out
+
+
 def tile_cover(text: list[str], source: list[str], least: int = 4) -> tuple[int, int]:
-    """Greedy string tiling: how many words of ``text`` and of ``source`` lie in maximal common tiles of ``least`` words or more, longest first, none twice."""
-    at: dict[tuple[str, ...], list[int]] = defaultdict(list)
-    for j in range(len(source) - least + 1):
-        at[tuple(source[j : j + least])].append(j)
-    runs: dict[tuple[int, int], int] = {}
-    for i in range(len(text) - least + 1):
-        for j in at.get(tuple(text[i : i + least]), ()):
-            if i and j and text[i - 1] == source[j - 1]:
-                continue
-            n = least
-            while i + n < len(text) and j + n < len(source) and text[i + n] == source[j + n]:
-                n += 1
-            runs[i, j] = n
-    used_t, used_s, total = [False] * len(text), [False] * len(source), 0
-    for (i, j), n in sorted(runs.items(), key=lambda x: (-x[1], x[0])):
-        start = 0
-        while start < n:  # what earlier tiles left of this one
-            while start < n and (used_t[i + start] or used_s[j + start]):
-                start += 1
-            end = start
-            while end < n and not used_t[i + end] and not used_s[j + end]:
-                end += 1
-            if end - start >= least:
-                for k in range(start, end):
-                    used_t[i + k] = used_s[j + k] = True
-                total += end - start
-            start = end + 1
-    return total, sum(used_s)
+    """Greedy string tiling: how many words of ``text`` and of ``source`` lie in common tiles of ``least`` words or more, longest first, none twice.
+
+    Each round matches what is left of both by a suffix automaton and lays its tiles, longest first; rounds end when none is left.
+    """
+    text, source = list(text), list(source)
+    total = 0
+    while True:
+        tiles = sorted(SuffixAutomaton(source).matches(text, least), key=lambda x: (-x[0], x[1]))
+        laid = 0
+        for n, i, j in tiles:
+            start = 0
+            while start < n:  # what earlier tiles left of this one
+                while start < n and (text[i + start] is None or source[j + start] is None):
+                    start += 1
+                end = start
+                while end < n and text[i + end] is not None and source[j + end] is not None:
+                    end += 1
+                if end - start >= least:
+                    text[i + start : i + end] = [None] * (end - start)
+                    source[j + start : j + end] = [None] * (end - start)
+                    laid += end - start
+                start = end + 1
+        if not laid:
+            return total, total
+        total += laid
+        text = [w if w is not None else (0, k) for k, w in enumerate(text)]
+        source = [w if w is not None else (1, k) for k, w in enumerate(source)]
 
 
 # The first person, singular, of the four languages.
@@ -167,7 +308,7 @@ def is_refusal(text: str, prompt: str = "") -> bool:
         return True
     if values or CODE.search(seen):
         return False
-    if REFUSAL.search(prose):
+    if CUE.search(prose) and REFUSAL.search(prose):
         return True
     if "JSON" not in prompt or not FIRST.search(prose) or LETTER_LAST.search(seen) or set("{[") & set(seen):
         return False
@@ -176,13 +317,22 @@ def is_refusal(text: str, prompt: str = "") -> bool:
 
 
 def is_copy(text: str, prompt: str, question: str, own: float = 0.85, stem: float = 0.6) -> bool:
-    """Whether ``text`` only gives the prompt or its question back: tiles of it cover ``own`` of the text and ``stem`` of the question's frame."""
+    """Whether ``text`` only gives the prompt or its question back: tiles of it cover ``own`` of the text and ``stem`` of the question's frame.
+
+    Of a text that is nothing but data its strings are the text.
+    """
     seen = endings.answer_part(text)
+    own_data = [m[0] for m in re.finditer(r"\{[^{}]*\}", seen) if m[0] not in prompt and answer_values(m[0])]
+    if own_data:
+        if prose_of(seen).strip(" \n\t`\"'.:-"):  # an answer of its own stands beside the data
+            return False
+        seen = "\n".join(v for data in own_data for v in answer_values(data) if isinstance(v, str))
     words = [w.lower() for w in WORD.findall(seen)]
     whole = [w.lower() for w in WORD.findall(prompt)]
     if len(words) < 5 or own * len(words) > len(whole):  # tiles do not overlap in the prompt, so a longer text cannot be covered
         return False
-    if any(m[0] not in prompt and answer_values(m[0]) for m in re.finditer(r"\{[^{}]*\}", seen)):
+    there = set(whole)
+    if sum(w in there for w in words) < own * len(words):  # words that the prompt lacks are in no tile
         return False
     covered, _ = tile_cover(words, whole, min(4, len(words)))
     if covered < own * len(words):
@@ -193,43 +343,75 @@ def is_copy(text: str, prompt: str, question: str, own: float = 0.85, stem: floa
     return held >= stem * len(target)
 
 
-def other_language(text: str, prompt: str, question: str) -> bool:
-    """Whether the prose is in another language than the question and the prompt does not ask for that language."""
-    got, want = language(prose_of(text)), language(question)
-    if got is None or want is None or got == want:
-        return False
-    frame = prompt.replace(question, " ") if question else prompt
-    tail = question.rsplit("\n", 1)[-1] if "\n" in question else question
-    return not (ASKED[got].search(frame) or ASKED[got].search(tail) or ASKED[got].search(question))
+def asks_for(prompt: str, lang: str) -> bool:
+    return lang in ASKED and bool(ASKED[lang].search(prompt))
 
 
-def defect(text: str | None, prompt: str | None, state: str, cut: bool) -> str | None:
-    """The defect of a pair, or None."""
+def speaks(text: str) -> bool:
+    """Whether prose is long enough to tell its language."""
+    return len(LOWER.findall(text)) >= 3
+
+
+def other_languages(pairs: list[tuple[str, str, str]], profiles: languages.Profiles) -> list[bool]:
+    """Of each (prose, question, prompt): whether the prose is in another script or language than the question, and the prompt does not ask for it."""
+    got = profiles.tell([p for p, _, _ in pairs])
+    want = profiles.tell([q for _, q, _ in pairs])
+    out = []
+    for (prose, question, prompt), a, b in zip(pairs, got, want, strict=True):
+        scripts = languages.main_script(prose), languages.main_script(question)
+        if None not in scripts and scripts[0] != scripts[1] and sum(c.isalpha() for c in prose) >= 8:
+            out.append(scripts[0] not in languages.script_names(prompt))
+        else:
+            out.append(a is not None and b is not None and a != b and speaks(prose) and not asks_for(prompt, a))
+    return out
+
+
+def default_profiles() -> languages.Profiles:
+    return languages.Profiles.fit([(k, " ".join(v)) for k, v in FREQUENT.items()])
+
+
+def early_defect(text: str | None, prompt: str | None, state: str, cut: bool, frames: frozenset[str] = FRAMES) -> str | None:
+    """The defect of a pair by its own form, all but its language."""
     if state == endings.EMPTY:
         return "empty"
-    values = answer_values(text)
-    if not cut and not prose_of(text).strip(" \n\t`\"'.:-") and values and all(v is None or isinstance(v, str) and endings.NO_CONTENT.match(endings.bare(v)) for v in values):
-        return "empty"
-    if not cut and endings.NO_CONTENT.match(re.sub(r"[{}\[\]`]", "", endings.bare(endings.answer_part(text)))):
-        return "empty"
-    question = question_of(prompt) if prompt is not None else ""
+    if cut:
+        values = ()
+    else:
+        values = answer_values(text)
+        if values and all(v is None or isinstance(v, str) and endings.NO_CONTENT.match(endings.bare(v)) for v in values) and not prose_of(text).strip(" \n\t`\"'.:-"):
+            return "empty"
+        if endings.NO_CONTENT.match(re.sub(r"[{}\[\]`]", "", endings.bare(endings.answer_part(text)))):
+            return "empty"
     if cut:
         return "truncated"
-    if prompt is not None and is_copy(text, prompt, question):
+    if prompt is not None and is_copy(text, prompt, question_of(prompt, frames)):
         return "copy"
-    if is_refusal(text, prompt or ""):
-        return "refusal"
-    if prompt is None:
-        return None
-    return "language" if other_language(text, prompt, question) else None
+    return "refusal" if is_refusal(text, prompt or "") else None
+
+
+def defects(rows: Iterable[tuple[str | None, str | None, str, bool]], profiles: languages.Profiles, frames: frozenset[str] = FRAMES) -> list[str | None]:
+    """The defect of each (text, prompt, state, cut), or None."""
+    rows = list(rows)
+    out = [early_defect(*r, frames) for r in rows]
+    asked = [(k, prose_of(t), question_of(p, frames), p) for k, ((t, p, _, _), d) in enumerate(zip(rows, out, strict=True)) if d is None and p is not None]
+    told = other_languages([x[1:] for x in asked], profiles)
+    for (k, *_), other in zip(asked, told, strict=True):
+        out[k] = "language" if other else None
+    return out
+
+
+def defect(text: str | None, prompt: str | None, state: str, cut: bool) -> str | None:
+    """The defect of one pair by what is known without tables, or None."""
+    return defects([(text, prompt, state, cut)], default_profiles())[0]
 
 
-def find_defects(rows: DataFrame) -> DataFrame:
-    """(request_id, stage, defect) of the defective among the rows of truncation.judged."""
+def find_defects(rows: DataFrame, profiles: languages.Profiles | None = None, frames: frozenset[str] = FRAMES) -> DataFrame:
+    """(request_id, stage, defect) of the defective among the rows of truncation.judged; profiles and frames are small tables of bounded size."""
+    shared = rows.sparkSession.sparkContext.broadcast((profiles or default_profiles(), frames))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            kinds = [defect(t, p, s, bool(c)) for t, p, s, c in zip(pdf["text"], pdf["prompt"], pdf["state"], pdf["cut"], strict=True)]
+            kinds = defects(zip(pdf["text"], pdf["prompt"], pdf["state"], map(bool, pdf["cut"]), strict=True), *shared.value)
             out = pd.DataFrame({"request_id": pdf["request_id"], "stage": pdf["stage"], "defect": pd.Series(kinds, index=pdf.index, dtype="object")})
             yield out[out["defect"].notna()]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlab.llm import cutoff, families, leakage, mixing, overlap, pairs, residue, sampling, truncation
+from tandemlab.llm import cutoff, families, languages, leakage, mixing, overlap, pairs, residue, sampling, truncation
 from tandemlab.sources.tables import materialize, table
 
 
@@ -63,12 +63,16 @@ def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.stable_sample(table(spark, folder, "items"), table(spark, folder, "unit_selections"))
 
 
+def _defects(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.find_defects(_judged(spark, folder), languages.learn(table(spark, folder, "items"), pairs.FREQUENT), pairs.learn_frames(table(spark, folder, "inference_requests")))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return pairs.find_defects(_judged(spark, folder)).select("request_id", "defect")
+    return _defects(spark, folder).select("request_id", "defect")
 
 
 def p6_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    return pairs.defect_witnesses(pairs.find_defects(_judged(spark, folder)), table(spark, folder, "parse_outcomes"))
+    return pairs.defect_witnesses(_defects(spark, folder), table(spark, folder, "parse_outcomes"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -144,6 +144,40 @@ def test_defects(text, prompt, want):
     assert pairs.defect(text, prompt, endings.ending(text).state, False) == want
 
 
+def test_copies_in_data_and_answers_beside_data():
+    stem = "Why is the panel of Fellan salted whenever the rare scenario splits stage 288?"
+    whole = lambda t: pairs.defect(t, EXAM, endings.ending(t).state, False)
+    assert whole('{"answer": "Question: ' + stem + '"}') == "copy" and whole(stem + ' {"answer": "B"}') is None and whole('{"answer": "the loose prompt of Marin"}') is None
+
+
+def test_scripts_and_languages():
+    profiles = pairs.default_profiles()
+    told = pairs.other_languages([("Правило остаётся открытым и после трёх дней.", GERMAN, GERMAN), ("Правило остаётся открытым.", GERMAN, GERMAN + " Antworte auf Russisch."), ("Ｄie Ｒegel ist offen, und das Lager bleibt fein.", GERMAN, GERMAN), ("Velkowick Dromabudan", GERMAN, GERMAN)], profiles)
+    assert told == [True, False, False, False]
+
+
+def test_loops_are_tiled_in_linear_time():
+    began = time.time()
+    assert pairs.tile_cover(["a"] * 40_000, ["a"] * 40_000) == (40_000, 40_000)
+    assert pairs.tile_cover(["a", "b", "c"] * 13_000, ["a", "b", "c", "d"] * 500, 4) == (0, 0)
+    assert time.time() - began < 2
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=30), st.lists(st.sampled_from("abc"), max_size=30))
+def test_tiles_cover_words_of_both(text, source):
+    n, m = pairs.tile_cover(text, source, 3)
+    longest = max((k for k in range(31) for i in range(len(text) - k + 1) for j in range(len(source) - k + 1) if text[i : i + k] == source[j : j + k]), default=0)
+    assert n == m <= min(len(text), len(source)) and (n >= longest if longest >= 3 else n == 0)
+
+
+def test_frames_are_learned_from_lines_that_many_items_share(spark):
+    rows = [(f"r{i}", f"Please look at this.\nItem {i} asks for a thing.\nSay it in French.", f"i{i}") for i in range(600)] + [(f"h{i}", "One hot question\nstands here.", "hot") for i in range(300)] + [("n", None, "x")]
+    got = pairs.learn_frames(spark.createDataFrame(rows, "request_id string, prompt string, dataset_item_id string"))
+    assert got - pairs.FRAMES == {"please look at this.", "say it in french."}
+    assert pairs.question_of(rows[3][1], got) == "Item 3 asks for a thing."
+
+
 def test_tiling_uses_no_word_twice():
     a = "a b c d e f".split()
     assert pairs.tile_cover(a + a, a) == (6, 6) and pairs.tile_cover(a, a + a) == (6, 6) and pairs.tile_cover([], a) == (0, 0)
