@@ -45,8 +45,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
-    items = table(spark, folder, "items")
-    return overlap.overlap_counts(overlap.cross_split_pairs(items), items)
+    return overlap.class_counts(table(spark, folder, "items"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

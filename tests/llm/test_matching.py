@@ -72,6 +72,10 @@ def test_copies_are_compared_once_and_all_reported(spark):
     assert overlap.cross_split_pairs(items(spark, [])).count() == 0
     counts = overlap.overlap_counts(overlap.cross_split_pairs(items(spark, rows)), items(spark, rows)).first()
     assert (counts["partition"], counts["pairs"], counts["held_items"]) == ("test", 300, 15)
+    rows += [("both", "development", q), ("both", "test", q), ("c", "certification", q)]
+    want = {tuple(r) for r in overlap.overlap_counts(overlap.cross_split_pairs(items(spark, rows)), items(spark, rows)).collect()}
+    assert {tuple(r) for r in overlap.class_counts(items(spark, rows)).collect()} == want and want
+    assert overlap.class_counts(items(spark, [])).count() == 0
 
 
 @settings(max_examples=150, deadline=None)
