@@ -62,7 +62,7 @@ def families(items: DataFrame) -> DataFrame:
     Only distinct key pairs enter the graph, so a group with a third of all rows is a few edges; items without a second key never do.
     """
     keyed = materialize(item_keys(items))
-    edges = keyed.filter(F.size("keys") > 1).select(F.col("keys")[0].alias("u"), F.explode(F.slice("keys", 2, 1 << 20)).alias("v"))
+    edges = keyed.filter(F.size("keys") > 1).select(F.col("keys")[0].alias("u"), F.explode(F.slice("keys", F.lit(2), F.size("keys"))).alias("v"))
     comp = components(edges)
     first = keyed.withColumn("node", F.col("keys")[0])
     return first.join(comp, "node", "left").select("item_id", "dataset_id", F.coalesce("component", "node").alias("family"), "partitions")
@@ -109,11 +109,11 @@ def _place(families_: list[tuple[int, dict[str, int]]], wanted: dict[str, dict[s
     return placed
 
 
-def assign_splits(items: DataFrame, targets: DataFrame, shard_families: int = 5000, large_share: float = 0.002) -> DataFrame:
+def assign_splits(items: DataFrame, targets: DataFrame, shard_families: int = 5000, large_share: float = 0.002, most_large: int = 50_000) -> DataFrame:
     """(item_id, dataset_id, family, split): whole families placed by grouped iterative stratification over per-dataset counts.
 
-    Families that hold more than ``large_share`` of a dataset's items are placed first, on the driver: at most datasets / large_share of
-    them exist. All others are hashed into shards of about ``shard_families`` families, and each shard places its own against the rest of
+    Families that hold more than ``large_share`` of a dataset's items and more than one in ``most_large`` of all items are placed first, on
+    the driver: at most ``most_large`` of them exist, however many datasets there are. All others are hashed into shards of about ``shard_families`` families, and each shard places its own against the rest of
     the targets in proportion to what it holds, so the work is parallel and the deviations of shards cancel. Datasets without a target
     row share the mean of the targets (thirds when there is none).
     """
@@ -124,7 +124,7 @@ def assign_splits(items: DataFrame, targets: DataFrame, shard_families: int = 50
     mean = {s: sum(a[s] for a in asked.values()) / len(asked) if asked else 1 / 3 for s in SPLITS}
     share = {label: asked.get(label, mean) for label in totals}
     spark = items.sparkSession
-    floor = spark.createDataFrame([(k, max(1.0, large_share * n)) for k, n in totals.items()], "label string, floor double")
+    floor = spark.createDataFrame([(k, max(1.0, large_share * n, sum(totals.values()) / most_large)) for k, n in totals.items()], "label string, floor double")
     large_ids = vectors.join(F.broadcast(floor), "label").filter(F.col("n") > F.col("floor")).select("family").distinct()
     big: dict[int, dict[str, int]] = defaultdict(dict)
     for r in vectors.join(large_ids, "family", "left_semi").collect():
