@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandemlab.llm.text import words, words_at
-from tandemlab.sources.tables import spread
+from tandemlab.sources.tables import materialize, spread
 
 RUN = 12
 
@@ -73,11 +73,24 @@ class PassageIndex:
         return best
 
 
+class HeldTexts:
+    """Held-out texts as they are broadcast; their automaton is built once in each Python worker that asks for it, not in each task."""
+
+    def __init__(self, texts: list[tuple[int, str]], run: int) -> None:
+        self.texts, self.run, self._index = texts, run, None
+
+    def index(self) -> PassageIndex:
+        if self._index is None:
+            self._index = PassageIndex(self.texts, self.run)
+        return self._index
+
+
 def leaks(documents: DataFrame, heldout: DataFrame, run: int = RUN, max_chars: int = 20_000_000) -> DataFrame:
     """(doc_id, heldout_id, n_words, start, end): documents that hold ``run`` or more words in a row of an item, with the place in the text.
 
     The held-out texts are broadcast only up to ``max_chars`` characters at a time, which is checked; a larger set is cut into parts by a
-    hash of its ids, and the documents are scanned once for each part, so nothing is left out. A scan needs no shuffle.
+    hash of its ids, one of which is on the driver and the executors at a time, and the documents are scanned once for each part, so nothing
+    is left out. A scan needs no shuffle. Places are those of the tokenizer that keeps them, null should it not see the passage.
     """
     spark = documents.sparkSession
     texts = heldout.filter(F.col("heldout_id").isNotNull()).select("heldout_id", F.explode(F.array("question", "solution")).alias("t")).filter(F.col("t").isNotNull()).distinct()
@@ -88,22 +101,27 @@ def leaks(documents: DataFrame, heldout: DataFrame, run: int = RUN, max_chars: i
     out = spark.createDataFrame([], schema)
     for p in range(parts):
         rows = texts.filter(F.pmod(F.xxhash64("heldout_id"), F.lit(parts)) == p).collect()  # at most about max_chars characters
-        shared = spark.sparkContext.broadcast([(int(r[0]), r[1]) for r in rows])
+        shared = spark.sparkContext.broadcast(HeldTexts([(int(r[0]), r[1]) for r in rows], run))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = PassageIndex(shared.value, run)
+            index = shared.value.index()
             for pdf in batches:
                 found = []
                 for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                     hits = index.find(words(text))
                     if hits:
                         at = words_at(text)
-                        for key, (n, lo, _) in hits.items():
-                            whole = lo + n <= len(at)
-                            found.append((doc_id, key, n, at[lo][1] if whole else 0, at[lo + n - 1][2] if whole else len(text)))
-                yield pd.DataFrame(found, columns=["doc_id", "heldout_id", "n_words", "start", "end"])
-
-        out = out.unionByName(docs.mapInPandas(scan, schema))
+                        places = index.find([w for w, _, _ in at])
+                        for key, (n, _, _) in hits.items():
+                            m, lo, _ = places.get(key, (0, 0, 0))
+                            found.append((doc_id, key, n, at[lo][1] if m else None, at[lo + m - 1][2] if m else None))
+                yield pd.DataFrame(found, columns=["doc_id", "heldout_id", "n_words", "start", "end"]).astype({"start": "Int32", "end": "Int32"})
+
+        part = docs.mapInPandas(scan, schema)
+        if parts > 1:
+            part = materialize(part)
+            shared.unpersist()
+        out = out.unionByName(part)
     return out.groupBy("doc_id", "heldout_id").agg(F.max(F.struct("n_words", "start", "end")).alias("x")).select("doc_id", "heldout_id", "x.n_words", "x.start", "x.end")
 
 
