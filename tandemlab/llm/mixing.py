@@ -9,40 +9,56 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandemlab.sources.tables import materialize
 
+#: Tokens of a shard, where their number is left open.
+SHARD_TOKENS = 200_000_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Split pattern of byte-level BPE tokenizers, in the form that the library documents (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def count_tokens(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, text) -> (doc_id, source, size): tokens of the whole text by a rank file; words and marks where the file is missing."""
+    """(doc_id, source, text) -> (doc_id, source, size): tokens of the whole text by a rank file.
+
+    The file is shipped with the job; an executor that finds it nowhere fails, since a mixture must not depend on a machine.
+    """
+    if Path(tokenizer).exists():
+        rows.sparkSession.sparkContext.addFile(tokenizer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if Path(tokenizer).exists():
-            import tiktoken
-
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(tokenizer).read_bytes().splitlines())}
-            enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            size = lambda t: len(enc.encode_ordinary(t))
-        else:
-            size = lambda t: len(re.findall(r"\w+|[^\w\s]", t))
+        encode = None
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "size": [size(t) for t in pdf["text"]]})
+            if len(pdf) and encode is None:
+                encode = encoder(tokenizer)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "size": [len(encode(t)) for t in pdf["text"]]})
 
     return rows.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, size bigint")
 
 
+@lru_cache(maxsize=2)
+def encoder(tokenizer: str) -> Callable[[str], list[int]]:
+    """The encoding of a rank file, read once in each Python worker."""
+    import tiktoken
+
+    shipped = Path(SparkFiles.get(Path(tokenizer).name))
+    path = shipped if shipped.exists() else Path(tokenizer)
+    if not path.exists():
+        raise FileNotFoundError(f"no tokenizer at {tokenizer}")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, path.read_bytes().splitlines())}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def document_sizes(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, size) of the documents that can be mixed; only texts whose n_tokens is null are read and tokenized."""
     named = documents.filter(F.col("doc_id").isNotNull()).join(targets.filter(F.col("target_weight") > 0).select("source").distinct(), "source", "left_semi")
@@ -108,8 +124,10 @@ def plan_blocks(blocks: list[tuple[str, int, int]], weights: dict[str, float], r
     return rows, quota
 
 
-def mix(documents: DataFrame, targets: DataFrame, shards: int = 16, max_blocks: int = 32_768, block_docs: int = 64, seed: int = 8, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, copy, shard, size, order_key): the mixture; ``order_key`` sorts a shard into its local shuffle.
+def mix(documents: DataFrame, targets: DataFrame, shards: int | None = None, max_blocks: int = 32_768, block_docs: int = 64, seed: int = 8, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(doc_id, source, copy, shard, size, order_key): the mixture; ``order_key`` sorts a shard into its local shuffle (``shuffled``).
+
+    Without ``shards`` there are as many as hold about SHARD_TOKENS each, 16 at least.
 
     Documents are hashed into blocks of about ``block_docs`` documents, larger ones once all sources together would have more than
     ``max_blocks``: only that bounded table of blocks meets the driver and is broadcast back. All documents take part; the block that
@@ -125,7 +143,9 @@ def mix(documents: DataFrame, targets: DataFrame, shards: int = 16, max_blocks:
     n_blocks = spark.createDataFrame([(s, max(1, -(-n // per))) for s, n in counts.items()], "source string, nb bigint")
     blocked = sizes.join(F.broadcast(n_blocks), "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("nb"))).drop("nb")
     table = [(r["source"], r["block"], r["t"]) for r in blocked.groupBy("source", "block").agg(F.sum("size").alias("t")).collect()]
-    rows, _ = plan_blocks(table, weights, repeats, shards, seed)
+    rows, quota = plan_blocks(table, weights, repeats, shards or 1, seed)
+    if shards is None and (wanted := max(16, -(-int(sum(quota.values())) // SHARD_TOKENS))) > 1:
+        rows, _ = plan_blocks(table, weights, repeats, wanted, seed)
     plan = spark.createDataFrame(rows, "source string, block bigint, copy int, shard int, limit bigint")
     joined = blocked.join(F.broadcast(plan), ["source", "block"]).withColumn("order_key", F.xxhash64("doc_id", "copy", F.lit(seed)))
     whole = joined.filter(F.col("limit").isNull())
@@ -134,6 +154,11 @@ def mix(documents: DataFrame, targets: DataFrame, shards: int = 16, max_blocks:
     return whole.unionByName(cut).select("doc_id", "source", "copy", "shard", "size", "order_key")
 
 
+def shuffled(mixture: DataFrame) -> DataFrame:
+    """The mixture with each shard in one task, its rows in the order of their local shuffle: what a writer per shard puts out."""
+    return mixture.repartition("shard").sortWithinPartitions("shard", "order_key", "doc_id", "copy")
+
+
 def mix_shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_weight, max_repeats, tokens, share, copies): the shares really reached; sources of the targets that hold nothing have 0."""
     held = mixture.groupBy("source").agg(F.sum("size").alias("tokens"), (F.max("copy") + 1).alias("copies"))

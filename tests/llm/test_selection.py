@@ -215,11 +215,20 @@ def test_mixture_meets_shares_and_caps(spark):
     for r in got:
         per[r["shard"]] += 1
     assert set(per) == {0, 1, 2, 3}
+    orders = mixing.shuffled(mix).rdd.glom().map(lambda rs: [(r["shard"], r["order_key"]) for r in rs]).collect()
+    assert all(o == sorted(o) for o in orders) and sum(map(len, orders)) == len(got)
+    assert all(len([o for o in orders if s in {x for x, _ in o}]) == 1 for s in range(4))
     again = mixing.mix(df.repartition(6), targets, shards=4)
     assert mix.exceptAll(again).count() == 0
     assert mixing.mix(spark.createDataFrame([], DOC), targets).count() == 0
 
 
+def test_a_missing_tokenizer_fails(spark):
+    df = spark.createDataFrame([(1, "five plain words are here", "mid", None, 1, "x", 1)], DOC)
+    with pytest.raises(Exception, match="no tokenizer"):
+        mixing.count_tokens(df, "/nowhere/ranks.tiktoken").collect()
+
+
 def test_splitting_tree_is_exact():
     counts = np.array([7, 0, 100, 33])
     parts = mixing.split_tree(np.random.default_rng(1), counts, 5)
