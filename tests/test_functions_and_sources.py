@@ -148,3 +148,10 @@ def test_last_states(spark, smallest, tmp_path):
     got = ingest.drain(ingest.last_states(stream), "last_states", "update", str(tmp_path / "cp"))
     want = {r["user_id"]: (r["n"], r["k"]) for r in events.groupBy("user_id").agg(F.count("*").alias("n"), F.max_by("event_type", F.struct("ts", "event_id")).alias("k")).collect()}
     assert {r["user_id"]: (r["events"], r["last_type"]) for r in got.collect()} == want
+
+
+def test_schemas_may_have_parameters_named_type():
+    schema = {"type": "dict", "properties": {"type": {"type": "long"}, "properties": {"type": "HashMap", "properties": {"x": {"type": "float"}}}}, "items": {"type": "char"}}
+    got = tool_calls.normalised_schema(schema)
+    assert got == {"type": "object", "properties": {"type": {"type": "integer"}, "properties": {"type": "object", "properties": {"x": {"type": "number", "format": "float"}}}}, "items": {"type": "string"}}
+    assert schema["type"] == "dict"
