@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,37 +27,68 @@ def holm(tests: DataFrame, family: list[str], p: str, name: Column, alpha: float
     return walked.withColumn("adjusted", F.round(adjusted, 8)).withColumn("reject", F.col("adjusted") <= alpha).drop("__name", "__s")
 
 
-def binomial_upper(errors: int, trials: int, confidence: float = 0.95, steps: int = 80) -> float | None:
-    """One-sided Clopper-Pearson upper bound by bisection on the log-sum-exp binomial tail; 1 when all trials are errors, null without trials."""
-    if trials <= 0:
-        return None
-    if errors >= trials:
-        return 1.0
-    logs = [math.lgamma(trials + 1) - math.lgamma(k + 1) - math.lgamma(trials - k + 1) for k in range(errors + 1)]
+def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 20_000) -> np.ndarray:
+    """The regularised incomplete beta function by its continued fraction (modified Lentz), for whole batches at once.
 
-    def below(p: float) -> float:
-        terms = [c + k * math.log(p) + (trials - k) * math.log1p(-p) for k, c in enumerate(logs)]
-        top = max(terms)
-        return math.exp(top) * math.fsum(math.exp(t - top) for t in terms)
-
-    low, high = errors / trials, 1.0
-    for _ in range(steps):
-        mid = (low + high) / 2
-        if mid >= 1.0 or below(mid) <= 1 - confidence:
-            high = mid
-        else:
-            low = mid
-    return high
+    The fraction is taken on the side where it converges in a number of rounds that grows with the root of a and b.
+    """
+    flip = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+    tiny = 1e-300
+    front = np.exp(np.array([math.lgamma(p + q) - math.lgamma(p) - math.lgamma(q) for p, q in zip(a, b, strict=True)]) + a * np.log(np.maximum(x, tiny)) + b * np.log1p(-x)) / a
+    keep = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c, d = np.ones_like(x), 1 / keep(1 - (a + b) * x / (a + 1))
+    total = d.copy()
+    for m in range(1, rounds):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d, c = 1 / keep(1 + even * d), keep(1 + even / c)
+        total = total * d * c
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d, c = 1 / keep(1 + odd * d), keep(1 + odd / c)
+        step = d * c
+        total = total * step
+        if np.all(np.abs(step - 1) < 1e-13):
+            break
+    return np.where(flip, 1 - front * total, front * total)
+
+
+def binomial_upper_bounds(errors: np.ndarray, trials: np.ndarray, confidence: float = 0.95, steps: int = 60) -> np.ndarray:
+    """One-sided Clopper-Pearson upper bounds of a batch: the p at which a beta distribution of (errors + 1, trials - errors) reaches ``confidence``.
+
+    Found by bisection. 1 when all trials are errors, NaN without trials.
+    """
+    e, n = errors.astype(float), trials.astype(float)
+    out = np.where(n > 0, 1.0, np.nan)
+    some = (n > 0) & (e < n)
+    if some.any():
+        a, b = e[some] + 1, n[some] - e[some]
+        low, high = e[some] / n[some], np.ones(int(some.sum()))
+        for _ in range(steps):
+            mid = (low + high) / 2
+            over = incomplete_beta(a, b, mid) >= confidence
+            low, high = np.where(over, low, mid), np.where(over, mid, high)
+        out[some] = high
+    return out
+
+
+def binomial_upper(errors: int, trials: int, confidence: float = 0.95) -> float | None:
+    """The bound of one row; null without trials."""
+    got = binomial_upper_bounds(np.array([errors]), np.array([trials]), confidence)[0]
+    return None if np.isnan(got) else float(got)
 
 
 def with_upper_bound(rows: DataFrame, errors: str, trials: str, confidence: float = 0.95) -> DataFrame:
-    """``rows`` (one per group) with ``upper``: the exact bound, by Arrow batches."""
+    """``rows`` (one per group) with ``upper``: the exact bound, by Arrow batches; null where either count is."""
 
     @F.pandas_udf("double")
     def bound(e: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([binomial_upper(int(a), int(b), confidence) if a == a and b == b else None for a, b in zip(e, n, strict=True)], dtype="float64")
+        known = (e.notna() & n.notna()).to_numpy()
+        out = np.full(len(e), np.nan)
+        out[known] = binomial_upper_bounds(e[known].to_numpy(dtype=float), n[known].to_numpy(dtype=float), confidence)
+        return pd.Series(out)
 
-    return rows.withColumn("upper", F.round(bound(F.col(errors), F.col(trials)), 6))
+    got = rows.withColumn("upper", F.round(bound(F.col(errors), F.col(trials)), 6))
+    return got.withColumn("upper", F.when(~F.isnan("upper"), F.col("upper")))
 
 
 def certify(obs: DataFrame, policies: DataFrame, by: list[str], target: float, minimum_coverage: float, confidence: float = 0.95) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandemlab.sources.tables import materialize
+
 
 def bucketed_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], out: str) -> DataFrame:
     """``df`` with ``out``: the 1-based position of each row within ``keys`` by (bucket, order).
@@ -22,3 +24,14 @@ def bucketed_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[Co
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     return ranked.join(offsets, on).withColumn(out, (F.col("__off") + F.col("__r")).cast("bigint")).select(*[c for c in df.columns if c != "__b"], out)
+
+
+def range_rank(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """``df`` with ``out``: the 1-based position of each row within ``keys`` by ``order`` (columns that tell all rows of a key apart).
+
+    Rows are cut into ranges of (keys, order) of about equal size, whatever the skew of keys, numbered within them and shifted by the counts
+    of earlier ranges. The ranges are written down once, since they are drawn from a sample.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = materialize(df.repartitionByRange(n, *keys, *order).withColumn("__range", F.spark_partition_id()))
+    return bucketed_rank(ranges, keys, F.col("__range"), [F.col(c) for c in order], out).drop("__range")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandemlab.functions.expressions import accepts, hash_number, share
+from tandemlab.operators.ranking import range_rank
 
 SUMS = ("n", "q", "acc", "err", "cf")
 
@@ -26,7 +27,7 @@ def cluster_stats(obs: DataFrame, tau: float, reference: str, shifted: list[str]
     ref = sums.filter(F.col("cond") == reference).select("run_id", "unit", *[F.col(s).alias(f"{s}0") for s in SUMS])
     other = sums.filter(F.col("cond").isin(shifted)).select("run_id", "unit", F.col("cond").alias("contrast"), *[F.col(s).alias(f"{s}1") for s in SUMS])
     both = other.join(ref, ["run_id", "unit"])
-    return both.withColumn("idx", F.row_number().over(Window.partitionBy("run_id", "contrast").orderBy("unit")) - 1)
+    return range_rank(both, ["run_id", "contrast"], ["unit"], "idx").withColumn("idx", (F.col("idx") - 1).cast("int"))
 
 
 def endpoint_deltas(sums: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
@@ -40,10 +41,22 @@ def endpoint_deltas(sums: DataFrame, by: list[str], weight: Column | None = None
     return agg.select(*by, rate("q").alias("d_q"), rate("acc").alias("d_k"), (risk[1] - risk[0]).alias("d_r"), (success[1] - success[0]).alias("d_s"), rate("err").alias("d_e"), rate("cf").alias("d_c"))
 
 
+#: Positions that one row of a plan is spread into at a time.
+BLOCK = 65_536
+
+
+def draw_positions(sizes: DataFrame, by: list[str], replicates: int) -> DataFrame:
+    """(by, size, b, j): a row for each draw of each replicate, ``size`` draws each, on many tasks; no row holds more than BLOCK of them."""
+    blocks = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / BLOCK))))
+    many = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = F.least(F.col("size"), (F.col("__k") + 1) * BLOCK) - 1
+    return blocks.repartition(many, *by, "b", "__k").withColumn("j", F.explode(F.sequence(F.col("__k") * BLOCK, last))).drop("__k")
+
+
 def bootstrap_draws(stats: DataFrame, replicates: int, seed: int) -> DataFrame:
     """``stats`` once for each time its unit is drawn, with the replicate b: as many draws with replacement as the contrast has units."""
     sizes = stats.groupBy("run_id", "contrast").agg(F.count("*").alias("size"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)))
+    draws = draw_positions(sizes, ["run_id", "contrast"], replicates)
     picked = draws.select("run_id", "contrast", "b", (hash_number(F.lit(seed), F.col("b"), F.col("j")) % F.col("size")).cast("int").alias("idx"))
     return picked.join(stats, ["run_id", "contrast", "idx"])
 

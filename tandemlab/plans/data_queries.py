@@ -9,6 +9,7 @@ from tandemlab.functions import expressions as ex
 from tandemlab.functions import parsing
 from tandemlab.operators import audit, sampling
 from tandemlab.operators.inference import with_upper_bound
+from tandemlab.operators.ranking import range_rank
 from tandemlab.plans.endpoint_queries import HOT, NARROW, REFERENCE, SUM, W, cell, done, obs
 from tandemlab.sources.tables import table
 
@@ -392,7 +393,7 @@ def k2(spark, folder):
 
 @query("k4_stable_order", f"WITH {_ITEMS} SELECT dataset_id, item_id, row_number() OVER (PARTITION BY dataset_id ORDER BY item_id) AS position FROM it")
 def k4(spark, folder):
-    return items(spark, folder).withColumn("position", F.row_number().over(Window.partitionBy("dataset_id").orderBy("item_id")).cast("bigint"))
+    return range_rank(items(spark, folder), ["dataset_id"], ["item_id"], "position")
 
 
 @query("n1_n2_policy_decisions", "SELECT run_id, coalesce(status, '(none)') AS status, CASE WHEN status IS NULL OR threshold IS NULL THEN 'pending' WHEN reference_coverage >= minimum_coverage THEN 'open' ELSE 'closed' END AS decision FROM calibration_thresholds")

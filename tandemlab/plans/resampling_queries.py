@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tandemlab.functions.expressions import accepts
@@ -10,6 +9,7 @@ from tandemlab.operators import endpoints as ep
 from tandemlab.operators import fits, inference, metrics, resample, sampling, variance
 from tandemlab.operators import ranking_metrics as rm
 from tandemlab.operators import thresholds as th
+from tandemlab.operators.ranking import range_rank
 from tandemlab.plans.endpoint_queries import _STRENGTH, BY, CAND, FROZEN, HOT, NARROW, REFERENCE, TAU, W, cell, development, done
 from tandemlab.sources.tables import materialize, table
 
@@ -195,9 +195,9 @@ def h15(spark, folder):
     """AUROC by item bootstrap: multiplicities are joined to (item, score) counts, so a replicate is a weighted atom table."""
     rows = cell(spark, folder).filter((F.col("cond") == REFERENCE) & F.col("c") & F.col("run_id").isNotNull() & F.col("item").isNotNull())
     counts = materialize(rows.groupBy("run_id", "item", "conf").agg(F.count("*").alias("n"), F.count_if("y").alias("pos")))
-    units = counts.select("run_id", "item").distinct().withColumn("idx", F.row_number().over(Window.partitionBy("run_id").orderBy("item")) - 1)
+    units = range_rank(counts.select("run_id", "item").distinct(), ["run_id"], ["item"], "idx").withColumn("idx", (F.col("idx") - 1).cast("int"))
     sizes = units.groupBy("run_id").agg(F.count("*").alias("size"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)))
+    draws = resample.draw_positions(sizes, ["run_id"], 40)
     picked = draws.groupBy("run_id", "b", (resample.hash_number(F.lit(31), F.col("b"), F.col("j")) % F.col("size")).cast("int").alias("idx")).agg(F.count("*").alias("w"))
     atom = picked.join(units, ["run_id", "idx"]).join(counts, ["run_id", "item"]).groupBy("run_id", "b", "conf").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("pos")).alias("pos"))
     auc = rm.auroc(atom, ["run_id", "b"])

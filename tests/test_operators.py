@@ -14,7 +14,7 @@ from tandemlab.functions.expressions import OUTCOMES
 from tandemlab.operators import audit, endpoints, fits, inference, ranking_metrics, resample, sampling, thresholds, variance
 from tandemlab.operators.graph import components
 from tandemlab.operators.observations import observations
-from tandemlab.operators.ranking import bucketed_rank
+from tandemlab.operators.ranking import bucketed_rank, range_rank
 
 OBS = "record_id string, run_id string, dataset_id string, item string, cluster string, part string, cond string, seed bigint, a boolean, c boolean, conf double, ans string, y boolean"
 
@@ -286,3 +286,54 @@ def test_poisson_bootstrap_is_near_the_resampling_one(spark):
     a = spread(resample.poisson_bootstrap(stats, by, 200, 1))
     b = spread(resample.endpoint_deltas(resample.bootstrap_draws(stats, 200, 1), [*by, "b"]))
     assert a == pytest.approx(b, rel=0.3) and not math.isclose(a, 0)
+
+
+def test_a_single_score_may_hold_any_number_of_rows(spark):
+    atom = spark.createDataFrame([("x", 0.9, 10, 4), ("x", 0.5, 7, 7), ("x", 0.2, 90, 1), ("big", 0.5, 10**9, 4 * 10**8)], "g string, conf double, n bigint, pos bigint")
+    totals = spark.createDataFrame([("x", 200), ("big", 10**9)], "g string, total bigint")
+    got = {r["g"]: r for r in ranking_metrics.aurc(atom, totals, ["g"]).collect()}
+    n0 = e0 = s = 0
+    for n, pos in ((10, 4), (7, 7), (90, 1)):
+        s += sum((e0 + k * (n - pos) / n) / (n0 + k) for k in range(1, n + 1))
+        n0, e0 = n0 + n, e0 + n - pos
+    assert got["x"]["aurc"] == pytest.approx(s / 107, abs=1e-8) and got["x"]["operational_aurc"] == pytest.approx(s / 200, abs=1e-8)
+    assert got["big"]["aurc"] == pytest.approx(0.6, abs=1e-8)
+
+
+def test_isotonic_fit_of_many_scores_is_that_of_all_at_once(spark):
+    rng = random.Random(12)
+    rows = [("skewed" if i % 10 else "other", i / 20_000, rng.randint(1, 5), 0) for i in range(20_000)]
+    rows = [(g, c, n, sum(rng.random() < c for _ in range(n))) for g, c, n, _ in rows]
+    fit = {(r["g"], r["conf"]): r["fit"] for r in ranking_metrics.isotonic(spark.createDataFrame(rows, "g string, conf double, n bigint, pos bigint"), ["g"]).collect()}
+    for g in ("skewed", "other"):
+        mine = [r for r in rows if r[0] == g]
+        block = ranking_metrics.pool([r[2] for r in mine], [r[3] for r in mine])
+        sums = {}
+        for b, r in zip(block, mine, strict=True):
+            n, p = sums.get(b, (0, 0))
+            sums[b] = n + r[2], p + r[3]
+        assert all(fit[g, r[1]] == sums[b][1] / sums[b][0] for b, r in zip(block, mine, strict=True))
+        rates = [p / n for n, p in (sums[b] for b in sorted(sums))]
+        assert rates == sorted(rates)
+
+
+def test_bounds_of_many_errors():
+    import math
+    import time
+
+    began = time.time()
+    got = inference.binomial_upper_bounds(np.array([10**6, 400_000, 3, 0]), np.array([10**8, 10**6, 10, 50]))
+    assert time.time() - began < 20
+    assert got[0] == pytest.approx(0.01 + 1.645 * math.sqrt(0.01 * 0.99 / 1e8), rel=1e-4) and got[3] == pytest.approx(1 - 0.05 ** (1 / 50), rel=1e-9)
+    tail = sum(math.comb(10, k) * got[2] ** k * (1 - got[2]) ** (10 - k) for k in range(4))
+    assert tail == pytest.approx(0.05, abs=1e-9)
+
+
+def test_a_million_units_of_one_contrast(spark):
+    sizes = spark.createDataFrame([("r", "c", 1_000_000), ("r", "d", 3)], "run_id string, contrast string, size bigint")
+    draws = resample.draw_positions(sizes, ["run_id", "contrast"], 2)
+    got = {(r["contrast"], r["b"]): (r["n"], r["least"], r["most"]) for r in draws.groupBy("contrast", "b").agg(F.count("*").alias("n"), F.min("j").alias("least"), F.max("j").alias("most")).collect()}
+    assert got == {("c", 0): (10**6, 0, 10**6 - 1), ("c", 1): (10**6, 0, 10**6 - 1), ("d", 0): (3, 0, 2), ("d", 1): (3, 0, 2)}
+    units = spark.range(1_000_000).select(F.lit("r").alias("run_id"), F.concat(F.lit("u"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("unit"), "id")
+    ranked = range_rank(units, ["run_id"], ["unit"], "k")
+    assert ranked.filter("k != id + 1").count() == 0 and ranked.rdd.getNumPartitions() > 1
