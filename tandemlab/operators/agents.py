@@ -17,6 +17,15 @@ def episodes(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
     return agg.select("*", F.size("steps").alias("n_steps"), (F.size("steps") > STEP_LIMIT).alias("force_terminated"), F.size(F.filter("steps", lambda s: s["status"] == "invalid")).alias("invalid_outputs"))
 
 
+def class_documents(cases: DataFrame, documents: DataFrame, held_out: DataFrame) -> DataFrame:
+    """(case_id, name): the function documents of each case's classes, without those held out from it.
+
+    ``cases``: (case_id, classes array), ``documents``: (class, name), ``held_out``: (case_id, name). A class without documents adds nothing.
+    """
+    asked = cases.select("case_id", F.explode("classes").alias("class"))
+    return asked.join(documents.select("class", "name"), "class").select("case_id", "name").distinct().join(held_out.select("case_id", "name"), ["case_id", "name"], "left_anti")
+
+
 def episode_scores(eps: DataFrame) -> DataFrame:
     """Forced termination fails first, then malformed output; the rest waits for the official checker (null)."""
     return eps.withColumn("success", F.when(F.col("force_terminated") | (F.col("invalid_outputs") > 0), F.lit(False)))

@@ -132,3 +132,22 @@ def separation(rows: DataFrame, equivalent: str = "equivalent", realisation: str
 def noninferior(rows: DataFrame, margin: float, high: str = "ci_high") -> DataFrame:
     """``rows`` with noninferior: the upper end of the interval is at most the margin."""
     return rows.withColumn("noninferior", F.col(high) <= margin)
+
+
+def effect_report(draws: DataFrame, by: list[str], values: dict[str, float], levels: tuple[float, float] = (0.95, 0.9)) -> DataFrame:
+    """(by, and of each value: replicates, variance, both intervals, equivalent, noninferior): what bootstrap draws say of shifted effects.
+
+    ``values``: column -> margin. An effect is equivalent if its narrower interval lies strictly inside the margin, and noninferior if the upper
+    end of that interval is at most the margin; undefined draws count for nothing, and without any all is null but the flags, which are false.
+    """
+    ends = [(level, side, p) for level in levels for side, p in (("low", (1 - level) / 2), ("high", 1 - (1 - level) / 2))]
+    name = lambda v, level, side: f"{v}_{side}_{round(level * 100)}"
+    aggs = []
+    for v in values:
+        aggs += [F.count(v).alias(f"{v}_replicates"), F.round(F.var_samp(v), 10).alias(f"{v}_variance")]
+        aggs += [F.round(F.percentile(v, p), 6).alias(name(v, level, side)) for level, side, p in ends]
+    out = draws.groupBy(*by).agg(*aggs)
+    for v, margin in values.items():
+        low, high = F.col(name(v, levels[1], "low")), F.col(name(v, levels[1], "high"))
+        out = out.withColumn(f"{v}_equivalent", F.coalesce((low > -margin) & (high < margin), F.lit(False))).withColumn(f"{v}_noninferior", F.coalesce(high <= margin, F.lit(False)))
+    return out

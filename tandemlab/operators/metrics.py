@@ -39,3 +39,12 @@ def evaluate(obs: DataFrame, names: list[str], by: list[str], tau: float) -> Dat
     sums = {f"{m}_{k}": F.sum(v) for m in names for k, v in METRICS[m].sums(tau).items()}
     agg = obs.groupBy(*by).agg(*[v.alias(k) for k, v in sums.items()])
     return agg.select(*by, *[METRICS[m].finish(lambda k, m=m: F.col(f"{m}_{k}")).alias(m) for m in names])
+
+
+#: Outcomes of response surfaces: a number per observation, null where the outcome is undefined.
+OUTCOMES: dict[str, Callable[[float], Column]] = {
+    "correctness": lambda t: F.col("y").cast("double"),
+    "coverage": lambda t: accepts(t).cast("double"),
+    "invalid": lambda t: (~F.col("c")).cast("double"),
+    "selective_error": lambda t: F.when(accepts(t), (~F.col("y")).cast("double")),
+}

@@ -53,7 +53,7 @@ def draw_positions(sizes: DataFrame, by: list[str], replicates: int) -> DataFram
     return blocks.repartition(many, *by, "b", "__k").withColumn("j", F.explode(F.sequence(F.col("__k") * BLOCK, last))).drop("__k")
 
 
-def bootstrap_draws(stats: DataFrame, replicates: int, seed: int) -> DataFrame:
+def bootstrap_draws(stats: DataFrame, replicates: int = 5000, seed: int = 17) -> DataFrame:
     """``stats`` once for each time its unit is drawn, with the replicate b: as many draws with replacement as the contrast has units."""
     sizes = stats.groupBy("run_id", "contrast").agg(F.count("*").alias("size"))
     draws = draw_positions(sizes, ["run_id", "contrast"], replicates)
@@ -61,7 +61,7 @@ def bootstrap_draws(stats: DataFrame, replicates: int, seed: int) -> DataFrame:
     return picked.join(stats, ["run_id", "contrast", "idx"])
 
 
-def poisson_bootstrap(stats: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
+def poisson_bootstrap(stats: DataFrame, by: list[str], replicates: int = 5000, seed: int = 17) -> DataFrame:
     """Endpoint deltas of ``replicates`` Poisson bootstraps: every unit gets an independent Poisson(1) weight per replicate from its hash.
 
     No draw meets a join: each unit's row is weighted where it lies and partial sums are all that is shuffled, which is the form for
@@ -92,7 +92,7 @@ def intervals(draws: DataFrame, by: list[str], value: str, level: float = 0.95,
     return out.select(*by, "replicates", F.when(ok, F.round("lo", 6)).alias("ci_low"), F.when(ok, F.round("hi", 6)).alias("ci_high"))
 
 
-def randomisation_p(stats: DataFrame, endpoint: str, replicates: int, seed: int, tolerance: float = 1e-12, count_undefined: bool = True) -> DataFrame:
+def randomisation_p(stats: DataFrame, endpoint: str, replicates: int = 9999, seed: int = 29, tolerance: float = 1e-12, count_undefined: bool = True) -> DataFrame:
     """(run_id, contrast, observed, p): two-sided p-value of swapping a unit's arms by the low bit of its hash.
 
     (extreme + 1) / (replicates + 1), undefined draws counting as not extreme; with ``count_undefined`` false the denominator takes defined
@@ -108,3 +108,41 @@ def randomisation_p(stats: DataFrame, endpoint: str, replicates: int, seed: int,
     out = joined.groupBy(*by).agg(F.max("observed").alias("observed"), F.count_if(F.col("d") >= F.col("observed") - tolerance).alias("extreme"), F.count("d").alias("defined"))
     base = F.lit(replicates) if count_undefined else F.col("defined")
     return out.select(*by, F.round("observed", 8).alias("observed"), F.when(F.col("observed").isNotNull(), F.round((F.col("extreme") + 1) / (base + 1), 8)).alias("p"))
+
+
+def randomisation_tests(stats: DataFrame, endpoint: str, replicates: int = 9999, seed: int = 29, tolerance: float = 1e-12) -> DataFrame:
+    """(run_id, contrast, observed, valid, p_change, p_increase): two-sided and one-sided p-values of swapping the arms of units.
+
+    (extreme + 1) / (valid + 1) over the draws in which the endpoint is defined; both are 1 where the observed difference is undefined.
+    """
+    by = ["run_id", "contrast"]
+    seen = endpoint_deltas(stats, by).select(*by, F.col(endpoint).alias("observed"))
+    coin = hash_number(F.lit(seed), F.col("b"), F.col("idx")) % 2 == 0
+    swapped = stats.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("coin", coin)
+    arms = swapped.select(*by, "b", *[F.when(F.col("coin"), F.col(f"{s}{i}")).otherwise(F.col(f"{s}{1 - i}")).alias(f"{s}{i}") for s in SUMS for i in (0, 1)])
+    d = endpoint_deltas(arms, [*by, "b"]).select(*by, F.col(endpoint).alias("d")).join(seen, by)
+    agg = d.groupBy(*by).agg(
+        F.max("observed").alias("observed"), F.count("d").alias("valid"),
+        F.count_if(F.abs("d") >= F.abs("observed") - tolerance).alias("two"), F.count_if(F.col("d") >= F.col("observed") - tolerance).alias("one"),
+    )
+    p = lambda k: F.when(F.col("observed").isNull(), 1.0).otherwise(F.round((F.col(k) + 1) / (F.col("valid") + 1), 8))
+    return agg.select(*by, F.round("observed", 8).alias("observed"), F.when(F.col("observed").isNull(), 0).otherwise(F.col("valid")).alias("valid"), p("two").alias("p_change"), p("one").alias("p_increase"))
+
+
+def resampling_strata(clusters: DataFrame, least: int = 2) -> DataFrame:
+    """``clusters``: (by.., cluster, stratum), one row each. (dataset_id, clusters, strata, smallest, used): whether a dataset is resampled within strata.
+
+    Strata are used if every cluster has one and each holds ``least`` clusters or more; else the dataset is resampled as a whole.
+    """
+    per = clusters.groupBy("dataset_id", "stratum").agg(F.count("*").alias("k"))
+    out = per.groupBy("dataset_id").agg(F.sum("k").alias("clusters"), F.count("stratum").alias("strata"), F.min("k").alias("smallest"), F.bool_or(F.col("stratum").isNull()).alias("open"))
+    return out.select("dataset_id", "clusters", "strata", "smallest", (~F.col("open") & (F.col("smallest") >= least)).alias("used"))
+
+
+def stratified_draws(clusters: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(dataset_id, stratum, b, cluster): as many draws with replacement within each stratum as it has clusters; positions by the cluster's name."""
+    by = ["dataset_id", "stratum"]
+    placed = range_rank(clusters.withColumn("stratum", F.coalesce("stratum", F.lit(""))), by, ["cluster"], "idx").withColumn("idx", (F.col("idx") - 1).cast("bigint"))
+    sizes = placed.groupBy(*by).agg(F.count("*").alias("size"))
+    picked = draw_positions(sizes, by, replicates).select(*by, "b", (hash_number(F.lit(seed), F.col("stratum"), F.col("b"), F.col("j")) % F.col("size")).alias("idx"))
+    return picked.join(placed, [*by, "idx"]).select(*by, "b", "cluster")
