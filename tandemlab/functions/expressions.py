@@ -27,6 +27,11 @@ def share(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
+def decimal_round(x: Column, digits: int = 8) -> Column:
+    """``x`` rounded half up in decimal arithmetic of 12 places, so that sums added up in another order round alike."""
+    return F.round(x.cast("decimal(24,12)"), digits).cast("double")
+
+
 def hash_number(*parts: Column) -> Column:
     """A bigint below 2^60 from the md5 of the parts joined by ':'; the same on every engine and layout."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("bigint")

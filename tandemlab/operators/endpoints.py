@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandemlab.functions.expressions import OUTCOMES, accepts, outcome, share
+from tandemlab.functions.expressions import OUTCOMES, accepts, decimal_round, outcome, share
 
 
 def endpoint_columns(tau: Column | float) -> list[Column]:
@@ -53,7 +53,7 @@ def summary(obs: DataFrame, by: list[str]) -> DataFrame:
         F.count("*").alias("n"), F.countDistinct("cluster").alias("clusters"), F.concat_ws(",", F.transform(F.sort_array(F.collect_set("seed")), lambda s: s.cast("string"))).alias("seeds"),
         F.round(F.avg(F.col("y").cast("double")), 8).alias("accuracy"), F.count_if("c").alias("valid"), F.count_if(~F.col("c")).alias("invalid"),
         F.round(F.avg(p), 8).alias("mean_confidence"), F.round(F.percentile(p, 0.5), 8).alias("median_confidence"),
-        F.round(F.avg(F.pow(p - F.col("y").cast("double"), 2)) + 1e-12, 8).alias("brier"),  # ties of the last digit go up
+        decimal_round(F.avg(F.pow(p - F.col("y").cast("double"), 2))).alias("brier"),
     )
 
 

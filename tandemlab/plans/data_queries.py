@@ -11,6 +11,7 @@ from tandemlab.operators import audit, sampling
 from tandemlab.operators.inference import with_upper_bound
 from tandemlab.operators.ranking import range_rank
 from tandemlab.plans.endpoint_queries import HOT, NARROW, REFERENCE, SUM, W, cell, done, obs
+from tandemlab.plans.resampling_queries import bound_sql
 from tandemlab.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -339,7 +340,10 @@ def f20(spark, folder):
     return q.join(p, "request_id").groupBy("condition_id", "stage").agg(F.count("*").alias("episodes"), F.round(F.avg(F.col("ok").cast("double")), 8).alias("valid_rate"))
 
 
-@query("f23_budget_audit", "WITH t AS (SELECT request_id, max(completion_tokens) AS v FROM inference_responses WHERE completion_tokens IS NOT NULL GROUP BY 1), o AS (SELECT v, row_number() OVER (ORDER BY v, request_id) - 1 AS k, count(*) OVER () AS n FROM t) SELECT b AS budget, count(*) AS n, CAST(sum(CASE WHEN v > b THEN 1 ELSE 0 END) AS BIGINT) AS exceeding, max(CASE WHEN k = n // 2 THEN v END) AS median, max(CASE WHEN k = least(n - 1, CAST(floor(0.99 * n) AS BIGINT)) THEN v END) AS p99 FROM o, unnest([64, 128, 192, 256]) u(b) GROUP BY b")
+_BUDGETS = "WITH t AS (SELECT request_id, max(completion_tokens) AS v FROM inference_responses WHERE completion_tokens IS NOT NULL GROUP BY 1), o AS (SELECT v, row_number() OVER (ORDER BY v, request_id) - 1 AS k, count(*) OVER () AS n FROM t) SELECT b AS budget, count(*) AS n, CAST(sum(CASE WHEN v > b THEN 1 ELSE 0 END) AS BIGINT) AS exceeding, max(CASE WHEN k = n // 2 THEN v END) AS median, max(CASE WHEN k = least(n - 1, CAST(floor(0.99 * n) AS BIGINT)) THEN v END) AS p99 FROM o, unnest([64, 128, 192, 256]) u(b) GROUP BY b"
+
+
+@query("f23_budget_audit", _BUDGETS)
 def f23(spark, folder):
     """Order statistics come from token counts (few distinct values), not from a sort of all rows."""
     t = table(spark, folder, "inference_responses").filter("completion_tokens is not null").groupBy("request_id").agg(F.max("completion_tokens").alias("v"))
@@ -351,7 +355,7 @@ def f23(spark, folder):
     return spread.groupBy("budget").agg(F.max("n").alias("n"), F.sum(F.when(F.col("v") > F.col("budget"), F.col("c")).otherwise(0)).alias("exceeding"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.least(F.col("n") - 1, F.floor(F.col("n") * 0.99))).alias("p99"))
 
 
-@query("f23_budget_bounds")
+@query("f23_budget_bounds", f"WITH bu AS ({_BUDGETS}), be AS (SELECT budget, n, exceeding AS e FROM bu), {bound_sql('be', 'budget')} SELECT u.*, round(d.upper, 6) AS upper FROM bu u LEFT JOIN bd d ON d.budget = u.budget")
 def f23b(spark, folder):
     return with_upper_bound(f23(spark, folder), "exceeding", "n")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlab.functions.expressions import accepts, logit, outcome, violation
+from tandemlab.functions.expressions import accepts, decimal_round, logit, outcome, violation
 from tandemlab.operators import endpoints as ep
 from tandemlab.operators import ranking_metrics as rm
 from tandemlab.operators import thresholds as th
@@ -120,7 +120,7 @@ def f4(spark, folder):
     return ep.invalid_confidence(obs(spark, folder), BY)
 
 
-@query("f5_summary", W + f"SELECT run_id, cond, count(*) AS n, count(DISTINCT cluster) AS clusters, array_to_string(list_sort(list(DISTINCT seed) FILTER (seed IS NOT NULL)), ',') AS seeds, round(avg(CASE WHEN y THEN 1.0 ELSE 0.0 END), 8) AS accuracy, {SUM('c')} AS valid, {SUM('NOT c')} AS invalid, round(avg(CASE WHEN c THEN conf END), 8) AS mean_confidence, round(median(CASE WHEN c THEN conf END), 8) AS median_confidence, round(avg(CASE WHEN c THEN power(conf - CASE WHEN y THEN 1 ELSE 0 END, 2) END) + 1e-12, 8) AS brier FROM done GROUP BY ALL")
+@query("f5_summary", W + f"SELECT run_id, cond, count(*) AS n, count(DISTINCT cluster) AS clusters, array_to_string(list_sort(list(DISTINCT seed) FILTER (seed IS NOT NULL)), ',') AS seeds, round(avg(CASE WHEN y THEN 1.0 ELSE 0.0 END), 8) AS accuracy, {SUM('c')} AS valid, {SUM('NOT c')} AS invalid, round(avg(CASE WHEN c THEN conf END), 8) AS mean_confidence, round(median(CASE WHEN c THEN conf END), 8) AS median_confidence, CAST(round(CAST(avg(CASE WHEN c THEN power(conf - CASE WHEN y THEN 1 ELSE 0 END, 2) END) AS DECIMAL(24, 12)), 8) AS DOUBLE) AS brier FROM done GROUP BY ALL")
 def f5(spark, folder):
     return ep.summary(done(spark, folder), BY)
 
@@ -130,9 +130,9 @@ def f7(spark, folder):
     return ep.expected_calibration_error(done(spark, folder), BY)
 
 
-@query("f8_brier", W + "SELECT run_id, dataset_id, cond, count(*) AS n, round(avg(power(conf - CASE WHEN y THEN 1 ELSE 0 END, 2)) + 1e-12, 8) AS brier, round(avg(conf), 8) AS mean_confidence FROM done WHERE c GROUP BY ALL")
+@query("f8_brier", W + "SELECT run_id, dataset_id, cond, count(*) AS n, CAST(round(CAST(avg(power(conf - CASE WHEN y THEN 1 ELSE 0 END, 2)) AS DECIMAL(24, 12)), 8) AS DOUBLE) AS brier, round(avg(conf), 8) AS mean_confidence FROM done WHERE c GROUP BY ALL")
 def f8(spark, folder):
-    return done(spark, folder).filter("c").groupBy("run_id", "dataset_id", "cond").agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("conf") - F.col("y").cast("double"), 2)) + 1e-12, 8).alias("brier"), F.round(F.avg("conf"), 8).alias("mean_confidence"))
+    return done(spark, folder).filter("c").groupBy("run_id", "dataset_id", "cond").agg(F.count("*").alias("n"), decimal_round(F.avg(F.pow(F.col("conf") - F.col("y").cast("double"), 2))).alias("brier"), F.round(F.avg("conf"), 8).alias("mean_confidence"))
 
 
 _SAME = "(r.a AND s.a AND coalesce(r.ans = s.ans, false))"

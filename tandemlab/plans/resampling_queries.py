@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tandemlab.functions.expressions import accepts
+from tandemlab.functions.expressions import accepts, decimal_round
 from tandemlab.operators import endpoints as ep
 from tandemlab.operators import fits, inference, metrics, resample, sampling, variance
 from tandemlab.operators import ranking_metrics as rm
 from tandemlab.operators import thresholds as th
 from tandemlab.operators.ranking import range_rank
-from tandemlab.plans.endpoint_queries import _STRENGTH, BY, CAND, FROZEN, HOT, NARROW, REFERENCE, TAU, W, cell, development, done
+from tandemlab.plans.endpoint_queries import _STRENGTH, BY, CAND, FROZEN, HOT, NARROW, REFERENCE, SUM, TAU, W, cell, development, done
 from tandemlab.sources.tables import materialize, table
 
 QUERIES, SQL = {}, {}
@@ -91,7 +91,11 @@ def h3(spark, folder):
     return d.select("run_id", "contrast", *[F.round(c, 8).alias(c) for c in ("d_q", "d_k", "d_r", "d_s", "d_e", "d_c")])
 
 
-@query("h3_poisson_bootstrap")
+_CUTS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712)
+_WEIGHT = " + ".join(f"CASE WHEN u >= CAST({c} AS DOUBLE) THEN 1 ELSE 0 END" for c in _CUTS)
+
+
+@query("h3_poisson_bootstrap", W + f", {_STATS}, pu AS (SELECT *, {_HASH("'17'", "b", "unit")} / CAST(1152921504606846976 AS DOUBLE) AS u FROM st, range(0, {REPLICATES}) t(b)), pw AS (SELECT *, {_WEIGHT} AS w FROM pu), pd AS (SELECT run_id, contrast, b, sum(acc1 * w) / sum(n1 * w) - sum(acc0 * w) / sum(n0 * w) AS d_k FROM pw WHERE w > 0 GROUP BY ALL) SELECT run_id, contrast, count(d_k) AS replicates, round(quantile_cont(d_k, 0.025), 6) AS ci_low, round(quantile_cont(d_k, 0.975), 6) AS ci_high FROM pd WHERE d_k IS NOT NULL GROUP BY ALL")
 def h3p(spark, folder):
     return resample.intervals(resample.poisson_bootstrap(stats(spark, folder), ["run_id", "contrast"], REPLICATES, 17), ["run_id", "contrast"], "d_k")
 
@@ -150,7 +154,24 @@ def h10(spark, folder):
     return inference.transport(done(spark, folder), policy, REFERENCE, 0.5)
 
 
-@query("h6_h7_certify")
+def bound_sql(src: str, key: str) -> str:
+    """CTE ``bd`` (key, n, e, upper): exact upper bounds of ``src`` (key, n, e) by bisection on the summed binomial terms."""
+    return f"""bd AS (
+  WITH RECURSIVE t AS (
+    SELECT {key}, n, e, e / n AS lo, CAST(1.0 AS DOUBLE) AS hi, 0 AS k FROM {src} WHERE n > 0
+    UNION ALL
+    SELECT {key}, n, e, CASE WHEN tail <= 0.05 THEN lo ELSE mid END, CASE WHEN tail <= 0.05 THEN mid ELSE hi END, k + 1
+    FROM (SELECT *, (lo + hi) / 2 AS mid, list_sum(list_transform(range(0, CAST(e AS BIGINT) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((lo + hi) / 2) + (n - i) * ln(1 - (lo + hi) / 2)))) AS tail FROM t WHERE k < 50 AND e < n))
+  SELECT {key}, n, e, CASE WHEN e >= n THEN CAST(1.0 AS DOUBLE) ELSE hi END AS upper FROM t WHERE k = 50 OR e >= n)"""
+
+
+def _certify_sql(target: float) -> str:
+    at = "a AND c AND coalesce(conf >= p.threshold, false)"
+    return f"""{CAND}, {FROZEN}, ce AS (SELECT o.run_id, any_value(o.dataset_id) AS dataset_id, count(*) AS total, {SUM(at)} AS n, {SUM(at + " AND NOT y")} AS e FROM done o JOIN pol p ON p.run_id = o.run_id AND p.threshold IS NOT NULL WHERE o.part = 'certification' AND o.cond = 'reference' GROUP BY 1),
+{bound_sql("ce", "run_id")}, cf AS (SELECT c.run_id, c.dataset_id, c.total, c.n, c.e, round(b.upper, 6) AS upper, round(c.n / c.total, 8) AS coverage, round(c.e / nullif(c.n, 0), 8) AS risk, c.n / c.total < 0.1 AS thin, b.upper IS NULL OR round(b.upper, 6) > {target} AS loose FROM ce c LEFT JOIN bd b ON b.run_id = c.run_id)"""
+
+
+@query("h6_h7_certify", W + f", {_certify_sql(0.25)} SELECT run_id, total AS n, n AS accepted, e AS errors, coverage, risk, upper, CASE WHEN thin OR loose THEN 'infeasible' ELSE 'certified' END AS status, CASE WHEN thin THEN 'coverage' WHEN loose THEN 'bound' END AS reason FROM cf")
 def h7(spark, folder):
     rows = done(spark, folder)
     policy = th.frozen_endpoint(rows.filter((F.col("part") == "development") & (F.col("cond") == REFERENCE)), ["run_id"], 0.25, 0.1, 0.5)
@@ -273,10 +294,10 @@ def k3(spark, folder):
 
 
 @query("m1_metric_registry", W + """SELECT run_id, cond, round(avg(CASE WHEN y THEN 1.0 ELSE 0.0 END), 8) AS accuracy, round(avg(CASE WHEN acc THEN 1.0 ELSE 0.0 END), 8) AS coverage, round(sum(CASE WHEN acc AND NOT y THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN acc THEN 1 ELSE 0 END), 0), 8) AS risk,
-round(avg(CASE WHEN c THEN 0.0 ELSE 1.0 END), 8) AS invalid_rate, round(avg(CASE WHEN c THEN conf END) + 1e-12, 8) AS mean_confidence, round(avg(CASE WHEN c THEN power(conf - CASE WHEN y THEN 1 ELSE 0 END, 2) END) + 1e-12, 8) AS brier FROM done GROUP BY ALL""")
+round(avg(CASE WHEN c THEN 0.0 ELSE 1.0 END), 8) AS invalid_rate, CAST(round(CAST(avg(CASE WHEN c THEN conf END) AS DECIMAL(24, 12)), 8) AS DOUBLE) AS mean_confidence, CAST(round(CAST(avg(CASE WHEN c THEN power(conf - CASE WHEN y THEN 1 ELSE 0 END, 2) END) AS DECIMAL(24, 12)), 8) AS DOUBLE) AS brier FROM done GROUP BY ALL""")
 def m1(spark, folder):
     got = metrics.evaluate(done(spark, folder), list(metrics.METRICS), BY, TAU)
-    return got.select(*BY, *[F.round(F.col(m) + (1e-12 if m in ("mean_confidence", "brier") else 0.0), 8).alias(m) for m in metrics.METRICS])
+    return got.select(*BY, *[(decimal_round(F.col(m)) if m in ("mean_confidence", "brier") else F.round(m, 8)).alias(m) for m in metrics.METRICS])
 
 
 @query("f9_confidence_diagnostics", W + """, b AS (SELECT run_id, cond, least(9, floor(conf * 10)) AS bin, count(*) AS k, abs(avg(conf) - avg(CASE WHEN y THEN 1.0 ELSE 0.0 END)) AS gap FROM done WHERE c GROUP BY ALL), e AS (SELECT run_id, cond, CAST(sum(k) AS BIGINT) AS n, round(sum(k * gap) / sum(k), 8) AS ece FROM b GROUP BY ALL),
@@ -302,7 +323,7 @@ def h21(spark, folder):
     return d.join(classified(spark, folder).select("run_id", "contrast", "ci_low", "ci_high", "p", "adjusted", "classification"), ["run_id", "contrast"])
 
 
-@query("h19_certification_by_bound")
+@query("h19_certification_by_bound", W + f", {_certify_sql(0.5)} SELECT dataset_id, CASE WHEN thin OR loose THEN 'infeasible' ELSE 'certified' END AS status, count(*) AS runs FROM cf GROUP BY ALL")
 def h19(spark, folder):
     """Certified share of the runs of each dataset, by exact bounds on certification rows."""
     rows = done(spark, folder)

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What materialize wrote, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``folder``."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; where it is unset (tests), a folder of this machine."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session; where it is unset and all runs in this process, one of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tandemlab-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -25,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tandemlab-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path := f"{shared_dir(spark)}/tandemlab-{uuid.uuid4().hex}")
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -40,10 +47,21 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_materialized(*frames: DataFrame) -> None:
     """Deletes tables made by ``materialize`` that no later plan reads."""
     for df in frames:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/tandemlab-" in f}:
-            jvm = df.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all tables that ``materialize`` wrote for this application, whose results must have been stored; returns how many there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)

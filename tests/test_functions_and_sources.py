@@ -155,3 +155,22 @@ def test_schemas_may_have_parameters_named_type():
     got = tool_calls.normalised_schema(schema)
     assert got == {"type": "object", "properties": {"type": {"type": "integer"}, "properties": {"type": "object", "properties": {"x": {"type": "number", "format": "float"}}}}, "items": {"type": "string"}}
     assert schema["type"] == "dict"
+
+
+def test_materialized_tables_can_be_released(spark):
+    from tandemlab.sources.tables import release
+
+    release(spark)
+    a = materialize(spark.range(5))
+    path = a.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    import os
+
+    assert os.path.isdir(path) and release(spark) == 1 and not os.path.isdir(path) and release(spark) == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(session)
