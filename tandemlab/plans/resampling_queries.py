@@ -266,6 +266,27 @@ def i2(spark, folder):
     return fits.dense_surface(_surface_rows(spark, folder), ["plan"], 0.6, 0.9)
 
 
+@query("i4_surface_family")
+def i4(spark, folder):
+    """Surfaces of three outcomes with dummies of the line status; the last is defined for returned lines only."""
+    rows = table(spark, folder, "lineitem")
+    flat = rows.select(
+        F.lit("all").alias("plan"), F.col("l_suppkey").cast("string").alias("cluster"), (F.col("l_linenumber") * 0.2).alias("t"), F.round(0.5 + F.col("l_tax") * 5, 2).alias("top_p"), F.col("l_linestatus").alias("mode"),
+        (F.col("l_quantity") > 400 * F.col("l_discount") + 5).cast("double").alias("large"), (F.col("l_returnflag") == "R").cast("double").alias("returned"), F.when(F.col("l_returnflag") == "R", (F.col("l_discount") > 0.05).cast("double")).alias("reduced"))
+    return fits.surface_family(flat, ["plan"], ["large", "returned", "reduced"], 0.6, 0.9, ["mode"])
+
+
+@query("i5_moderated_effects")
+def i5_moderated(spark, folder):
+    """Coverage effects of all runs, pooled per contrast and regressed on model mode and dataset, or stratified where effects are few."""
+    st = stats(spark, folder)
+    draws = resample.endpoint_deltas(resample.bootstrap_draws(st, REPLICATES, 17), ["run_id", "contrast", "b"])
+    var = draws.groupBy("run_id", "contrast").agg(F.var_samp("d_k").alias("variance"))
+    point = resample.endpoint_deltas(st, ["run_id", "contrast"]).select("run_id", "contrast", F.col("d_k").alias("estimate"))
+    of = table(spark, folder, "calibration_thresholds").filter("run_id is not null").groupBy("run_id").agg(F.min("model_mode").alias("mode"), F.min("dataset_id").alias("dataset"))
+    return fits.moderated(point.join(var, ["run_id", "contrast"]).join(of, "run_id").withColumnRenamed("run_id", "effect_id"), ["contrast"], ["mode", "dataset"])
+
+
 @query("i3_surface_bootstrap")
 def i3(spark, folder):
     return fits.surface_bootstrap(_surface_rows(spark, folder), ["plan"], 0.6, 0.9, 25, 5)

@@ -337,3 +337,29 @@ def test_a_million_units_of_one_contrast(spark):
     units = spark.range(1_000_000).select(F.lit("r").alias("run_id"), F.concat(F.lit("u"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("unit"), "id")
     ranked = range_rank(units, ["run_id"], ["unit"], "k")
     assert ranked.filter("k != id + 1").count() == 0 and ranked.rdd.getNumPartitions() > 1
+
+
+def test_the_distributed_surface_is_the_one_of_all_rows(spark):
+    rng = np.random.default_rng(3)
+    n = 4000
+    t, p, c, mode = rng.choice([0.2, 0.4, 0.6, 0.8, 1.0], n), rng.choice([0.7, 0.8, 0.9, 0.95], n), rng.integers(0, 60, n), rng.choice(["a", "b", "c"], n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(0.3 + 1.2 * (t - 0.5) - 0.5 * (mode == "b") + 0.02 * (c % 7))))).astype(float)
+    rows = spark.createDataFrame([("g", str(k), float(a), float(b), m, float(z)) for k, a, b, m, z in zip(c, t, p, mode, y)] + [("one", "x", 0.5, 0.8, "a", 1.0)], "g string, cluster string, t double, top_p double, mode string, y double")
+    got = {r["term"]: r for r in fits.dense_surface(rows, ["g"], 0.5, 0.8, ["mode"]).collect()}
+    design = np.column_stack([fits.surface_terms(t, p, 0.5, 0.8), mode == "b", mode == "c"]).astype(float)
+    want = fits.fractional_logit(design, y, np.ones(n), c)
+    assert list(got) == [*fits.TERMS, "mode[b]", "mode[c]"]
+    for i, r in enumerate(got.values()):
+        assert r["estimate"] == pytest.approx(want["beta"][i], abs=2e-6) and r["se"] == pytest.approx(want["se"][i], abs=2e-6) and r["clusters"] == 60
+
+
+def test_moderated_effects_and_their_sparse_form(spark):
+    rng = np.random.default_rng(4)
+    rows = [("many", f"e{i:03d}", float(0.1 + 0.4 * (i % 2) + rng.normal(0, 0.05)), 0.0025, "xy"[i % 2]) for i in range(60)] + [("few", f"e{i}", 0.2 + 0.1 * i, 0.01, ["u", "u", None][i]) for i in range(3)] + [("one", "e", 0.1, 0.1, "x"), ("many", "bad", None, 0.1, "x"), ("many", "flat", 0.3, 0.0, "x")]
+    effects = spark.createDataFrame(rows, "panel string, effect_id string, estimate double, variance double, m string")
+    got = {(r["panel"], r["stratum"], r["term"]): r for r in fits.moderated(effects, ["panel"], ["m"]).collect()}
+    assert set(got) == {("many", "all", "intercept"), ("many", "all", "m[y]"), ("few", "m[u]", "intercept"), ("few", "m[(null)]", "intercept")}
+    assert got["many", "all", "m[y]"]["estimate"] == pytest.approx(0.4, abs=0.04) and got["many", "all", "m[y]"]["status"] == "estimated"
+    assert got["few", "m[u]", "intercept"]["estimate"] == pytest.approx(0.25) and got["few", "m[(null)]", "intercept"]["status"] == "single"
+    model = fits.RandomEffects(np.array([0.0, 1.0, 0.2, 3.0]), np.array([0.01, 0.04, 0.09, 0.02]), np.ones((4, 1)))
+    assert model.score(model.between()) == pytest.approx(0, abs=1e-6)
