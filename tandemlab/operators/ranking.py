@@ -30,8 +30,8 @@ def range_rank(df: DataFrame, keys: list[str], order: list[str], out: str) -> Da
     """``df`` with ``out``: the 1-based position of each row within ``keys`` by ``order`` (columns that tell all rows of a key apart).
 
     Rows are cut into ranges of (keys, order) of about equal size, whatever the skew of keys, numbered within them and shifted by the counts
-    of earlier ranges. The ranges are written down once, since they are drawn from a sample.
+    of earlier ranges. The rows are written down before their ranges are drawn from a sample, and with them, so nothing is computed twice.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = materialize(df.repartitionByRange(n, *keys, *order).withColumn("__range", F.spark_partition_id()))
+    ranges = materialize(materialize(df).repartitionByRange(n, *keys, *order).withColumn("__range", F.spark_partition_id()))
     return bucketed_rank(ranges, keys, F.col("__range"), [F.col(c) for c in order], out).drop("__range")
