@@ -24,6 +24,10 @@ from tandemlab.sources.tables import drop_materialized, materialize, spread
 CHARS_A_TOKEN = 4.2
 
 
+#: The encodings under which lengths are recomputed, plain characters first.
+ENCODINGS = ("chars", "utf8", "utf16", "json", "json_ascii", "html", "crlf", "json_utf8")
+
+
 def lengths(text: Column) -> dict[str, Column]:
     """The length of a text as a store may have counted it, by encoding."""
     n = F.length(text)
@@ -43,18 +47,29 @@ def lengths(text: Column) -> dict[str, Column]:
     }
 
 
+def text_lengths(text: str) -> list[int]:
+    """``lengths`` of one text, in the order of ENCODINGS, for stages that hold texts in Python."""
+    n, plain = len(text), text.isascii()
+    octets = n if plain else len(text.encode("utf-8", "surrogatepass"))
+    lines = text.count("\n")
+    quotes = text.count('"') + text.count("\\") + lines + text.count("\r") + text.count("\t")
+    wide = 0 if plain else n - len(text.encode("ascii", "ignore"))
+    entity = 4 * text.count("&") + 3 * (text.count("<") + text.count(">")) + 5 * text.count('"') + 4 * text.count("'")
+    return [n, octets, n if plain else len(text.encode("utf-16-le", "surrogatepass")) // 2, n + quotes, n + quotes + 5 * wide, n + entity, n + lines, octets + quotes]
+
+
 def hidden_limits(texts: DataFrame, least: int = 6, times: float = 8.0, window: int = 12, share: float = 0.8) -> DataFrame:
     """(encoding, length, texts, open_ends, share_open): lengths at which a store seems to cut.
 
-    ``texts``: (text, unfinished boolean, null where the text itself does not tell). Lengths of all texts are recomputed under each encoding
+    ``texts``: (text, or a column of lengths for each of ENCODINGS; unfinished boolean, null where the text itself does not tell). Lengths of all texts are recomputed under each encoding
     and grouped; a length is a limit if ``times`` as many texts have it as lengths within ``window`` of it have on average, and if, of those
     that tell, ``least`` and a ``share`` are unfinished. Encodings that agree on plain texts cast each other's shadow, so the encoding whose limits hold most texts is taken
     first, and the others are asked again without those texts, until none has a limit left.
     """
     spark = texts.sparkSession
-    sized = materialize(texts.select("unfinished", *[v.cast("bigint").alias(k) for k, v in lengths(F.col("text")).items()]))
-    rest = sized
-    kinds = [c for c in rest.columns if c != "unfinished"]
+    ready = set(ENCODINGS) <= set(texts.columns)
+    rest = sized = texts.select("unfinished", *ENCODINGS) if ready else materialize(texts.select("unfinished", *[v.cast("bigint").alias(k) for k, v in lengths(F.col("text")).items()]))
+    kinds = list(ENCODINGS)
     limits: list[tuple] = []  # one row per limit of a store: few
     for _ in kinds:  # an encoding whose limits were taken has none left
         encoded = F.explode(F.create_map(*[x for k in kinds for x in (F.lit(k), F.col(k))])).alias("encoding", "length")
@@ -72,7 +87,8 @@ def hidden_limits(texts: DataFrame, least: int = 6, times: float = 8.0, window:
         chosen = sorted((best, r["length"], r["texts"], r["open_ends"], round(r["open_ends"] / r["told"], 6)) for r in kept if r["encoding"] == best)
         limits += chosen
         rest = rest.filter(~F.col(best).isin([x[1] for x in chosen]))
-    drop_materialized(sized)
+    if not ready:
+        drop_materialized(sized)
     return spark.createDataFrame(limits, "encoding string, length bigint, texts bigint, open_ends bigint, share_open double")
 
 
@@ -92,7 +108,7 @@ def delivered(responses: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def read_endings(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (with text and prompt) and state, why, last_word, in_list: how each text ends, by the pushdown parser."""
+    """``pairs`` (with text and prompt) and state, why, last_word, in_list: how each text ends, by the pushdown parser; and its length under each encoding."""
     added = [("state", "string"), ("why", "string"), ("last_word", "string"), ("in_list", "boolean")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,9 +117,11 @@ def read_endings(pairs: DataFrame) -> DataFrame:
             texts, prompts = batch.column("text").to_pylist(), batch.column("prompt").to_pylist()
             rows = [endings.ending(t, p is not None and "JSON" in p)[:4] for t, p in zip(texts, prompts, strict=True)]
             columns = [pa.array([r[i] for r in rows], types[kind]) for i, (_, kind) in enumerate(added)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *[n for n, _ in added]])
+            sizes = [None if t is None else text_lengths(t) for t in texts]
+            columns += [pa.array([None if x is None else x[i] for x in sizes], pa.int64()) for i in range(len(ENCODINGS))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *[n for n, _ in added], *ENCODINGS])
 
-    return pairs.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema), *(f"{n} {k}" for n, k in added)]))
+    return pairs.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema), *(f"{n} {k}" for n, k in added), *(f"{k} bigint" for k in ENCODINGS)]))
 
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -177,19 +195,19 @@ def word_evidence(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.select("last_word", "seen", "longer", end_rate.alias("end_rate"), "suffix_share")
 
 
-def at_limit(text: Column, limits: list[tuple[str, int]]) -> Column:
-    """Whether a text stands at one of the limits (encoding, length); stores have few."""
+def at_limit(limits: list[tuple[str, int]]) -> Column:
+    """Whether a row with its lengths stands at one of the limits (encoding, length); stores have few."""
     by: dict[str, list[int]] = defaultdict(list)
     for encoding, length in limits:
         by[encoding].append(length)
-    hits = [lengths(text)[k].isin(sorted(v)) for k, v in sorted(by.items())]
+    hits = [F.col(k).isin(sorted(v)) for k, v in sorted(by.items())]
     return F.coalesce(reduce(lambda a, b: a | b, hits), F.lit(False)) if hits else F.lit(False)
 
 
 def read_pairs(responses: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs with their endings, hidden limits over all their texts)."""
     read = materialize(read_endings(spread(delivered(responses, requests))))
-    rows = read.filter(F.col("text").isNotNull() & (F.col("state") != endings.EMPTY)).select("text", F.when(F.col("state") != endings.OPEN, F.col("state") == endings.CUT).alias("unfinished"))
+    rows = read.filter(F.col("text").isNotNull() & (F.col("state") != endings.EMPTY)).select(*ENCODINGS, F.when(F.col("state") != endings.OPEN, F.col("state") == endings.CUT).alias("unfinished"))
     return read, hidden_limits(rows)
 
 
@@ -204,7 +222,7 @@ def judged(responses: DataFrame, requests: DataFrame, diagnostic: DataFrame) ->
     """
     diag = one_each(diagnostic, "request_id", "matrix", "budget", "terminal_json")
     read, limits = read_pairs(responses, requests)
-    at = at_limit(F.col("text"), [(r["encoding"], r["length"]) for r in limits.collect()])
+    at = at_limit([(r["encoding"], r["length"]) for r in limits.collect()])
     placed = read.withColumn("at_limit", at & F.col("state").isin(endings.CUT, endings.OPEN))
     undecided = placed.filter((F.col("state") == endings.OPEN) & ~F.col("at_limit"))
     evidence = word_evidence(read.select("text", "prompt"), undecided)

@@ -117,6 +117,14 @@ def test_limits_of_four_stores_are_all_found(spark):
     assert {(r["encoding"], r["length"]) for r in found} == set(zip(size, (150, 300, 450, 600), strict=True))
 
 
+@settings(max_examples=30, deadline=None)
+@given(texts=st.lists(st.text(alphabet='ab"\\\n\r\t&<>\'é€😀', max_size=20), min_size=1, max_size=20))
+def test_lengths_agree_in_both_worlds(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r["i"]: [r[k] for k in truncation.ENCODINGS] for r in df.select("i", *[v.alias(k) for k, v in truncation.lengths(F.col("text")).items()]).collect()}
+    assert got == {i: truncation.text_lengths(t) for i, t in enumerate(texts)}
+
+
 def test_rates_and_empty_tables(spark):
     r, q, d = frames(spark, [], [])
     assert truncation.truncated(r, q, d).count() == 0 and truncation.truncation_rates(truncation.judged(r, q, d)).count() == 0
