@@ -44,11 +44,26 @@ def stable_id(*parts: Column) -> Column:
 
 def sampling_seed(seed: Column, item: Column, stage: Column) -> Column:
     """A 63-bit seed from the first 8 bytes of a stable id, without the sign bit; it does not depend on the condition."""
-    h = stable_id(seed.cast("string"), item, stage)
+    return seed_of(seed.cast("string"), item, stage)
+
+
+def seed_of(*parts: Column) -> Column:
+    """A 63-bit seed from the first 8 bytes of the sha256 of the parts joined by NUL."""
+    h = stable_id(*parts)
     first = F.conv(F.substring(h, 1, 1), 16, 10).cast("int") % 8
     return F.conv(F.concat(F.conv(first.cast("string"), 10, 16), F.substring(h, 2, 15)), 16, 10).cast("bigint")
 
 
+def step_seed(scheme: str, seed: Column, item: Column, turn: Column, step: Column) -> Column:
+    """The seed of a step of an episode, shared by all conditions: of the scheme's name, replicate seed, item, turn and step."""
+    return seed_of(F.lit(scheme), *[c.cast("string") for c in (seed, item, turn, step)])
+
+
+def pairing_id(scheme: str, model: Column, revision: Column, mode: Column, seed: Column, item: Column) -> Column:
+    """A name for what conditions have in common, by which their messages are paired: nothing of the condition enters it."""
+    return stable_id(F.lit(scheme), *[c.cast("string") for c in (model, revision, mode, seed, item)])
+
+
 def logit(p: Column, eps: float = 1e-6) -> Column:
     """ln(p / (1 - p)) of p clipped into [eps, 1 - eps]."""
     q = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))

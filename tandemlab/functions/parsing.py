@@ -6,6 +6,10 @@ it, version 2 allows exactly three backticks. Duplicate keys, other types and va
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +54,37 @@ def confidence(text: Column, fence: bool = True) -> Column:
     return F.when(number & (got >= 0) & (got <= 1), got)
 
 
+#: Parsers of confidences by version: version 1 wants nothing after the object, version 2 allows a closing fence.
+CONFIDENCE_PARSERS: dict[str, Callable[[Column], Column]] = {"v1": lambda t: confidence(t, fence=False), "v2": lambda t: confidence(t, fence=True)}
+#: Parsers of answers by version: version 0 takes the text as it is.
+ANSWER_PARSERS: dict[str, Callable[[Column], Column]] = {"v0": lambda t: identity_answer(t), "v1": lambda t: answer(t, fence=False), "v2": lambda t: answer(t, fence=True)}
+
+
+def first_difference(left: Column, right: Column) -> Column:
+    """The path of the first entry, keys in order, in which two JSON objects differ; null where they are alike, '$' where one is no object."""
+
+    def walk(a: dict, b: dict, trail: tuple[str, ...]) -> str | None:
+        left_over = [(key, a.get(key), b.get(key)) for key in sorted(a.keys() | b.keys()) if a.get(key) != b.get(key)]
+        if not left_over:
+            return None
+        key, x, y = left_over[0]
+        deeper = walk(x, y, (*trail, key)) if isinstance(x, dict) and isinstance(y, dict) else None
+        return deeper or ".".join((*trail, key))
+
+    @F.pandas_udf("string")
+    def compare(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(xs, ys, strict=True):
+            try:
+                a, b = json.loads(x or "null"), json.loads(y or "null")
+            except ValueError:
+                a = b = None
+            out.append(walk(a, b, ()) if isinstance(a, dict) and isinstance(b, dict) else None if x == y else "$")
+        return pd.Series(out, index=xs.index, dtype="object")
+
+    return compare(left, right)
+
+
 def exact_match(given: Column, wanted: Column) -> Column:
     """Equality of trimmed, case-folded text; a missing answer is wrong, a missing key pending (null)."""
     fold = lambda x: F.lower(F.regexp_replace(x, r"^\s+|\s+$", ""))
@@ -83,3 +118,11 @@ def shared_prefix(a: Column, b: Column) -> Column:
 def choices(options: Column) -> Column:
     """'A. first' to the last option, one a line."""
     return F.array_join(F.transform(options, lambda o, i: F.concat(F.char(i + 65), F.lit(". "), o)), "\n")
+
+
+#: Scorers by name: each takes the given and the wanted text and gives right, wrong, or null while pending.
+SCORERS: dict[str, Callable[[Column, Column], Column]] = {
+    "exact": exact_match,
+    "letter": lambda given, wanted: exact_match(F.regexp_extract(given, r"^\W*([A-Za-z])\b", 1), wanted),
+    "external": lambda given, wanted: F.lit(None).cast("boolean"),
+}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tandemlab.functions import expressions as ex
 from tandemlab.functions import parsing
-from tandemlab.operators import agents, audit, inference, metrics, resample
+from tandemlab.operators import agents, audit, inference, metrics, resample, sampling
 from tandemlab.operators import ranking_metrics as rm
 from tandemlab.operators import thresholds as th
 from tandemlab.operators.ranking import range_rank
@@ -326,3 +326,79 @@ def d16(spark, folder):
     for name, values in (("phase", ["development", "certification", "test"]), ("seed", [11, 23, 47]), ("cond", [REFERENCE, HOT, NARROW])):
         out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     return out.select(F.concat("experiment_id", F.lit("-"), "phase", F.lit("-s"), F.col("seed").cast("string")).alias("config_id"), "experiment_id", "phase", "seed", "cond", "dataset_id")
+
+
+@query("c21_option_letters", r"WITH i AS (SELECT DISTINCT item_id, upper(trim(answer)) AS letter, question FROM items WHERE item_id IS NOT NULL AND question IS NOT NULL AND regexp_matches(upper(trim(answer)), '^[A-J]$')), o AS (SELECT item_id, letter, regexp_extract_all(question, '(?m)^([A-J])[)] ', 1) AS letters FROM i) SELECT item_id, letter, CAST(len(letters) AS INTEGER) AS options, ascii(letter) - 64 <= len(letters) AND coalesce(letters[ascii(letter) - 64] = letter, false) AS consistent FROM o")
+def c21(spark, folder):
+    """Whether the keyed letter of an item names the option that stands at its place in the question."""
+    rows = table(spark, folder, "items").filter("item_id is not null and question is not null").select("item_id", F.upper(F.trim("answer")).alias("letter"), "question").filter(F.col("letter").rlike("^[A-J]$")).distinct()
+    letters = F.regexp_extract_all("question", F.lit(r"(?m)^([A-J])[)] "), F.lit(1))
+    place = F.ascii("letter") - 64
+    return rows.select("item_id", "letter", F.size(letters).alias("options"), ((place <= F.size(letters)) & F.coalesce(F.get(letters, place - 1) == F.col("letter"), F.lit(False))).alias("consistent"))
+
+
+_SEED = "CAST('0x' || substr('01234567', CAST('0x' || substr({h}, 1, 1) AS INTEGER) % 8 + 1, 1) || substr({h}, 2, 15) AS BIGINT)"
+_STEP = "sha256('tandem-step-1' || chr(0) || seed || chr(0) || item_id || chr(0) || t || chr(0) || s)"
+
+
+@query("c7_step_seeds", f"WITH i AS (SELECT DISTINCT item_id FROM items WHERE item_id IS NOT NULL), h AS (SELECT item_id, CAST(seed AS INTEGER) AS seed, CAST(t AS INTEGER) AS turn, CAST(s AS INTEGER) AS step, {_STEP} AS h, sha256('tandem-pair-1' || chr(0) || 'm' || chr(0) || 'r1' || chr(0) || 'plain' || chr(0) || seed || chr(0) || item_id) AS pair FROM i, unnest([11, 23]) a(seed), unnest([0, 1]) b(t), unnest([0, 1]) c(s)) SELECT item_id, seed, turn, step, {_SEED.format(h='h')} AS step_seed, pair FROM h")
+def c7(spark, folder):
+    """Seeds of episode steps and the names that pair messages of all conditions."""
+    at = table(spark, folder, "items").filter("item_id is not null").select("item_id").distinct()
+    for name, values in (("seed", (11, 23)), ("turn", (0, 1)), ("step", (0, 1))):
+        at = at.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    c = F.col
+    return at.select("item_id", "seed", "turn", "step", ex.step_seed("tandem-step-1", c("seed"), c("item_id"), c("turn"), c("step")).alias("step_seed"), ex.pairing_id("tandem-pair-1", F.lit("m"), F.lit("r1"), F.lit("plain"), c("seed"), c("item_id")).alias("pair"))
+
+
+@query("c19_first_difference", "WITH m AS (SELECT item_id, CASE WHEN json_valid(metadata) AND json_type(metadata) = 'OBJECT' THEN metadata END AS j FROM (SELECT item_id, min(metadata) AS metadata FROM items WHERE item_id IS NOT NULL GROUP BY 1)), v AS (SELECT item_id, coalesce(json_extract_string(j, '$.instruction_count'), '') AS n, coalesce(json_extract_string(j, '$.lang'), '') AS l FROM m WHERE j IS NOT NULL) SELECT item_id, CASE WHEN n <> '1' THEN 'count' WHEN l <> 'en' THEN 'of.lang' END AS path FROM v")
+def c19(spark, folder):
+    """The first entry in which an item's metadata leave what was asked for."""
+    meta = table(spark, folder, "items").filter("item_id is not null").groupBy("item_id").agg(F.min("metadata").alias("j")).filter(F.schema_of_variant(F.try_parse_json("j")).startswith("OBJECT"))
+    part = lambda k: F.coalesce(F.get_json_object("j", f"$.{k}"), F.lit(""))
+    mine = F.to_json(F.struct(part("instruction_count").alias("count"), F.struct(part("lang").alias("lang"), F.lit("x").alias("same")).alias("of")))
+    return meta.select("item_id", parsing.first_difference(mine, F.lit('{"of": {"same": "x", "lang": "en"}, "count": "1"}')).alias("path"))
+
+
+@query("m3_m4_registries", "WITH t AS (SELECT request_id, min(text) AS text FROM inference_responses WHERE text IS NOT NULL AND request_id IS NOT NULL GROUP BY 1) SELECT count(*) AS texts, CAST(sum(CASE WHEN length(regexp_replace(text, '\\s+', '', 'g')) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS v0, CAST(sum(CASE WHEN regexp_matches(trim(text), '^[Bb]$') THEN 1 ELSE 0 END) AS BIGINT) AS exact, CAST(sum(CASE WHEN regexp_matches(text, '^[^a-zA-Z0-9_]*[Bb]([^a-zA-Z0-9_]|$)') THEN 1 ELSE 0 END) AS BIGINT) AS letter, CAST(0 AS BIGINT) AS external FROM t")
+def m3(spark, folder):
+    """Parsers and scorers taken from their registries by name."""
+    t = table(spark, folder, "inference_responses").filter("text is not null and request_id is not null").groupBy("request_id").agg(F.min("text").alias("text"))
+    right = {name: F.count_if(F.coalesce(score(F.col("text"), F.lit("B")), F.lit(False))) for name, score in parsing.SCORERS.items()}
+    return t.agg(F.count("*").alias("texts"), F.count(parsing.ANSWER_PARSERS["v0"](F.col("text"))).alias("v0"), *[c.alias(n) for n, c in right.items()])
+
+
+@query("d5b_anchors_by_category", "WITH o AS (SELECT CAST(l_orderkey AS VARCHAR) AS g, l_returnflag AS c, count(*) AS k FROM lineitem GROUP BY 1, 2), l AS (SELECT list_sort(list(DISTINCT c)) AS levels FROM o), w AS (SELECT g FROM o GROUP BY 1 HAVING count(*) = (SELECT len(levels) FROM l) AND max(k) = 1), t AS (SELECT g, row_number() OVER (ORDER BY sha256('tandem-anchor-1' || chr(0) || g), g) AS r FROM w) SELECT levels[CAST((r - 1) % len(levels) + 1 AS INTEGER)] AS category, count(*) AS anchors FROM t, l GROUP BY 1")
+def d5b(spark, folder):
+    """One variant for each group, categories in turn; groups that have every category once take part."""
+    rows = table(spark, folder, "lineitem").select(F.lit("all").alias("dataset_id"), F.col("l_orderkey").cast("string").alias("group_id"), F.col("l_returnflag").alias("category"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item_id"))
+    return sampling.balanced_anchors(rows, ["dataset_id"], "group_id", "category", "item_id", "tandem-anchor-1").groupBy("category").agg(F.count("*").alias("anchors"))
+
+
+@query("d11_prepared_manifest", "WITH i AS (SELECT DISTINCT dataset_id, item_id FROM items WHERE item_id IS NOT NULL AND dataset_id IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY sha256('tandem-prepare-1' || chr(0) || item_id), item_id) AS k, count(*) OVER (PARTITION BY dataset_id) AS n FROM i), s AS (SELECT dataset_id, item_id, CASE WHEN k <= n // 2 THEN 'development' WHEN k <= n // 2 + n // 4 THEN 'certification' ELSE 'test' END AS split FROM r) SELECT dataset_id, split, count(*) AS items, min(item_id) AS first, CAST(bit_xor(CAST('0x' || substr(sha256(item_id), 1, 15) AS BIGINT)) AS BIGINT) AS fingerprint FROM s GROUP BY ALL")
+def d11(spark, folder):
+    """A dataset prepared in one go: checked, sampled by salted hash, assigned and counted, with a fingerprint that depends on no order."""
+    rows = table(spark, folder, "items").filter("item_id is not null and dataset_id is not null").select("dataset_id", "item_id").distinct()
+    ranked = sampling.ranked(rows, ["dataset_id"], "item_id", "tandem-prepare-1")
+    sizes = rows.groupBy("dataset_id").agg(F.count("*").alias("n"))
+    half, quarter = F.floor(F.col("n") / 2), F.floor(F.col("n") / 4)
+    split = F.when(F.col("rank") <= half, "development").when(F.col("rank") <= half + quarter, "certification").otherwise("test")
+    word = F.conv(F.substring(F.sha2("item_id", 256), 1, 15), 16, 10).cast("bigint")
+    return ranked.join(sizes, "dataset_id").groupBy("dataset_id", split.alias("split")).agg(F.count("*").alias("items"), F.min("item_id").alias("first"), F.bit_xor(word).alias("fingerprint"))
+
+
+@query("a6_planned_cells", f"SELECT i.dataset_id, c.cond AS condition, CAST(s.seed AS INTEGER) AS seed, count(DISTINCT i.item_id) AS items FROM items i, unnest(['{REFERENCE}', '{HOT}']) c(cond), unnest([11, 23]) s(seed) WHERE i.item_id IS NOT NULL AND i.dataset_id = 'wide-exam' GROUP BY ALL")
+def a6(spark, folder):
+    """The cells of a plan that was read from its file and checked."""
+    import json
+    import uuid
+
+    from tandemlab.sources import config
+    from tandemlab.sources.tables import shared_dir
+
+    path = f"{shared_dir(spark)}/plan-{uuid.uuid4().hex}"
+    plan = {"experiment_id": "e1", "dataset_id": "wide-exam", "reference": REFERENCE, "conditions": [REFERENCE, HOT], "seeds": [11, 23], "target_risk": 0.25, "minimum_coverage": 0.1, "fixed_coverage": 0.5}
+    spark.createDataFrame([(json.dumps(plan),)], "value string").coalesce(1).write.text(path)
+    study = config.load_plan(spark, path)
+    items = table(spark, folder, "items").filter((F.col("dataset_id") == study.dataset_id) & F.col("item_id").isNotNull())
+    return study.design(items).groupBy(F.lit(study.dataset_id).alias("dataset_id"), "condition", "seed").agg(F.count("*").alias("items"))

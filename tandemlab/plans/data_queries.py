@@ -183,10 +183,10 @@ def c18(spark, folder):
     return rows.select("p_partkey", parsing.shared_prefix(F.col("p_type"), F.col("b")).alias("shared"))
 
 
-@query("c20_c21_choices", "WITH o AS (SELECT r_regionkey, list_sort(list(n_name)) AS names FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1) SELECT r_regionkey, array_to_string([chr(CAST(64 + i AS INTEGER)) || '. ' || names[i] for i in range(1, len(names) + 1)], chr(10)) AS choices, names[2] = names[ascii('B') - 64] AS consistent FROM o")
+@query("c20_c21_choices", "WITH o AS (SELECT r_regionkey, list_sort(list(n_name)) AS names FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1) SELECT r_regionkey, array_to_string([chr(CAST(64 + i AS INTEGER)) || '. ' || names[i] for i in range(1, len(names) + 1)], chr(10)) AS choices, names[2] = names[ascii(chr(CAST(65 + r_regionkey AS INTEGER))) - 64] AS consistent FROM o")
 def c20(spark, folder):
     names = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
-    return names.select("r_regionkey", parsing.choices(F.col("names")).alias("choices"), (F.element_at("names", 2) == F.element_at("names", F.ascii(F.lit("B")) - 64)).alias("consistent"))
+    return names.select("r_regionkey", parsing.choices(F.col("names")).alias("choices"), (F.element_at("names", 2) == F.element_at("names", F.ascii(F.char(F.col("r_regionkey") + 65)) - 64)).alias("consistent"))
 
 
 @query("c22_identifier_parse", r"SELECT regexp_extract(item_id, '^([a-z]+-[a-z]+)-([0-9]+)', 1) AS category, count(DISTINCT item_id) AS items, max(CAST(nullif(regexp_extract(item_id, '^([a-z]+-[a-z]+)-([0-9]+)', 2), '') AS BIGINT)) AS last_number FROM items WHERE regexp_matches(item_id, '^[a-z]+-[a-z]+-[0-9]+') GROUP BY 1")

@@ -24,6 +24,22 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = ITEM_SCHEMA, key: s
     return rows
 
 
+#: How a dataset of each kind is read: path, schema, key, hash.
+KINDS = {
+    "jsonl": lambda spark, path, schema, key, sha256: read_jsonl(spark, path, schema, key, sha256),
+    "parquet": lambda spark, path, schema, key, sha256: spark.read.schema(schema).parquet(path),
+    "store": lambda spark, path, schema, key, sha256: read_store(spark, path, schema),
+}
+
+
+def load_dataset(spark: SparkSession, spec: dict[str, str], folder: str) -> DataFrame:
+    """The dataset of a spec {kind, path, and at will schema, key, sha256} below ``folder``; an unknown kind or entry is an error."""
+    odd = set(spec) - {"kind", "path", "schema", "key", "sha256"}
+    if odd or spec.get("kind") not in KINDS:
+        raise ValueError(f"no such dataset: {sorted(odd) or spec.get('kind')}")
+    return KINDS[spec["kind"]](spark, f"{folder.rstrip('/')}/{spec['path']}", spec.get("schema", ITEM_SCHEMA), spec.get("key", "item_id"), spec.get("sha256"))
+
+
 def read_store(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """A record store: one JSON file per record in nested folders."""
     return spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", "true").option("multiLine", "true").json(folder)
@@ -53,6 +69,21 @@ def write_jsonl(df: DataFrame, path: str, key: str = "item_id") -> None:
     df.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
+def publish_jsonl(df: DataFrame, path: str, key: str = "item_id") -> str:
+    """As ``publish``, for sorted JSON lines: 'written', 'unchanged', or an error where other lines stand there already."""
+    from tandemlab.operators.audit import republish_difference
+
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        write_jsonl(df, path, key)
+        return "written"
+    lines = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    if republish_difference(spark.read.text(path), lines).limit(1).count():
+        raise ValueError("different lines are already published")
+    return "unchanged"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", "true").csv(path)
 

@@ -174,3 +174,48 @@ def test_a_cluster_needs_a_shared_folder():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(session)
+
+
+def test_plans_are_checked(spark, tmp_path):
+    from tandemlab.sources import config
+
+    good = {"experiment_id": "e", "dataset_id": "d", "reference": "r", "conditions": ["r", "s"], "seeds": [1, 2], "target_risk": 0.2, "minimum_coverage": 0.1, "fixed_coverage": 0.5}
+    plan = config.plan_from(good)
+    assert (plan.replicates, plan.randomisations) == (5000, 9999) and plan.design(spark.createDataFrame([("a",), ("a",)], "item_id string")).count() == 4
+    for change in ({"conditions": ["s", "t"]}, {"conditions": ["r"]}, {"seeds": [1, 1]}, {"target_risk": 2.0}, {"target_risk": "0.2"}, {"extra": 1}, {"replicates": 0}, {"experiment_id": " "}, {"replicates": True}):
+        with pytest.raises(config.PlanError):
+            config.plan_from(good | change)
+    with pytest.raises(config.PlanError):
+        config.plan_from({k: v for k, v in good.items() if k != "seeds"})
+    for text in ('{"seeds": [1], "seeds": [2]}', "[1]", "{"):
+        (p := tmp_path / "plan.json").write_text(text)
+        with pytest.raises(config.PlanError):
+            config.load_plan(spark, str(p))
+
+
+def test_results_stay_out_of_the_repository(tmp_path):
+    from pathlib import Path
+
+    from tandemlab.sources import config
+
+    assert config.storage_root({"TANDEMLAB_STORAGE": str(tmp_path)}) == str(tmp_path.resolve()) and config.storage_root({"TANDEMLAB_STORAGE": "s3a://b/x/"}) == "s3a://b/x"
+    for bad in ({}, {"TANDEMLAB_STORAGE": "here"}, {"TANDEMLAB_STORAGE": str(Path(config.__file__).parent)}):
+        with pytest.raises(config.PlanError):
+            config.storage_root(bad)
+
+
+def test_datasets_by_kind_and_published_lines(spark, tmp_path):
+    df = spark.createDataFrame([("b", "q2"), ("a", None)], "item_id string, question string")
+    path = str(tmp_path / "lines")
+    assert records.publish_jsonl(df, path) == "written" and records.publish_jsonl(df.repartition(2), path) == "unchanged"
+    with pytest.raises(ValueError, match="different"):
+        records.publish_jsonl(df.limit(1), path)
+    assert records.load_dataset(spark, {"kind": "jsonl", "path": "lines", "schema": "item_id string, question string"}, str(tmp_path)).count() == 2
+    with pytest.raises(ValueError, match="no such"):
+        records.load_dataset(spark, {"kind": "csv", "path": "x"}, str(tmp_path))
+
+
+def test_first_difference(spark):
+    rows = [('{"a": {"b": 1, "c": 2}, "z": 0}', '{"z": 0, "a": {"c": 3, "b": 1}}', "a.c"), ('{"a": 1}', '{"a": 1}', None), ('{"a": 1}', '{"b": 1}', "a"), ("{", "{}", "$"), (None, None, None), ('{"a": {}}', '{"a": 1}', "a"), (None, "{}", "$")]
+    got = spark.createDataFrame(rows, "x string, y string, want string").select(parsing.first_difference(F.col("x"), F.col("y")).alias("p"), "want").collect()
+    assert all(r["p"] == r["want"] for r in got)
