@@ -104,11 +104,45 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     return residue.clean_documents(table(spark, folder, "documents")).select("doc_id", "source", "lang")
 
 
+def p2_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What the splits promise, per dataset: no family torn, and each share as near its target as its largest family allows."""
+    targets = table(spark, folder, "split_targets")
+    assigned = materialize(families.assign_splits(table(spark, folder, "items"), targets))
+    torn = assigned.groupBy("family").agg(F.min("dataset_id").alias("dataset_id"), F.min("split").alias("lo"), F.max("split").alias("hi"), F.count("*").alias("n"))
+    per = torn.groupBy("dataset_id").agg(F.count_if(F.col("lo") != F.col("hi")).alias("torn"), F.max("n").alias("largest"))
+    sizes = assigned.groupBy("dataset_id").agg(F.count("*").alias("items"))
+    off = families.split_shares(assigned, targets).groupBy("dataset_id").agg(F.max(F.abs(F.col("share") - F.col("target"))).alias("off"))
+    out = sizes.join(per, "dataset_id", "left").join(off, "dataset_id")
+    return out.select("dataset_id", "items", F.coalesce("torn", F.lit(0)).alias("torn"), (F.col("off") <= 0.02 + F.coalesce("largest", F.lit(0)) / F.col("items")).alias("near"))
+
+
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """How many reported passages break their promise: fewer than 12 words, or a place that is not in the text or does not hold them."""
+    docs = table(spark, folder, "documents").filter("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
+    found = leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "heldout_items")).join(docs, "doc_id")
+    cut = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    letters = F.size(F.regexp_extract_all(cut, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    bad = F.coalesce((F.col("n_words") < leakage.RUN) | (F.col("start") < 0) | (F.col("end") > F.length("text")) | (letters < F.col("n_words")), F.lit(True))
+    return found.agg(F.count_if(bad).alias("broken"))
+
+
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What the mixture promises, per source that has documents: the share of its target among such sources but for a document, and no document above its repeats."""
+    targets = table(spark, folder, "mix_targets")
+    mixture = materialize(mixing.mix(table(spark, folder, "documents"), targets))
+    held = mixing.mix_shares(mixture, targets).filter("tokens > 0")
+    total = held.agg(F.sum("target_weight")).first()[0] or 1.0  # one row per source
+    largest, tokens = mixture.agg(F.max("size"), F.sum("size")).first()
+    slack = 0.01 + 2 * (largest or 0) / max(1, tokens or 0)  # a source ends with the document that reaches its share
+    used = mixture.groupBy("source", "doc_id").agg(F.count("*").alias("k")).groupBy("source").agg(F.max("k").alias("k"))
+    return held.join(used, "source").select("source", (F.abs(F.col("share") - F.col("target_weight") / total) <= slack).alias("near"), (F.col("k") <= F.col("max_repeats")).alias("capped"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_rates, p1_limits, p2_found, p2_splits, p2_shares, p3_found, p3_counts, p4_found, p4_cutoffs, p5_sample,
-        p6_found, p6_kinds, p7_found, p7_passages, p7_items, p8_mixture, p8_shares, p9_found, p9_clean,
+        p1_found, p1_rates, p1_limits, p2_found, p2_splits, p2_shares, p2_kept, p3_found, p3_counts, p4_found, p4_cutoffs, p5_sample,
+        p6_found, p6_kinds, p7_found, p7_passages, p7_items, p7_kept, p8_mixture, p8_shares, p8_kept, p9_found, p9_clean,
     )
 }
 
@@ -151,6 +185,9 @@ torn AS (SELECT c FROM fam WHERE partition IS NOT NULL GROUP BY c HAVING count(D
 SELECT DISTINCT item_id FROM fam WHERE c IN (SELECT c FROM torn)""",
     "p4_found": _CUTOFFS + "SELECT run_id, CAST(round(cutoff * 1000) AS BIGINT) AS cutoff_milli, CAST(kept AS BIGINT) AS kept FROM hit WHERE k = 1",
     "p4_cutoffs": _CUTOFFS + "SELECT run_id, CAST(n AS BIGINT) AS n, CAST(kept AS BIGINT) AS kept, cutoff, round(kept / n, 8) AS coverage, target FROM hit WHERE k = 1",
+    "p2_kept": "SELECT dataset_id, count(*) AS items, CAST(0 AS BIGINT) AS torn, true AS near FROM (SELECT item_id, min(dataset_id) AS dataset_id FROM items WHERE item_id IS NOT NULL GROUP BY 1) WHERE dataset_id IN (SELECT dataset_id FROM split_targets) GROUP BY 1",
+    "p7_kept": "SELECT CAST(0 AS BIGINT) AS broken",
+    "p8_kept": "SELECT DISTINCT t.source, true AS near, true AS capped FROM mix_targets t JOIN documents d ON d.source = t.source WHERE t.target_weight > 0 AND d.doc_id IS NOT NULL AND (d.n_tokens > 0 OR (d.n_tokens IS NULL AND length(d.text) > 0))",
     "p5_sample": r"""
 WITH sel AS (SELECT dataset_id, arg_max(selector_salt, coalesce(wave, 0)) AS salt, arg_max(keep_fraction, coalesce(wave, 0)) AS keep, max(CASE WHEN selected_item_ids IS NOT NULL THEN wave END) AS drawn_wave
   FROM unit_selections WHERE dataset_id IS NOT NULL AND keep_fraction IS NOT NULL GROUP BY 1),
