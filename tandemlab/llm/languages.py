@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from functools import lru_cache
@@ -17,6 +18,11 @@ SIZE = 64
 TOGETHER = {"HIRAGANA": "CJK", "KATAKANA": "CJK", "BOPOMOFO": "CJK"}
 
 
+#: Characters that are neither Latin nor marks that go with any script.
+BEYOND = re.compile("[^\x00-\u02af\u1e00-\u1eff\u2000-\u206f\u20a0-\u20cf]")
+LETTER = re.compile(r"[^\W\d_]")
+
+
 @lru_cache(maxsize=65_536)
 def script(letter: str) -> str:
     """The script of a letter, by the first word of its Unicode name."""
@@ -26,8 +32,8 @@ def script(letter: str) -> str:
 
 def main_script(text: str, share: float = 0.6) -> str | None:
     """The script of at least ``share`` of the letters, None where there are none or they are mixed."""
-    if text.isascii():
-        return "LATIN" if any(c.isalpha() for c in text) else None
+    if BEYOND.search(text) is None:
+        return "LATIN" if LETTER.search(text) else None
     counts = Counter("LATIN" if c < "\x80" else script(c) for c in unicodedata.normalize("NFKC", text) if c.isalpha())
     if not counts:
         return None

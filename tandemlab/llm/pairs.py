@@ -316,7 +316,7 @@ def is_refusal(text: str, prompt: str = "") -> bool:
     return not any(o and o in seen.lower() for o in options)
 
 
-def is_copy(text: str, prompt: str, question: str, own: float = 0.85, stem: float = 0.6) -> bool:
+def is_copy(text: str, prompt: str, frames: frozenset[str] = FRAMES, own: float = 0.85, stem: float = 0.6) -> bool:
     """Whether ``text`` only gives the prompt or its question back: tiles of it cover ``own`` of the text and ``stem`` of the question's frame.
 
     Of a text that is nothing but data its strings are the text.
@@ -327,8 +327,7 @@ def is_copy(text: str, prompt: str, question: str, own: float = 0.85, stem: floa
         if prose_of(seen).strip(" \n\t`\"'.:-"):  # an answer of its own stands beside the data
             return False
         seen = "\n".join(v for data in own_data for v in answer_values(data) if isinstance(v, str))
-    words = [w.lower() for w in WORD.findall(seen)]
-    whole = [w.lower() for w in WORD.findall(prompt)]
+    words, whole = WORD.findall(seen.lower()), WORD.findall(prompt.lower())
     if len(words) < 5 or own * len(words) > len(whole):  # tiles do not overlap in the prompt, so a longer text cannot be covered
         return False
     there = set(whole)
@@ -337,8 +336,8 @@ def is_copy(text: str, prompt: str, question: str, own: float = 0.85, stem: floa
     covered, _ = tile_cover(words, whole, min(4, len(words)))
     if covered < own * len(words):
         return False
-    first = re.split(r"\n\s*(?:\(?[A-J][).:]|\d{1,2}[.)]|[-*•])\s", question)[0]
-    target = [w.lower() for w in WORD.findall(first)] or whole
+    first = re.split(r"\n\s*(?:\(?[A-J][).:]|\d{1,2}[.)]|[-*•])\s", question_of(prompt, frames))[0]
+    target = WORD.findall(first.lower()) or whole
     _, held = tile_cover(words, target, min(4, len(target)))
     return held >= stem * len(target)
 
@@ -354,15 +353,16 @@ def speaks(text: str) -> bool:
 
 def other_languages(pairs: list[tuple[str, str, str]], profiles: languages.Profiles) -> list[bool]:
     """Of each (prose, question, prompt): whether the prose is in another script or language than the question, and the prompt does not ask for it."""
-    got = profiles.tell([p for p, _, _ in pairs])
-    want = profiles.tell([q for _, q, _ in pairs])
-    out = []
-    for (prose, question, prompt), a, b in zip(pairs, got, want, strict=True):
+    out, told = [False] * len(pairs), []
+    for k, (prose, question, prompt) in enumerate(pairs):
         scripts = languages.main_script(prose), languages.main_script(question)
-        if None not in scripts and scripts[0] != scripts[1] and sum(c.isalpha() for c in prose) >= 8:
-            out.append(scripts[0] not in languages.script_names(prompt))
-        else:
-            out.append(a is not None and b is not None and a != b and speaks(prose) and not asks_for(prompt, a))
+        if None not in scripts and scripts[0] != scripts[1]:
+            out[k] = sum(c.isalpha() for c in prose) >= 8 and scripts[0] not in languages.script_names(prompt)
+        elif speaks(prose):
+            told.append(k)
+    got, want = (profiles.tell([pairs[k][i] for k in told]) for i in (0, 1))
+    for k, a, b in zip(told, got, want, strict=True):
+        out[k] = a is not None and b is not None and a != b and not asks_for(pairs[k][2], a)
     return out
 
 
@@ -384,7 +384,7 @@ def early_defect(text: str | None, prompt: str | None, state: str, cut: bool, fr
             return "empty"
     if cut:
         return "truncated"
-    if prompt is not None and is_copy(text, prompt, question_of(prompt, frames)):
+    if prompt is not None and is_copy(text, prompt, frames):
         return "copy"
     return "refusal" if is_refusal(text, prompt or "") else None
 
