@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandemlab.functions.expressions import share
+from tandemlab.functions.expressions import decimal_round, share
 from tandemlab.sources.tables import materialize
 
 
@@ -103,7 +103,7 @@ def corp(atom: DataFrame, by: list[str]) -> DataFrame:
     unc = F.col("base") * (1 - F.col("base"))
     cols = {"base_rate": F.col("base"), "brier": F.col("brier"), "mcb": F.col("brier") - F.col("recal"), "dsc": unc - F.col("recal"), "unc": unc}
     ratio = {"brier_skill": F.try_divide(unc - F.col("brier"), unc), "dsc_share": F.try_divide(unc - F.col("recal"), unc), "mcb_share": F.try_divide(F.col("brier") - F.col("recal"), unc)}
-    return agg.select(*by, "n", *[(F.round(v, 8) + 0.0).alias(k) for k, v in (cols | ratio).items()])  # no negative zero
+    return agg.select(*by, "n", *[decimal_round(v).alias(k) for k, v in (cols | ratio).items()])
 
 
 def quantisation(atom: DataFrame, by: list[str]) -> DataFrame:

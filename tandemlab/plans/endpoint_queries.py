@@ -224,7 +224,7 @@ def g3(spark, folder):
 
 @query("g4_corp", W + f""", {ATOMS}, {_FIT}, s AS (SELECT run_id, cond, sum(n) AS n, sum(pos) / sum(n) AS base, sum(pos * power(1 - conf, 2) + (n - pos) * power(conf, 2)) / sum(n) AS brier, sum(pos * power(1 - fit, 2) + (n - pos) * power(fit, 2)) / sum(n) AS recal FROM fit GROUP BY ALL),
 u AS (SELECT *, base * (1 - base) AS unc FROM s)
-SELECT run_id, cond, {B('n')} AS n, round(base, 8) AS base_rate, round(brier, 8) AS brier, round(brier - recal, 8) + 0.0 AS mcb, round(unc - recal, 8) + 0.0 AS dsc, round(unc, 8) AS unc, round((unc - brier) / nullif(unc, 0), 8) + 0.0 AS brier_skill, round((unc - recal) / nullif(unc, 0), 8) + 0.0 AS dsc_share, round((brier - recal) / nullif(unc, 0), 8) + 0.0 AS mcb_share FROM u""")
+SELECT run_id, cond, {B('n')} AS n, CAST(round(CAST(base AS DECIMAL(24, 12)), 8) AS DOUBLE) AS base_rate, CAST(round(CAST(brier AS DECIMAL(24, 12)), 8) AS DOUBLE) AS brier, CAST(round(CAST(brier - recal AS DECIMAL(24, 12)), 8) AS DOUBLE) AS mcb, CAST(round(CAST(unc - recal AS DECIMAL(24, 12)), 8) AS DOUBLE) AS dsc, CAST(round(CAST(unc AS DECIMAL(24, 12)), 8) AS DOUBLE) AS unc, CAST(round(CAST((unc - brier) / nullif(unc, 0) AS DECIMAL(24, 12)), 8) AS DOUBLE) AS brier_skill, CAST(round(CAST((unc - recal) / nullif(unc, 0) AS DECIMAL(24, 12)), 8) AS DOUBLE) AS dsc_share, CAST(round(CAST((brier - recal) / nullif(unc, 0) AS DECIMAL(24, 12)), 8) AS DOUBLE) AS mcb_share FROM u""")
 def g4(spark, folder):
     return rm.corp(rm.atoms(done(spark, folder), BY), BY)
 
