@@ -155,6 +155,8 @@ def ending(text: str | None, wants_json: bool = False) -> Ending:
     last = lines[-1].strip()
     if TERMINAL.search(last):
         return Ending(WHOLE, "end of a sentence", "", False, loop)
+    if len(lines) > 1 and last in "-*•+":
+        return Ending(CUT, "list entry without text", "", True, loop)
     found = WORD.findall(last)
     word = found[-1] if found else ""
     if not found or re.fullmatch(r"[-+]?\d+(?:[.,]\d+)?\s*%?", last) or re.fullmatch(r"\(?[A-Za-z]\)?", last):
@@ -166,3 +168,13 @@ def ending(text: str | None, wants_json: bool = False) -> Ending:
     if dangling or len(WORD.findall(sentence)) >= 4 or sentence != last or len(lines) > 1 and not TERMINAL.search(lines[-2]) is None and len(found) > 2:
         return Ending(CUT, "inside a sentence", word, False, loop)
     return Ending(CUT if wants_json else OPEN, "a few words", word, False, loop)
+
+
+def ends_like(text: str, prompt: str, words: int = 4, share: float = 0.85) -> bool:
+    """Whether ``text`` gives the prompt back up to the end of one of its lines: its last words end that line, and its words are those of the prompt."""
+    mine = [w.lower() for w in WORD.findall(text)]
+    tail = mine[-words:]
+    if len(tail) < words or all([w.lower() for w in WORD.findall(line)][-words:] != tail for line in prompt.split("\n")):
+        return False
+    there = {w.lower() for w in WORD.findall(prompt)}
+    return sum(w in there for w in mine) >= share * len(mine)

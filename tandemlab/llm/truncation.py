@@ -107,6 +107,14 @@ def delivered(responses: DataFrame, requests: DataFrame) -> DataFrame:
     return resp.join(one_each(requests, "request_id", "prompt", "stage", "run_id"), "request_id", "left")
 
 
+def ending_of(text: str | None, prompt: str | None) -> tuple[str, str, str, bool]:
+    """(state, why, last word, in a list): how a text ends; one that copies its prompt up to the end of a line is no cut sentence."""
+    e = endings.ending(text, prompt is not None and "JSON" in prompt)
+    if e.state == endings.CUT and e.why == "inside a sentence" and prompt is not None and endings.ends_like(text, prompt):
+        return endings.WHOLE, "end of a line of the prompt", "", False
+    return e[:4]
+
+
 def read_endings(pairs: DataFrame) -> DataFrame:
     """``pairs`` (with text and prompt) and state, why, last_word, in_list: how each text ends, by the pushdown parser; and its length under each encoding."""
     added = [("state", "string"), ("why", "string"), ("last_word", "string"), ("in_list", "boolean")]
@@ -115,7 +123,7 @@ def read_endings(pairs: DataFrame) -> DataFrame:
         types = {"string": pa.string(), "boolean": pa.bool_()}
         for batch in batches:
             texts, prompts = batch.column("text").to_pylist(), batch.column("prompt").to_pylist()
-            rows = [endings.ending(t, p is not None and "JSON" in p)[:4] for t, p in zip(texts, prompts, strict=True)]
+            rows = [ending_of(t, p) for t, p in zip(texts, prompts, strict=True)]
             columns = [pa.array([r[i] for r in rows], types[kind]) for i, (_, kind) in enumerate(added)]
             sizes = [None if t is None else text_lengths(t) for t in texts]
             columns += [pa.array([None if x is None else x[i] for x in sizes], pa.int64()) for i in range(len(ENCODINGS))]

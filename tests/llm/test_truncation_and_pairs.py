@@ -30,6 +30,14 @@ def test_endings(text, state):
     assert endings.ending(text).state == state
 
 
+def test_copies_end_where_lines_of_the_prompt_end():
+    prompt = "Solve the item below.\n\nWhy is the panel of Fellan salted near stage 288?\nA) the loose prompt of Marin\nB) a score that confirms Lumlo here\n\nClose with one JSON object."
+    whole, part = "Why is the panel of Fellan salted near stage 288? A) the loose prompt of Marin B) a score that confirms Lumlo here", "Why is the panel of Fellan salted near stage 288? A) the loose prompt of Mar"
+    assert truncation.ending_of(whole, prompt)[0] == "whole" and truncation.ending_of(part, prompt)[0] == "cut" and truncation.ending_of(whole, None)[0] == "cut"
+    assert truncation.ending_of("Of other things one may say much more, yet only a score that confirms Lumlo here", prompt)[0] == "cut"
+    assert endings.ending("Here they are.\n- one\n- ").state == "cut"
+
+
 def test_a_few_words_are_cut_where_json_was_asked():
     assert endings.ending("No sparse c", wants_json=True).state == "cut"
 
