@@ -51,8 +51,11 @@ def words_at(text: str) -> list[tuple[str, int, int]]:
         j = i + 1
         if text[i] == "&" and (m := re.compile(r"&#?\w{1,32};").match(text, i)):
             j = m.end()
-        while j < len(text) and unicodedata.combining(text[j]):
-            j += 1
+        k = j
+        while k < len(text) and (unicodedata.combining(text[k]) or INVISIBLE.match(text[k])):
+            k += 1
+            if unicodedata.combining(text[k - 1]):  # a mark joins its letter over characters of no width
+                j = k
         for c in unicodedata.normalize("NFKC", INVISIBLE.sub("", html.unescape(text[i:j]))).casefold():
             out.append(c)
             at.append((i, j))

@@ -87,6 +87,11 @@ def test_words_and_their_places_agree(text):
     assert all(0 <= a < b <= len(text) for _, a, b in placed)
 
 
+def test_marks_join_letters_over_characters_of_no_width():
+    text = "xa\xad\u0301b c\xadd"
+    assert words(text) == [w for w, _, _ in words_at(text)] == ["x\u00e1b", "cd"] and [text[a:b] for _, a, b in words_at(text)] == ["xa\xad\u0301b", "c\xadd"]
+
+
 def test_words_of_marked_up_text():
     text = "nur die <b>Drüse</b> von Humi&shy;set &amp; ﬁn\n> so"
     assert words(text) == ["nur", "die", "drüse", "von", "humiset", "fin", "so"]
