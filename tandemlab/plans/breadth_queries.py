@@ -72,19 +72,19 @@ _ROC = "rw AS (SELECT *, coalesce(sum(n - pos) OVER (PARTITION BY run_id, cond O
 
 
 @query("h13_confidence_portability", W + f""", atom AS (SELECT run_id, cond, conf, count(*) AS n, sum(CASE WHEN y THEN 1 ELSE 0 END) AS pos FROM cell WHERE c GROUP BY ALL), {_AURC}, {_ROC},
-br AS (SELECT run_id, cond, round(sum(pos * power(1 - conf, 2) + (n - pos) * power(conf, 2)) / sum(n), 6) AS brier FROM atom GROUP BY ALL), iv AS (SELECT run_id, cond, round(avg(CASE WHEN c THEN 0.0 ELSE 1.0 END), 8) AS invalid FROM cell GROUP BY ALL),
+br AS (SELECT run_id, cond, CAST(round(CAST(sum(pos * power(1 - conf, 2) + (n - pos) * power(conf, 2)) / sum(n) AS DECIMAL(24, 12)), 6) AS DOUBLE) AS brier FROM atom GROUP BY ALL), iv AS (SELECT run_id, cond, round(avg(CASE WHEN c THEN 0.0 ELSE 1.0 END), 8) AS invalid FROM cell GROUP BY ALL),
 q AS (SELECT i.run_id, i.cond, ro.auroc, round(ar.s / ar.valid, 8) AS aurc, br.brier, i.invalid FROM iv i LEFT JOIN ro ON ro.run_id = i.run_id AND ro.cond = i.cond LEFT JOIN ar ON ar.run_id = i.run_id AND ar.cond = i.cond LEFT JOIN br ON br.run_id = i.run_id AND br.cond = i.cond)
-SELECT s.run_id, s.cond, round(s.auroc - r.auroc, 6) + 0.0 AS d_auroc, round(s.aurc - r.aurc, 6) + 0.0 AS d_aurc, round(s.brier - r.brier, 6) + 0.0 AS d_brier, round(s.invalid - r.invalid, 6) + 0.0 AS d_invalid FROM q s JOIN q r ON r.run_id = s.run_id AND r.cond = 'reference' WHERE s.cond <> 'reference'""")
+SELECT s.run_id, s.cond, CAST(round(CAST(s.auroc - r.auroc AS DECIMAL(24, 12)), 6) AS DOUBLE) AS d_auroc, CAST(round(CAST(s.aurc - r.aurc AS DECIMAL(24, 12)), 6) AS DOUBLE) AS d_aurc, CAST(round(CAST(s.brier - r.brier AS DECIMAL(24, 12)), 6) AS DOUBLE) AS d_brier, CAST(round(CAST(s.invalid - r.invalid AS DECIMAL(24, 12)), 6) AS DOUBLE) AS d_invalid FROM q s JOIN q r ON r.run_id = s.run_id AND r.cond = 'reference' WHERE s.cond <> 'reference'""")
 def h13(spark, folder):
     """What ranking, risk-coverage area, Brier score and invalid rate lose or win under each shifted condition."""
     rows = cell(spark, folder)
     atom = materialize(rm.atoms(rows, BY))
     invalid = rows.groupBy(*BY).agg(F.count("*").alias("total"), F.round(F.avg((~F.col("c")).cast("double")), 8).alias("invalid"))
-    brier = atom.groupBy(*BY).agg(F.round(F.sum(F.col("pos") * F.pow(1 - F.col("conf"), 2) + (F.col("n") - F.col("pos")) * F.pow("conf", F.lit(2))) / F.sum("n"), 6).alias("brier"))
+    brier = atom.groupBy(*BY).agg(ex.decimal_round(F.sum(F.col("pos") * F.pow(1 - F.col("conf"), 2) + (F.col("n") - F.col("pos")) * F.pow("conf", F.lit(2))) / F.sum("n"), 6).alias("brier"))
     q = invalid.join(rm.auroc(atom, BY).select(*BY, "auroc"), BY, "left").join(rm.aurc(atom, invalid, BY).select(*BY, "aurc"), BY, "left").join(brier, BY, "left")
     names = ("auroc", "aurc", "brier", "invalid")
     ref = q.filter(F.col("cond") == REFERENCE).select("run_id", *[F.col(c).alias(f"{c}0") for c in names])
-    return q.filter(F.col("cond") != REFERENCE).join(ref, "run_id").select(*BY, *[(F.round(F.col(c) - F.col(f"{c}0"), 6) + 0.0).alias(f"d_{c}") for c in names])
+    return q.filter(F.col("cond") != REFERENCE).join(ref, "run_id").select(*BY, *[ex.decimal_round(F.col(c) - F.col(f"{c}0"), 6).alias(f"d_{c}") for c in names])
 
 
 _LANG = "coalesce(nullif(trim(json_extract_string(CASE WHEN json_valid(metadata) THEN metadata END, '$.lang')), ''), NULL)"
