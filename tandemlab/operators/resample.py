@@ -1,8 +1,8 @@
 """Resampling of clusters: bootstrap and randomisation over sufficient statistics.
 
 Metrics are functions of a few sums, so observations are first added up to one row per (group, cluster) and arm. Draws come from hashes of
-(seed, replicate, position): the same on every run, layout and engine. The draws are the streamed side; the cluster table is joined by its
-position, broadcast only when Spark finds it small.
+(seed, replicate, position): the same on every run, layout and engine. The draws are the streamed side; the cluster table is hashed by its
+position on many tasks.
 """
 
 from __future__ import annotations
@@ -53,12 +53,21 @@ def draw_positions(sizes: DataFrame, by: list[str], replicates: int) -> DataFram
     return blocks.repartition(many, *by, "b", "__k").withColumn("j", F.explode(F.sequence(F.col("__k") * BLOCK, last))).drop("__k")
 
 
+def at_positions(draws: DataFrame, placed: DataFrame, on: list[str]) -> DataFrame:
+    """``draws`` with the rows of ``placed`` at their positions.
+
+    The size of draws is unknown to Spark, which takes them for as small as the plan they are spread from and would collect and broadcast
+    them. So the join is fixed: both sides are shuffled, and ``placed``, smaller by the number of replicates, is what tasks hash.
+    """
+    return draws.join(placed.hint("shuffle_hash"), on)
+
+
 def bootstrap_draws(stats: DataFrame, replicates: int = 5000, seed: int = 17) -> DataFrame:
     """``stats`` once for each time its unit is drawn, with the replicate b: as many draws with replacement as the contrast has units."""
     sizes = stats.groupBy("run_id", "contrast").agg(F.count("*").alias("size"))
     draws = draw_positions(sizes, ["run_id", "contrast"], replicates)
     picked = draws.select("run_id", "contrast", "b", (hash_number(F.lit(seed), F.col("b"), F.col("j")) % F.col("size")).cast("int").alias("idx"))
-    return picked.join(stats, ["run_id", "contrast", "idx"])
+    return at_positions(picked, stats, ["run_id", "contrast", "idx"])
 
 
 def poisson_bootstrap(stats: DataFrame, by: list[str], replicates: int = 5000, seed: int = 17) -> DataFrame:
@@ -145,4 +154,4 @@ def stratified_draws(clusters: DataFrame, replicates: int, seed: int) -> DataFra
     placed = range_rank(clusters.withColumn("stratum", F.coalesce("stratum", F.lit(""))), by, ["cluster"], "idx").withColumn("idx", (F.col("idx") - 1).cast("bigint"))
     sizes = placed.groupBy(*by).agg(F.count("*").alias("size"))
     picked = draw_positions(sizes, by, replicates).select(*by, "b", (hash_number(F.lit(seed), F.col("stratum"), F.col("b"), F.col("j")) % F.col("size")).alias("idx"))
-    return picked.join(placed, [*by, "idx"]).select(*by, "b", "cluster")
+    return at_positions(picked, placed, [*by, "idx"]).select(*by, "b", "cluster")

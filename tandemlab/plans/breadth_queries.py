@@ -145,9 +145,9 @@ def h15(spark, folder):
     units = materialize(range_rank(every, ["run_id"], ["item"], "idx").withColumn("idx", F.col("idx") - 1))
     sizes = units.groupBy("run_id").agg(F.count("*").alias("size"))
     drawn = resample.draw_positions(sizes, ["run_id"], _QREP).groupBy("run_id", "b", (ex.hash_number(F.lit(37), F.col("b"), F.col("j")) % F.col("size")).alias("idx")).agg(F.count("*").alias("w"))
-    weighted = materialize(drawn.join(units, ["run_id", "idx"]))
+    weighted = materialize(resample.at_positions(drawn, units, ["run_id", "idx"]))
     counts = rows.filter("c").groupBy("run_id", "item", "conf").agg(F.count("*").alias("n"), F.count_if("y").alias("pos"))
-    atom = materialize(weighted.join(counts, ["run_id", "item"]).groupBy("run_id", "b", "conf").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("pos")).alias("pos")))
+    atom = materialize(resample.at_positions(weighted, counts, ["run_id", "item"]).groupBy("run_id", "b", "conf").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("pos")).alias("pos")))
     per = ["run_id", "b"]
     accuracy = weighted.groupBy(*per).agg(ex.share(F.sum(F.col("w") * F.col("y_all")), F.sum(F.col("w") * F.col("n_all"))).alias("accuracy"))
     mean = atom.groupBy(*per).agg((F.sum(F.col("n") * F.col("conf")) / F.sum("n")).alias("mean_confidence"))

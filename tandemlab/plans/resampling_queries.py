@@ -220,7 +220,7 @@ def h15(spark, folder):
     sizes = units.groupBy("run_id").agg(F.count("*").alias("size"))
     draws = resample.draw_positions(sizes, ["run_id"], 40)
     picked = draws.groupBy("run_id", "b", (resample.hash_number(F.lit(31), F.col("b"), F.col("j")) % F.col("size")).cast("int").alias("idx")).agg(F.count("*").alias("w"))
-    atom = picked.join(units, ["run_id", "idx"]).join(counts, ["run_id", "item"]).groupBy("run_id", "b", "conf").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("pos")).alias("pos"))
+    atom = resample.at_positions(resample.at_positions(picked, units, ["run_id", "idx"]), counts, ["run_id", "item"]).groupBy("run_id", "b", "conf").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("pos")).alias("pos"))
     auc = rm.auroc(atom, ["run_id", "b"])
     return resample.intervals(auc, ["run_id"], "auroc").withColumn("excludes_half", (F.col("ci_low") > 0.5) | (F.col("ci_high") < 0.5))
 
