@@ -9,6 +9,7 @@ from tandemlab.plans import registry
 #: Queries that join draws to the units at their positions.
 DRAWING = [
     "h14_classify",
+    "g12_index_quantiles_minus_1",
 ]
 
 
