@@ -10,6 +10,7 @@ from tandemlab.plans import registry
 DRAWING = [
     "h14_classify",
     "g12_index_quantiles_minus_1",
+    "h12_certified_risk_effects",
 ]
 
 
