@@ -11,6 +11,7 @@ DRAWING = [
     "h14_classify",
     "g12_index_quantiles_minus_1",
     "h12_certified_risk_effects",
+    "f26_separation",
 ]
 
 
