@@ -12,6 +12,7 @@ DRAWING = [
     "g12_index_quantiles_minus_1",
     "h12_certified_risk_effects",
     "f26_separation",
+    "h17_h21_main_table",
 ]
 
 
