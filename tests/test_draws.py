@@ -13,6 +13,7 @@ DRAWING = [
     "h12_certified_risk_effects",
     "f26_separation",
     "h17_h21_main_table",
+    "h15_reference_quality_bootstrap",
 ]
 
 
