@@ -14,6 +14,7 @@ DRAWING = [
     "f26_separation",
     "h17_h21_main_table",
     "h15_reference_quality_bootstrap",
+    "h5_risk_delta_draws",
 ]
 
 
