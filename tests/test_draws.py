@@ -15,6 +15,7 @@ DRAWING = [
     "h17_h21_main_table",
     "h15_reference_quality_bootstrap",
     "h5_risk_delta_draws",
+    "g10_g13_interval",
 ]
 
 
