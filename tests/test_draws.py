@@ -16,6 +16,7 @@ DRAWING = [
     "h15_reference_quality_bootstrap",
     "h5_risk_delta_draws",
     "g10_g13_interval",
+    "h11_frozen_coverage_effects",
 ]
 
 
