@@ -17,6 +17,7 @@ DRAWING = [
     "h5_risk_delta_draws",
     "g10_g13_interval",
     "h11_frozen_coverage_effects",
+    "h2_bootstrap_draws",
 ]
 
 
