@@ -18,6 +18,7 @@ DRAWING = [
     "g10_g13_interval",
     "h11_frozen_coverage_effects",
     "h2_bootstrap_draws",
+    "i5_i6_pooled_effects",
 ]
 
 
