@@ -19,6 +19,7 @@ DRAWING = [
     "h11_frozen_coverage_effects",
     "h2_bootstrap_draws",
     "i5_i6_pooled_effects",
+    "n11_intervals_off_zero",
 ]
 
 
