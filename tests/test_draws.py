@@ -20,6 +20,7 @@ DRAWING = [
     "h2_bootstrap_draws",
     "i5_i6_pooled_effects",
     "n11_intervals_off_zero",
+    "g11_index_quantiles",
 ]
 
 
