@@ -21,6 +21,7 @@ DRAWING = [
     "i5_i6_pooled_effects",
     "n11_intervals_off_zero",
     "g11_index_quantiles",
+    "h11_h12_noninferiority",
 ]
 
 
