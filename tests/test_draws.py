@@ -22,6 +22,7 @@ DRAWING = [
     "n11_intervals_off_zero",
     "g11_index_quantiles",
     "h11_h12_noninferiority",
+    "h4_paired_bootstrap",
 ]
 
 
