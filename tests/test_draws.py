@@ -23,6 +23,7 @@ DRAWING = [
     "g11_index_quantiles",
     "h11_h12_noninferiority",
     "h4_paired_bootstrap",
+    "i5_moderated_effects",
 ]
 
 
