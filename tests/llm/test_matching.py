@@ -200,3 +200,16 @@ def test_the_sample_of_the_fit_is_bounded(spark):
     docs = documents(spark, [(i, "A sound sentence stands here.") for i in range(500)] + [(900, None), (901, "x" * 4000)])
     assert len(residue.sample_of(docs, 10_000, 10_000_000)) == 501
     assert 20 < len(residue.sample_of(docs, 50, 10_000)) < 90
+
+
+def test_bands_are_moved_some_at_a_time_and_their_shuffles_deleted(spark, monkeypatch):
+    base = "which of the following measures best describes how far the observed shares of a sample lie from those that were planned for term"
+    rows = [(f"d{n}", "development", f"{base} {n} and word {n * 7}") for n in range(30)] + [(f"t{n}", "test", f"{base} {n} and word {n * 7} today") for n in range(30)]
+    every = {tuple(r) for r in overlap.cross_split_pairs(items(spark, rows)).collect()}
+    moved = []
+    keys = overlap.band_keys
+    monkeypatch.setattr(overlap, "band_keys", lambda classes, bands, per, first, last: moved.append((first, last)) or keys(classes, bands, per, first, last))
+    assert {tuple(r) for r in overlap.cross_split_pairs(items(spark, rows)).collect()} == every and len(every) >= 30
+    assert moved == [(n, n + 16) for n in range(0, 128, 16)]
+    monkeypatch.setattr(overlap, "BANDS_AT_ONCE", 128)
+    assert {tuple(r) for r in overlap.cross_split_pairs(items(spark, rows)).collect()} == every
