@@ -34,3 +34,11 @@ def test_draws_meet_their_units_on_many_tasks(spark, smallest, name):
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     joins = re.findall(r"(\w+Join)(?:\(skew=true\))? \[[^\]]*\bidx#[^\]]*\].* (Build\w+)", plan)
     assert joins and set(joins) == {("ShuffledHashJoin", "BuildRight")}
+
+
+def test_drawn_items_meet_their_scores_on_many_tasks(spark, smallest):
+    df = registry.QUERIES["h15_reference_quality_bootstrap"](spark, smallest)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    joins = re.findall(r"(\w+Join)(?:\(skew=true\))? \[[^\]]*\bitem#[^\]]*\].* (Build\w+)", plan)
+    assert joins == [("ShuffledHashJoin", "BuildRight")]
